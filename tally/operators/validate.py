@@ -29,12 +29,12 @@ def schema_check(df: DataFrame, required: list[str] = REQUIRED_COLUMNS) -> None:
 
 def parse_timestamp(c: Column) -> Column:
     """Lenient ISO date or date-time parse; malformed -> null."""
-    return F.try_cast(strip_ws(c), "timestamp_ntz")
+    return strip_ws(c).try_cast("timestamp_ntz")
 
 
 def parse_double(c: Column) -> Column:
     """Lenient number parse; malformed, NaN and infinite -> null."""
-    x = F.try_cast(strip_ws(c), "double")
+    x = strip_ws(c).try_cast("double")
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
 
 
