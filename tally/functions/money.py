@@ -21,8 +21,9 @@ def currency_factor(currency: Column) -> Column:
 
 
 def rint_bigint(x: Column) -> Column:
-    """Round half to even, then to bigint (Python's round() on floats)."""
-    return F.rint(x).cast("bigint")
+    """Round half to even, then to bigint (Python's round() on floats);
+    out of the bigint range -> null."""
+    return F.rint(x).try_cast("bigint")
 
 
 def to_smallest_unit(amount: Column, currency: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tally.errors import ValidationError
 from tally.functions.constraints import violations
-from tally.functions.money import to_smallest_unit
+from tally.functions.money import currency_factor, to_smallest_unit
 from tally.functions.text import strip_ws
 from tally.schema import ALLOWED_DIRECTIONS, DEFAULT_CURRENCY, REQUIRED_COLUMNS
 
@@ -59,8 +59,9 @@ def value_violations() -> Column:
          "direction_invalid"),
         (F.col("amount").isNull(), "amount_invalid"),
         (F.col("transaction_date").isNull(), "transaction_date_invalid"),
-        (F.col("amount").isNotNull() & to_smallest_unit(F.col("amount"), F.col("currency")).isNull(),
-         "currency_unsupported"),
+        (F.col("amount").isNotNull() & currency_factor(F.col("currency")).isNull(), "currency_unsupported"),
+        (F.col("amount").isNotNull() & currency_factor(F.col("currency")).isNotNull()
+         & to_smallest_unit(F.col("amount"), F.col("currency")).isNull(), "amount_out_of_range"),
     ])
 
 
@@ -92,8 +93,8 @@ def assert_valid(df: DataFrame) -> None:
     failing check (in the reference order) raises."""
     a = annotate(df)
     counts = a.agg(*[F.sum(F.array_contains("violations", c).cast("int")).alias(c)
-                     for c in VALUE_CHECKS + ["currency_unsupported"]]).first()
-    for code in VALUE_CHECKS + ["currency_unsupported"]:
+                     for c in VALUE_CHECKS + ["currency_unsupported", "amount_out_of_range"]]).first()
+    for code in VALUE_CHECKS + ["currency_unsupported", "amount_out_of_range"]:
         if counts[code]:
             raise ValidationError(f"{code}: {counts[code]} rows")
 

@@ -1 +1,319 @@
-"""Ingest, categorize and maintenance queries (A*, B*, I*, K*)."""
+"""Ingest, categorize and maintenance queries (A1, A4-A7, A10, A11, B2-B9,
+B15, I1-I8, D12, K1-K8)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tally.functions.constraints import account_constraints, label_constraints, tx_constraints
+from tally.functions.money import from_smallest_unit, to_smallest_unit
+from tally.operators import analytics as A
+from tally.operators import categorize as C
+from tally.operators import maintain as K
+from tally.operators import validate as V
+from tally.plans import ingest as ING
+from tally.plans.catalog import AS_OF_SQL, _acc, _led, as_of_of, register
+from tally.plans.sqlviews import norm_sql, rule_sql, with_views
+from tally.session import scratch_path
+from tally.sources import csv as CSV
+from tally.sources import export as EX
+from tally.sources import ledger as LGR
+from tally.sources import testviews as tv
+from tally.streaming.ingest import stream_ingest
+
+_S = r"'^\s+|\s+$'"
+
+
+def _strip(c):
+    return f"regexp_replace({c}, {_S}, '', 'g')"
+
+
+_NORM_SQL = f"""
+norm AS (
+  SELECT {_strip('transaction_id')} AS transaction_id, account_id, description,
+         CAST(try_cast({_strip('transaction_date')} AS TIMESTAMP) AS DATE) AS transaction_date,
+         try_cast({_strip('posted_at')} AS TIMESTAMP) AS posted_at,
+         CASE WHEN isnan(try_cast({_strip('amount')} AS DOUBLE)) OR isinf(try_cast({_strip('amount')} AS DOUBLE))
+              THEN NULL ELSE try_cast({_strip('amount')} AS DOUBLE) END AS amount,
+         lower({_strip('direction')}) AS direction,
+         currency
+  FROM raw_batch),
+annot AS (
+  SELECT *,
+    CASE currency WHEN 'NGN' THEN 100 WHEN 'USD' THEN 100 WHEN 'EUR' THEN 100 WHEN 'JPY' THEN 1 END AS factor,
+    concat_ws(',',
+      CASE WHEN direction IS NULL OR direction NOT IN ('inflow', 'outflow') THEN 'direction_invalid' END,
+      CASE WHEN amount IS NULL THEN 'amount_invalid' END,
+      CASE WHEN transaction_date IS NULL THEN 'transaction_date_invalid' END,
+      CASE WHEN amount IS NOT NULL AND currency NOT IN ('NGN', 'USD', 'EUR', 'JPY') THEN 'currency_unsupported' END,
+      CASE WHEN amount IS NOT NULL AND currency IN ('NGN', 'USD', 'EUR', 'JPY')
+                AND abs(amount) >= 9.2e18 THEN 'amount_out_of_range' END) AS violations
+  FROM norm)"""
+
+
+@register("normalize_types", "B2", with_views(f"""WITH {_NORM_SQL}
+SELECT transaction_id, transaction_date, posted_at, amount, direction, currency FROM norm""", "raw_batch"))
+def normalize_types(spark, d):
+    n = V.normalize_types(tv.raw_batch(spark, d)).withColumn("transaction_id", V.strip_ws(F.col("transaction_id")))
+    return n.select("transaction_id", "transaction_date", "posted_at", "amount", "direction", "currency")
+
+
+@register("validate_transactions", "B6 B1 B3 B4", with_views(f"""WITH {_NORM_SQL}
+SELECT transaction_id, account_id, CAST(round_even(amount * factor, 0) AS BIGINT) AS amount, currency,
+       direction, transaction_date, posted_at
+FROM annot WHERE violations = ''""", "raw_batch"))
+def validate_transactions(spark, d):
+    return V.validate_transactions(tv.raw_batch(spark, d)).select(
+        "transaction_id", "account_id", "amount", "currency", "direction", "transaction_date", "posted_at")
+
+
+@register("quarantine", "B3", with_views(f"""WITH {_NORM_SQL}
+SELECT transaction_id, violations FROM annot WHERE violations <> ''""", "raw_batch"))
+def quarantine(spark, d):
+    return V.quarantine(tv.raw_batch(spark, d)).select(
+        "transaction_id", F.array_join("violations", ",").alias("violations"))
+
+
+@register("to_smallest_unit", "B4", with_views(f"""WITH {_NORM_SQL}
+SELECT transaction_id, currency, CAST(round_even(amount * factor, 0) AS BIGINT) AS amount_minor FROM annot""",
+                                               "raw_batch"))
+def to_smallest(spark, d):
+    n = V.normalize_types(tv.raw_batch(spark, d)).withColumn("transaction_id", V.strip_ws(F.col("transaction_id")))
+    return n.select("transaction_id", "currency",
+                    to_smallest_unit(F.col("amount"), F.col("currency")).alias("amount_minor"))
+
+
+@register("from_smallest_unit", "B5", with_views(
+    "SELECT transaction_id, CAST(amount AS DOUBLE) / 100.0 AS amount_major FROM ledger", "ledger"))
+def from_smallest(spark, d):
+    return _led(spark, d).select("transaction_id",
+                                 from_smallest_unit(F.col("amount"), F.col("currency")).alias("amount_major"))
+
+
+def _api_batch(spark, d):
+    """The raw batch read as API requests (amount must be an integer)."""
+    r = tv.raw_batch(spark, d)
+    return r.withColumn("amount", F.when(F.col("amount").rlike(r"^\s*[+-]?[0-9]+\s*$"),
+                                         F.col("amount").try_cast("bigint")))
+
+
+@register("tx_constraints", "B7", with_views("""
+WITH b AS (SELECT *, CASE WHEN regexp_matches(amount, '^\\s*[+-]?[0-9]+\\s*$') THEN try_cast(amount AS BIGINT) END AS amt
+           FROM raw_batch)
+SELECT transaction_id, concat_ws(',',
+  CASE WHEN transaction_id IS NOT NULL AND length(transaction_id) > 100 THEN 'transaction_id_too_long' END,
+  CASE WHEN description IS NULL OR length(description) < 1 OR length(description) > 500 THEN 'description_length' END,
+  CASE WHEN category IS NOT NULL AND category NOT IN ('Salaries', 'Rent', 'Utilities', 'Revenue', 'Inventory',
+       'Marketing', 'Supplies', 'Miscellaneous') THEN 'category_unknown' END,
+  CASE WHEN amt IS NULL OR amt <= 0 THEN 'amount_not_positive' END,
+  CASE WHEN direction IS NULL OR direction NOT IN ('inflow', 'outflow') THEN 'direction_invalid' END,
+  CASE WHEN transaction_date IS NULL OR NOT regexp_matches(transaction_date, '^\\d{4}-\\d{2}-\\d{2}$')
+       THEN 'date_format' END) AS violations
+FROM b""", "raw_batch"))
+def tx_constraints_q(spark, d):
+    return _api_batch(spark, d).select("transaction_id", F.array_join(tx_constraints(), ",").alias("violations"))
+
+
+@register("account_constraints", "B8", with_views("""
+SELECT account_id, concat_ws(',',
+  CASE WHEN account_number IS NULL OR length(replace(regexp_replace(account_number, '^\\s+|\\s+$', '', 'g'), ' ', '')) < 5
+         OR length(replace(regexp_replace(account_number, '^\\s+|\\s+$', '', 'g'), ' ', '')) > 20 THEN 'number_length' END,
+  CASE WHEN account_number IS NOT NULL
+        AND NOT regexp_matches(replace(regexp_replace(account_number, '^\\s+|\\s+$', '', 'g'), ' ', ''), '^[A-Za-z0-9]*$')
+       THEN 'number_not_alnum' END,
+  CASE WHEN account_number IS NULL OR NOT regexp_matches(account_number, '^\\d{10}$') THEN 'number_not_10_digits' END,
+  CASE WHEN starting_balance IS NULL OR starting_balance <= 0 THEN 'balance_not_positive' END,
+  CASE WHEN currency IS NULL OR NOT regexp_matches(currency, '^[A-Z]{3}$') THEN 'currency_format' END) AS violations
+FROM accounts""", "accounts"))
+def account_constraints_q(spark, d):
+    return _acc(spark, d).select("account_id", F.array_join(account_constraints(), ",").alias("violations"))
+
+
+@register("label_constraints", "B9", with_views("""
+SELECT transaction_id, concat_ws(',',
+  CASE WHEN description IS NULL OR length(description) < 1 OR length(description) > 500 THEN 'description_length' END,
+  CASE WHEN category IS NULL OR category NOT IN ('Salaries', 'Rent', 'Utilities', 'Revenue', 'Inventory',
+       'Marketing', 'Supplies', 'Miscellaneous') THEN 'category_unknown' END) AS violations
+FROM ledger""", "ledger"))
+def label_constraints_q(spark, d):
+    return _led(spark, d).select("transaction_id", F.array_join(label_constraints(), ",").alias("violations"))
+
+
+@register("default_fill", "B15", with_views("""
+SELECT transaction_id, '' AS description, '0' AS amount, 'outflow' AS direction,
+       '2025-06-30' AS transaction_date, '2025-06-30 12:00:00' AS posted_at
+FROM raw_batch""", "raw_batch"))
+def default_fill(spark, d):
+    r = tv.raw_batch(spark, d).drop("description", "amount", "direction", "transaction_date", "posted_at")
+    f = V.default_fill(r, "2025-06-30 12:00:00", mode="upload")
+    return f.select("transaction_id", "description", "amount", "direction", "transaction_date", "posted_at")
+
+
+@register("rule_category", "I1", with_views(
+    f"SELECT transaction_id, {rule_sql()} AS rule_category FROM ledger", "ledger"))
+def rule_category_q(spark, d):
+    return C.with_rule_category(_led(spark, d)).select("transaction_id", "rule_category")
+
+
+@register("resolve_category", "I4", with_views(f"""
+SELECT transaction_id, CASE WHEN category IS NOT NULL AND category <> '' THEN category
+                            ELSE coalesce({rule_sql()}, 'Miscellaneous') END AS category
+FROM ledger""", "ledger"))
+def resolve_category(spark, d):
+    return C.resolve_category(_led(spark, d)).select("transaction_id", "category")
+
+
+@register("categorize_scored", "I5", with_views(f"""
+WITH s AS (SELECT transaction_id, coalesce({rule_sql()}, 'Miscellaneous') AS category FROM ledger)
+SELECT transaction_id, category, CAST(CASE WHEN category = 'Miscellaneous' THEN 0.6 ELSE 0.85 END AS DOUBLE) AS confidence,
+       'rule_based' AS method FROM s""", "ledger"))
+def categorize_scored(spark, d):
+    return C.categorize_scored(_led(spark, d)).select("transaction_id", "category", "confidence", "method")
+
+
+_FILL_SQL = f"""
+  SELECT transaction_id, account_id, (category IS NULL OR category = '') AS was_filled,
+         CASE WHEN category IS NULL OR category = '' THEN coalesce({rule_sql()}, 'Miscellaneous')
+              ELSE category END AS category
+  FROM ledger"""
+
+
+@register("fill_categories", "I6", with_views(f"SELECT transaction_id, category, was_filled FROM ({_FILL_SQL})",
+                                              "ledger"))
+def fill_categories(spark, d):
+    return C.fill_categories(_led(spark, d)).select("transaction_id", "category", "was_filled")
+
+
+@register("fill_report", "I6", with_views(f"""
+SELECT account_id, CAST(sum(CASE WHEN was_filled THEN 1 ELSE 0 END) AS BIGINT) AS categorized,
+       CAST(sum(CASE WHEN was_filled THEN 0 ELSE 1 END) AS BIGINT) AS already_categorized
+FROM ({_FILL_SQL}) GROUP BY account_id""", "ledger"))
+def fill_report(spark, d):
+    return C.fill_report(C.fill_categories(_led(spark, d)))
+
+
+# ---------------------------------------------------------------- K1 / K2
+
+_UPLOAD_SQL = """
+  SELECT CASE WHEN l_linestatus = 'F' THEN tid ELSE 'new-' || tid END AS transaction_id,
+         CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN CAST(l_suppkey + 1 AS VARCHAR)
+              ELSE CAST(l_suppkey AS VARCHAR) END AS account_id,
+         description, '' AS category,
+         CASE WHEN l_discount = 0 THEN '3.5' ELSE CAST(CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS VARCHAR) END AS amount,
+         CASE l_returnflag WHEN 'R' THEN 'outflow' WHEN 'A' THEN 'inflow' ELSE 'Inflow' END AS direction,
+         strftime(l_shipdate, '%Y-%m-%d') AS transaction_date
+  FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS tid,
+               ({phr})[CAST(l_partkey % {n} AS INTEGER) + 1] AS description FROM lineitem)"""
+
+
+def _upload_sql():
+    from tally.plans.sqlviews import _list
+    return _UPLOAD_SQL.format(phr=_list(p for p, _ in tv.DESCRIPTION_FIXTURE), n=tv.N_PHRASES)
+
+
+def _upload_rows(spark, d):
+    li = tv.table(spark, d, "lineitem")
+    tid = tv.transaction_id_expr()
+    idx = F.col("l_partkey") % tv.N_PHRASES
+    return li.select(
+        F.when(F.col("l_linestatus") == "F", tid).otherwise(F.concat(F.lit("new-"), tid)).alias("transaction_id"),
+        F.when((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "F"), (F.col("l_suppkey") + 1).cast("string"))
+         .otherwise(F.col("l_suppkey").cast("string")).alias("account_id"),
+        tv._pick([p for p, _ in tv.DESCRIPTION_FIXTURE], idx).alias("description"),
+        F.lit("").alias("category"),
+        F.when(F.col("l_discount") == 0, F.lit("3.5"))
+         .otherwise(F.rint(F.col("l_extendedprice") * 100).cast("bigint").cast("string")).alias("amount"),
+        F.when(F.col("l_returnflag") == "R", "outflow").when(F.col("l_returnflag") == "A", "inflow")
+         .otherwise("Inflow").alias("direction"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("transaction_date"))
+
+
+def _imported(spark, d):
+    """Upload rows written as a CSV file set, read back with file row numbers."""
+    path = scratch_path(spark, "upload")
+    _upload_rows(spark, d).write.option("header", True).csv(path)
+    rows = CSV.with_row_numbers(CSV.read_raw(spark, path))
+    return K.import_csv(rows, _led(spark, d), mode="upload")
+
+
+_IMPORT_STATUS_SQL = f"""
+  SELECT b.transaction_id, b.account_id,
+         CASE WHEN l.account_id = b.account_id THEN 'duplicate'
+              WHEN l.account_id IS NOT NULL THEN 'error'
+              WHEN NOT regexp_matches(b.amount, '^\\s*[+-]?[0-9]+\\s*$') OR b.direction NOT IN ('inflow', 'outflow')
+              THEN 'error' ELSE 'inserted' END AS status,
+         CASE WHEN regexp_matches(b.amount, '^\\s*[+-]?[0-9]+\\s*$') THEN CAST(b.amount AS BIGINT) END AS amount,
+         coalesce({rule_sql('b.description', 'b.direction')}, 'Miscellaneous') AS category
+  FROM ({_upload_sql()}) b LEFT JOIN ledger l ON b.transaction_id = l.transaction_id"""
+
+
+@register("import_csv", "K2 C4", with_views(f"SELECT * FROM ({_IMPORT_STATUS_SQL})", "ledger"))
+def import_csv(spark, d):
+    return _imported(spark, d).select("transaction_id", "account_id", "status", "amount", "category")
+
+
+@register("import_report", "D12 K2", with_views(f"""
+SELECT 'upload' AS batch_id,
+       CAST(sum(CASE WHEN status = 'inserted' THEN 1 ELSE 0 END) AS BIGINT) AS inserted,
+       CAST(sum(CASE WHEN status = 'duplicate' THEN 1 ELSE 0 END) AS BIGINT) AS duplicates_skipped,
+       CAST(sum(CASE WHEN status = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors
+FROM ({_IMPORT_STATUS_SQL})""", "ledger"))
+def import_report(spark, d):
+    return A.import_report(_imported(spark, d).withColumn("batch_id", F.lit("upload")))
+
+
+@register("import_row_numbers", "K2", None)
+def import_row_numbers(spark, d):
+    """Error rows with their CSV row number (index + 2); file order is the
+    writer's, so only the row count is checked against the oracle side."""
+    return _imported(spark, d).where(F.col("status") == "error").select("transaction_id", "row_number")
+
+
+def _api_requests(spark, d):
+    li = tv.table(spark, d, "lineitem")
+    tid = tv.transaction_id_expr()
+    idx = F.col("l_partkey") % tv.N_PHRASES
+    return li.select(
+        F.when(F.col("l_linestatus") == "F", tid).otherwise(F.concat(F.lit("api-"), tid)).alias("transaction_id"),
+        F.col("l_suppkey").cast("string").alias("account_id"),
+        tv._pick([p for p, _ in tv.DESCRIPTION_FIXTURE], idx).alias("description"),
+        F.when(F.col("l_returnflag") == "N", F.lit("Groceries")).otherwise(F.lit("")).alias("category"),
+        F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"),
+        F.when(F.col("l_returnflag") == "R", "outflow").otherwise("inflow").alias("direction"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("transaction_date"),
+        F.lit(None).cast("string").alias("posted_at"),
+        F.col("l_orderkey").alias("_row"))
+
+
+def _phrase_sql():
+    from tally.plans.sqlviews import _list
+    return f"({_list(p for p, _ in tv.DESCRIPTION_FIXTURE)})[CAST(l_partkey % {tv.N_PHRASES} AS INTEGER) + 1]"
+
+
+_CATS = "('Salaries', 'Rent', 'Utilities', 'Revenue', 'Inventory', 'Marketing', 'Supplies', 'Miscellaneous')"
+
+
+@register("insert_tx", "K1 B7 I4 C4", with_views(f"""
+WITH b AS (
+  SELECT CASE WHEN l_linestatus = 'F' THEN tid ELSE 'api-' || tid END AS transaction_id,
+         CAST(l_suppkey AS VARCHAR) AS account_id, description,
+         CASE WHEN l_returnflag = 'N' THEN 'Groceries' ELSE '' END AS category,
+         CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS amount,
+         CASE WHEN l_returnflag = 'R' THEN 'outflow' ELSE 'inflow' END AS direction
+  FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS tid,
+               {_phrase_sql()} AS description FROM lineitem)),
+v AS (SELECT b.*, concat_ws(',',
+        CASE WHEN b.description IS NULL OR length(b.description) < 1 OR length(b.description) > 500 THEN 'description_length' END,
+        CASE WHEN b.category IS NOT NULL AND b.category NOT IN {_CATS} THEN 'category_unknown' END) AS errors,
+        l.account_id AS held_by
+      FROM b LEFT JOIN ledger l ON b.transaction_id = l.transaction_id)
+SELECT transaction_id, account_id,
+       CASE WHEN category <> '' THEN category ELSE coalesce({rule_sql()}, 'Miscellaneous') END AS category,
+       amount, 'USD' AS currency,
+       CASE WHEN errors <> '' THEN 'error' WHEN held_by = account_id THEN 'duplicate'
+            WHEN held_by IS NOT NULL THEN 'error' ELSE 'inserted' END AS status,
+       errors
+FROM v""", "ledger"))
+def insert_tx(spark, d):
+    r = K.insert_tx(_api_requests(spark, d), _led(spark, d), _acc(spark, d), "2025-06-30 12:00:00")
+    return r.select("transaction_id", "account_id", "category", "amount", "currency", "status", "errors")

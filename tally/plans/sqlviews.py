@@ -92,3 +92,20 @@ def with_views(body: str, *names: str) -> str:
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def norm_sql(c: str) -> str:
+    return f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
+
+
+def rule_sql(desc: str = "description", direction: str = "direction") -> str:
+    """The keyword rule categorizer as a DuckDB CASE expression."""
+    from tally.schema import EMPTY_DESCRIPTIONS, KEYWORD_RULES
+    n = norm_sql(desc)
+    empties = ", ".join(q(e) for e in EMPTY_DESCRIPTIONS)
+    parts = [f"WHEN {desc} IS NULL OR {n} IN ({empties}) THEN "
+             f"CASE WHEN {direction} = 'inflow' THEN 'Revenue' ELSE 'Miscellaneous' END"]
+    for cat, words in KEYWORD_RULES:
+        cond = " OR ".join(f"contains({n}, {q(w)})" for w in words)
+        parts.append(f"WHEN {cond} THEN {q(cat)}")
+    return "CASE " + " ".join(parts) + " ELSE NULL END"
