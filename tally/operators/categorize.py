@@ -19,7 +19,7 @@ from tally.functions.text import rule_category
 from tally.schema import FALLBACK_CONFIDENCE, RULE_CONFIDENCE
 
 MODEL_INPUT = "_model_text"
-HASH_FEATURES = 1 << 18
+HASH_FEATURES = 1 << 16
 
 
 def with_rule_category(df: DataFrame, out: str = "rule_category") -> DataFrame:
@@ -88,19 +88,22 @@ def train_text_model(labelled: DataFrame, max_iter: int = 50, reg: float = 0.01)
     gradients); no data is collected.
     """
     rows = check_labels(labelled).withColumn(MODEL_INPUT, F.col("description"))
-    indexer = StringIndexer(inputCol="category", outputCol="_label", handleInvalid="skip")
-    idx_model = indexer.fit(rows)
-    stages = [
+    idx_model = StringIndexer(inputCol="category", outputCol="_label", handleInvalid="skip").fit(rows)
+    train = idx_model.transform(rows)
+    features = [
         RegexTokenizer(inputCol=MODEL_INPUT, outputCol="_tokens", pattern=r"\W+", minTokenLength=1),
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=HASH_FEATURES),
         IDF(inputCol="_tf", outputCol="_features"),
-        idx_model,
         LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol="_pred",
                            probabilityCol="_prob", rawPredictionCol="_raw",
                            family="multinomial", maxIter=max_iter, regParam=reg),
-        IndexToString(inputCol="_pred", outputCol="model_category", labels=idx_model.labels),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    fitted = Pipeline(stages=features).fit(train)
+    # The scoring model has no label stage: it never reads (or filters on)
+    # an existing category column.
+    return PipelineModel(stages=[*fitted.stages,
+                                 IndexToString(inputCol="_pred", outputCol="model_category",
+                                               labels=idx_model.labels)])
 
 
 def model_classes(model: PipelineModel) -> list[str]:

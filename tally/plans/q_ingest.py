@@ -317,3 +317,242 @@ FROM v""", "ledger"))
 def insert_tx(spark, d):
     r = K.insert_tx(_api_requests(spark, d), _led(spark, d), _acc(spark, d), "2025-06-30 12:00:00")
     return r.select("transaction_id", "account_id", "category", "amount", "currency", "status", "errors")
+
+
+# ---------------------------------------------------------------- K3 - K8
+
+def _patches(spark, d):
+    """Rent rows get an upper-cased description; uncategorized rows get
+    'Miscellaneous'; empty patch values keep the old value."""
+    led = _led(spark, d)
+    rent = led.where(F.col("category") == "Rent").select(
+        "account_id", "transaction_id", F.upper("description").alias("description"), F.lit("").alias("category"))
+    unc = led.where(F.col("category").isNull()).select(
+        "account_id", "transaction_id", F.lit("").alias("description"), F.lit("Miscellaneous").alias("category"))
+    return rent.unionByName(unc)
+
+
+@register("update_tx", "K3", with_views("""
+WITH p AS (
+  SELECT account_id, transaction_id, upper(description) AS nd, '' AS nc FROM ledger WHERE category = 'Rent'
+  UNION ALL
+  SELECT account_id, transaction_id, '' AS nd, 'Miscellaneous' AS nc FROM ledger WHERE category IS NULL)
+SELECT l.transaction_id,
+       coalesce(CASE WHEN p.nd <> '' THEN p.nd END, l.description) AS description,
+       coalesce(CASE WHEN p.nc <> '' THEN p.nc END, l.category) AS category
+FROM ledger l LEFT JOIN p ON l.account_id = p.account_id AND l.transaction_id = p.transaction_id""", "ledger"))
+def update_tx(spark, d):
+    return K.update_tx(_led(spark, d), _patches(spark, d)).select("transaction_id", "description", "category")
+
+
+_URGENT_IDS_SQL = """
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d'))
+  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+
+@register("delete_tx", "K4", with_views(f"""
+SELECT transaction_id, account_id FROM ledger WHERE transaction_id NOT IN ({_URGENT_IDS_SQL})""", "ledger"))
+def delete_tx(spark, d):
+    from tally.plans.q_ledger import _urgent_keys
+    return K.delete_tx(_led(spark, d), _urgent_keys(spark, d)).select("transaction_id", "account_id")
+
+
+def _account_requests(spark, d):
+    c = tv.table(spark, d, "customer")
+    return c.select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account_id"),
+        F.col("c_nationkey").cast("bigint").alias("user_id"),
+        F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("account_number"),
+        F.rint(F.col("c_acctbal") * 100).cast("bigint").alias("starting_balance"),
+        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("usd")).otherwise(F.lit("USD")).alias("currency"),
+        F.col("c_custkey").alias("_row"))
+
+
+@register("account_create", "K5 B8", with_views("""
+WITH r AS (
+  SELECT 'c' || CAST(c_custkey AS VARCHAR) AS account_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS account_number,
+         CAST(round_even(c_acctbal * 100, 0) AS BIGINT) AS starting_balance,
+         CASE WHEN c_mktsegment = 'BUILDING' THEN 'usd' ELSE 'USD' END AS currency
+  FROM customer),
+v AS (SELECT r.*, concat_ws(',',
+        CASE WHEN starting_balance <= 0 THEN 'balance_not_positive' END,
+        CASE WHEN NOT regexp_matches(currency, '^[A-Z]{3}$') THEN 'currency_format' END) AS errors,
+        r.account_id IN (SELECT account_id FROM accounts)
+          OR r.account_number IN (SELECT account_number FROM accounts) AS taken
+      FROM r)
+SELECT account_id, CASE WHEN taken THEN 'duplicate' WHEN errors <> '' THEN 'error' ELSE 'created' END AS status, errors
+FROM v""", "accounts"))
+def account_create(spark, d):
+    r = K.account_create(_acc(spark, d), _account_requests(spark, d), "2025-06-30")
+    return r.select("account_id", "status", "errors")
+
+
+@register("account_update", "K6", with_views("""
+SELECT account_id, user_id, account_number,
+       CASE WHEN user_id = 3 THEN starting_balance + 100000 ELSE starting_balance END AS starting_balance,
+       currency,
+       CASE WHEN user_id = 3 THEN DATE '2025-06-30' ELSE last_updated END AS last_updated
+FROM accounts""", "accounts"))
+def account_update(spark, d):
+    acc = _acc(spark, d)
+    patches = acc.where(F.col("user_id") == 3).select(
+        "account_id", (F.col("starting_balance") + 100000).alias("starting_balance"),
+        F.lit(None).cast("string").alias("currency"))
+    return K.account_update(acc, patches, "2025-06-30")
+
+
+@register("account_delete", "K7", with_views("""
+WITH k AS (SELECT a.account_id FROM accounts a JOIN nation n ON a.user_id = n.n_nationkey
+           JOIN region r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'AFRICA'
+           UNION SELECT account_id FROM order_accounts)
+SELECT k.account_id,
+       CASE WHEN k.account_id NOT IN (SELECT account_id FROM accounts) THEN 'not_found'
+            WHEN k.account_id IN (SELECT account_id FROM ledger) THEN 'has_transactions'
+            ELSE 'deleted' END AS status
+FROM k""", "accounts", "ledger", "order_accounts"))
+def account_delete(spark, d):
+    from tally.plans.q_forecast import _region_accounts
+    acc = _acc(spark, d)
+    keys = _region_accounts(spark, d, acc, ["AFRICA"]).unionByName(
+        tv.order_accounts(spark, d).select("account_id"))
+    status, _ = K.account_delete(acc, _led(spark, d), keys)
+    return status
+
+
+@register("retention_purge", "K8 D14", with_views(f"""
+SELECT transaction_id FROM ledger WHERE transaction_date >= CAST({AS_OF_SQL} - INTERVAL 1000 DAY AS DATE)""",
+                                                  "ledger"))
+def retention_purge(spark, d):
+    led = _led(spark, d)
+    return K.retention_purge(led, as_of_of(led), 1000).select("transaction_id")
+
+
+# ------------------------------------------------ A1 / A4 / A5 / A10 / A11
+
+_PIPE_SQL = f"""WITH {_NORM_SQL}
+SELECT a.transaction_id, a.account_id, CAST(round_even(a.amount * a.factor, 0) AS BIGINT) AS amount,
+       coalesce({rule_sql('a.description', 'a.direction')}, 'Miscellaneous') AS category, a.transaction_date
+FROM annot a
+WHERE a.violations = '' AND a.transaction_id NOT IN (
+  SELECT transaction_id FROM ledger WHERE transaction_date < DATE '1998-01-01')"""
+
+
+def _raw_csv(spark, d, files: int = 4):
+    path = scratch_path(spark, "raw")
+    tv.raw_batch(spark, d).repartition(files).write.option("header", True).csv(path)
+    return path
+
+
+def _existing(spark, d):
+    return _led(spark, d).where(F.col("transaction_date") < F.lit("1998-01-01").cast("date"))
+
+
+_PIPE_COLS = ("transaction_id", "account_id", "amount", "category", "transaction_date")
+
+
+@register("ingest_pipeline", "A1 B6 I3 C4 A4", with_views(_PIPE_SQL, "raw_batch", "ledger"))
+def ingest_pipeline(spark, d):
+    """Raw CSV -> A1 -> validate -> categorize -> new rows only -> A4 append
+    to a fresh ledger snapshot, read back."""
+    out = scratch_path(spark, "ledger")
+    ING.run_pipeline(spark, _raw_csv(spark, d), out, existing=_existing(spark, d)).collect()
+    return LGR.read_ledger(spark, out).select(*_PIPE_COLS)
+
+
+@register("stream_ingest", "A11", with_views(_PIPE_SQL, "raw_batch", "ledger"))
+def stream_ingest_q(spark, d):
+    """The same rows through Structured Streaming: 4 files, one per
+    micro-batch (availableNow), the ledger seeded with the existing rows,
+    then a second run over the same files adds nothing."""
+    src = _raw_csv(spark, d, files=4)
+    led_path = scratch_path(spark, "stream-ledger")
+    LGR.write_snapshot(_existing(spark, d), led_path)
+    ckpt = scratch_path(spark, "stream-ckpt")
+    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1)
+    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1)
+    led = LGR.read_ledger(spark, led_path)
+    return led.join(_existing(spark, d).select("transaction_id"), "transaction_id", "left_anti").select(*_PIPE_COLS)
+
+
+@register("processed_merge", "A5 E3", with_views("""
+WITH ex AS (SELECT transaction_id, description, 0 AS src FROM ledger WHERE transaction_date < DATE '1998-01-01'),
+nw AS (SELECT transaction_id, upper(description) AS description, 1 AS src FROM ledger
+       WHERE transaction_date >= DATE '1997-01-01'),
+u AS (SELECT * FROM ex UNION ALL SELECT * FROM nw)
+SELECT transaction_id, arg_min(description, src) AS description FROM u GROUP BY transaction_id""", "ledger"))
+def processed_merge(spark, d):
+    led = _led(spark, d)
+    ex = led.where(F.col("transaction_date") < F.lit("1998-01-01").cast("date")).select("transaction_id",
+                                                                                      "description")
+    nw = led.where(F.col("transaction_date") >= F.lit("1997-01-01").cast("date")).select(
+        "transaction_id", F.upper("description").alias("description"))
+    return LGR.processed_merge(ex, nw)
+
+
+@register("strict_load", "A10", with_views("""
+SELECT transaction_id, account_id,
+       CAST(round_even((CAST(amount AS DOUBLE) / 100.0) * (CASE WHEN direction = 'outflow' THEN 1 ELSE 100 END), 0)
+            AS BIGINT) AS amount,
+       CASE WHEN direction = 'outflow' THEN 'JPY' ELSE 'USD' END AS currency, transaction_date
+FROM ledger""", "ledger"))
+def strict_load(spark, d):
+    """Seed rows rendered as strings (major units; JPY for outflows), then
+    the strict typed load."""
+    led = _led(spark, d)
+    seed = led.select(
+        "transaction_id", "account_id", "description", "category",
+        (F.col("amount") / 100.0).cast("string").alias("amount"), "direction",
+        F.when(F.col("direction") == "outflow", "JPY").otherwise("USD").alias("currency"),
+        F.date_format("transaction_date", "yyyy-MM-dd").alias("transaction_date"),
+        F.date_format("posted_at", "yyyy-MM-dd HH:mm:ss").alias("posted_at"))
+    return LGR.strict_load(seed).select("transaction_id", "account_id", "amount", "currency", "transaction_date")
+
+
+# ------------------------------------------------------------ A6 / A7
+
+@register("export_csv", "A6", with_views(f"""
+SELECT {', '.join(tv_cols for tv_cols in ('transaction_id', 'account_id', 'description', 'category', 'amount',
+                                          'direction', 'transaction_date', 'posted_at'))}
+FROM ledger WHERE transaction_date >= DATE '2000-01-01'""", "ledger"))
+def export_csv(spark, d):
+    """Writes the CSV export (one directory per account) and returns the
+    exported frame."""
+    led = _led(spark, d)
+    EX.export_csv(led, scratch_path(spark, "export-csv"), start="2000-01-01")
+    return EX.export_frame(led, start="2000-01-01")
+
+
+@register("export_json", "A7", with_views("""
+SELECT account_id, DATE '2025-06-30' AS export_date, count(*) AS transaction_count
+FROM ledger GROUP BY account_id""", "ledger"))
+def export_json(spark, d):
+    led = _led(spark, d)
+    EX.export_json(led, scratch_path(spark, "export-json"), "2025-06-30")
+    return EX.export_json_header(led, "2025-06-30")
+
+
+# ------------------------------------------------------------ I2 / I3 / I8
+
+def _ledger_labels(led):
+    return led.where(F.col("category").isNotNull()).select("description", "category")
+
+
+@register("train_text_model", "I2 D13", None)
+def train_text_model(spark, d):
+    """Classifier trained on documents (text -> language); the per-class
+    prediction counts over the training text (one row per class)."""
+    docs = tv.labelled_text(spark, d)
+    model = C.train_text_model(docs, max_iter=20)
+    scored = model.transform(docs.withColumn(C.MODEL_INPUT, F.col("description")))
+    return scored.groupBy(F.col("model_category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("categorize_model", "I3 I7 I8", None)
+def categorize_model(spark, d):
+    """Retrain on the ledger's categorized rows, save, load back (I7 gate),
+    categorize every ledger row: rules first, model for the rest."""
+    led = _led(spark, d)
+    path = scratch_path(spark, "categorizer")
+    C.retrain_text_model(_ledger_labels(led), path, max_iter=30)
+    model = C.load_model(path)
+    return C.categorize(led, model).select("transaction_id", "category", "category_source")
