@@ -1,4 +1,8 @@
-"""Row constraints as arrays of violation codes (empty array = valid)."""
+"""Row constraints as a comma-separated string of violation codes ('' = valid).
+
+A string built by concat_ws over CASE expressions stays inside whole-stage
+codegen; an array filtered by a lambda (array_compact) would not.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +13,9 @@ from tally.schema import ALLOWED_DIRECTIONS, CATEGORIES, DESCRIPTION_MAX, TRANSA
 
 
 def violations(checks: list[tuple[Column, str]]) -> Column:
-    """array of codes whose condition is true; null conditions count as false."""
-    return F.array_compact(F.array(*[F.when(cond, F.lit(code)) for cond, code in checks]))
+    """Codes whose condition is true, in check order; null conditions count
+    as false.  concat_ws skips the nulls of the conditions that are false."""
+    return F.concat_ws(",", *[F.when(cond, F.lit(code)) for cond, code in checks])
 
 
 def tx_constraints() -> Column:

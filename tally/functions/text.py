@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 from tally.schema import EMPTY_DESCRIPTIONS, KEYWORD_RULES
 
 
+# Every character Python's str.strip() removes (derived from str.isspace).
+WHITESPACE = "".join(ch for ch in map(chr, range(0x110000)) if ch.isspace())
+
+
 def strip_ws(c: Column) -> Column:
-    """Strip leading/trailing whitespace of any kind (trim() drops only spaces)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """str.strip(): drop leading/trailing whitespace of any kind.
+
+    trim() with an explicit character set is a plain codegen'd scan (no
+    regex); the default trim() would drop spaces only.
+    """
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def normalize_text(c: Column) -> Column:

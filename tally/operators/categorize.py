@@ -75,7 +75,7 @@ def check_labels(labelled: DataFrame, require_known: bool = False) -> DataFrame:
         raise ValidationError("Training data must contain description and category")
     rows = labelled.where(F.col("description").isNotNull() & F.col("category").isNotNull())
     if require_known:
-        rows = rows.where(F.size(label_constraints()) == 0)
+        rows = rows.where(label_constraints() == "")
     return rows.select(F.col("description").cast("string").alias("description"),
                        F.col("category").cast("string").alias("category"))
 

@@ -78,7 +78,7 @@ def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of
         "direction", "transaction_date"), 256), 1, 8))
     r = requests.withColumn("transaction_id", F.coalesce(_nonempty("transaction_id"), gen))
     r = r.withColumn("_viol", tx_constraints())
-    r = r.withColumn("_valid", F.size("_viol") == 0)
+    r = r.withColumn("_valid", F.col("_viol") == "")
     c = classify_batch(r, ledger, "account")
     c = c.withColumn("status", F.when(~F.col("_valid"), "error").otherwise(F.col("status")))
     acc = accounts.select("account_id", F.col("currency").alias("_acct_currency"))
@@ -89,7 +89,7 @@ def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of
                     F.col("transaction_date").try_cast("date").alias("transaction_date"),
                     F.coalesce(F.col("posted_at").try_cast("timestamp_ntz"),
                                F.lit(as_of_ts).cast("timestamp_ntz")).alias("posted_at"),
-                    "_row", "status", F.array_join("_viol", ",").alias("errors")))
+                    "_row", "status", F.col("_viol").alias("errors")))
 
 
 def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_ts=None) -> DataFrame:
@@ -158,17 +158,17 @@ def account_create(accounts: DataFrame, requests: DataFrame, as_of_date) -> Data
     r = (requests.withColumn("_viol", account_constraints())
          .join(taken_id, "account_id", "left").join(taken_no, "account_number", "left"))
     dup_tbl = F.col("_id_taken").isNotNull() | F.col("_no_taken").isNotNull()
-    ok = r.where(~dup_tbl & (F.size("_viol") == 0))
+    ok = r.where(~dup_tbl & (F.col("_viol") == ""))
     first_id = ok.groupBy("account_id").agg(F.min("_row").alias("_fid"))
     first_no = ok.groupBy("account_number").agg(F.min("_row").alias("_fno"))
     r = r.join(first_id, "account_id", "left").join(first_no, "account_number", "left")
     status = (F.when(dup_tbl, "duplicate")
-              .when(F.size("_viol") > 0, "error")
+              .when(F.col("_viol") != "", "error")
               .when((F.col("_row") == F.col("_fid")) & (F.col("_row") == F.col("_fno")), "created")
               .otherwise("duplicate"))
     return r.select("account_id", "user_id", "account_number", "starting_balance", "currency",
                     F.lit(as_of_date).cast("date").alias("last_updated"), "_row",
-                    status.alias("status"), F.array_join("_viol", ",").alias("errors"))
+                    status.alias("status"), F.col("_viol").alias("errors"))
 
 
 def accounts_after_create(accounts: DataFrame, classified: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tally.operators import maintain as K
 from tally.operators import validate as V
 from tally.plans import ingest as ING
 from tally.plans.catalog import AS_OF_SQL, _acc, _led, as_of_of, register
-from tally.plans.sqlviews import norm_sql, rule_sql, with_views
+from tally.plans.sqlviews import norm_sql, rule_sql, strip_sql, with_views
 from tally.session import scratch_path
 from tally.sources import csv as CSV
 from tally.sources import export as EX
@@ -25,7 +25,7 @@ _S = r"'^\s+|\s+$'"
 
 
 def _strip(c):
-    return f"regexp_replace({c}, {_S}, '', 'g')"
+    return strip_sql(c)
 
 
 _NORM_SQL = f"""
@@ -33,8 +33,8 @@ norm AS (
   SELECT {_strip('transaction_id')} AS transaction_id, account_id, description,
          CAST(try_cast({_strip('transaction_date')} AS TIMESTAMP) AS DATE) AS transaction_date,
          try_cast({_strip('posted_at')} AS TIMESTAMP) AS posted_at,
-         CASE WHEN isnan(try_cast({_strip('amount')} AS DOUBLE)) OR isinf(try_cast({_strip('amount')} AS DOUBLE))
-              THEN NULL ELSE try_cast({_strip('amount')} AS DOUBLE) END AS amount,
+         CASE WHEN abs(try_cast({_strip('amount')} AS DOUBLE)) < 'inf'::DOUBLE
+              THEN try_cast({_strip('amount')} AS DOUBLE) END AS amount,
          lower({_strip('direction')}) AS direction,
          currency
   FROM raw_batch),
@@ -71,7 +71,7 @@ def validate_transactions(spark, d):
 SELECT transaction_id, violations FROM annot WHERE violations <> ''""", "raw_batch"))
 def quarantine(spark, d):
     return V.quarantine(tv.raw_batch(spark, d)).select(
-        "transaction_id", F.array_join("violations", ",").alias("violations"))
+        "transaction_id", "violations")
 
 
 @register("to_smallest_unit", "B4", with_views(f"""WITH {_NORM_SQL}
@@ -111,7 +111,7 @@ SELECT transaction_id, concat_ws(',',
        THEN 'date_format' END) AS violations
 FROM b""", "raw_batch"))
 def tx_constraints_q(spark, d):
-    return _api_batch(spark, d).select("transaction_id", F.array_join(tx_constraints(), ",").alias("violations"))
+    return _api_batch(spark, d).select("transaction_id", tx_constraints().alias("violations"))
 
 
 @register("account_constraints", "B8", with_views("""
@@ -126,7 +126,7 @@ SELECT account_id, concat_ws(',',
   CASE WHEN currency IS NULL OR NOT regexp_matches(currency, '^[A-Z]{3}$') THEN 'currency_format' END) AS violations
 FROM accounts""", "accounts"))
 def account_constraints_q(spark, d):
-    return _acc(spark, d).select("account_id", F.array_join(account_constraints(), ",").alias("violations"))
+    return _acc(spark, d).select("account_id", account_constraints().alias("violations"))
 
 
 @register("label_constraints", "B9", with_views("""
@@ -136,7 +136,7 @@ SELECT transaction_id, concat_ws(',',
        'Marketing', 'Supplies', 'Miscellaneous') THEN 'category_unknown' END) AS violations
 FROM ledger""", "ledger"))
 def label_constraints_q(spark, d):
-    return _led(spark, d).select("transaction_id", F.array_join(label_constraints(), ",").alias("violations"))
+    return _led(spark, d).select("transaction_id", label_constraints().alias("violations"))
 
 
 @register("default_fill", "B15", with_views("""

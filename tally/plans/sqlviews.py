@@ -94,8 +94,17 @@ def with_views(body: str, *names: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def ws_sql() -> str:
+    from tally.functions.text import WHITESPACE
+    return " || ".join(f"chr({ord(ch)})" for ch in WHITESPACE)
+
+
+def strip_sql(c: str) -> str:
+    return f"trim({c}, {ws_sql()})"
+
+
 def norm_sql(c: str) -> str:
-    return f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
+    return f"lower({strip_sql(c)})"
 
 
 def rule_sql(desc: str = "description", direction: str = "direction") -> str:
