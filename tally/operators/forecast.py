@@ -39,10 +39,18 @@ def _date(as_of) -> Column:
 
 
 def daily_signed(ledger: DataFrame, as_of) -> DataFrame:
-    """D10 restricted to the widest lookback: (account_id, ds, net)."""
+    """D10 restricted to the widest lookback: (account_id, ds, net).
+
+    The daily rows (at most one per account and calendar day, so no skew
+    left) are hash-partitioned by account once; every later step - the
+    lookback count, the per-account windows, the fit aggregates by account
+    and by (account, weekday), and the joins on account - is satisfied by
+    that partitioning, so the whole fit runs without another shuffle.
+    """
     return (ledger.where(F.col("transaction_date") >= lookback_cutoff(_date(as_of), MAX_LOOKBACK_YEARS))
             .groupBy("account_id", F.col("transaction_date").alias("ds"))
-            .agg(F.sum(signed_amount(F.col("amount"), F.col("direction"))).cast("bigint").alias("net")))
+            .agg(F.sum(signed_amount(F.col("amount"), F.col("direction"))).cast("bigint").alias("net"))
+            .repartition("account_id"))
 
 
 def adaptive_lookback(daily: DataFrame, as_of) -> DataFrame:
@@ -106,44 +114,55 @@ def _exact(c: str) -> Column:
 def fit_forecaster(series: DataFrame) -> DataFrame:
     """One model row per account from a J1 series.
 
+    Exact sums are taken per (account, weekday) and rolled up per account
+    (integer sums are associative, so this equals the direct sums).  The
+    weekday partials (at most seven per account) give the weekday offsets
+    as a map, so the residual pass is one join on account.  With the series
+    partitioned by account (see daily_signed) none of these steps shuffles.
+
     Parameters are returned in major units; ``weekday_offsets`` is a
     map<int,double> (absent weekday -> no key).
     """
     s = series.withColumn("wd", F.weekday("ds"))
-    st = (s.groupBy("account_id")
-          .agg(F.count(F.lit(1)).alias("n"),
-               F.sum(_exact("i")).alias("si"),
-               F.sum(_exact("i") * _exact("i")).alias("sii"),
-               F.sum(_exact("balance")).alias("sy"),
-               F.sum(_exact("i") * _exact("balance")).alias("siy"),
+    wd = (s.groupBy("account_id", "wd")
+          .agg(F.count(F.lit(1)).alias("nw"),
+               F.sum("i").alias("siw"),
+               F.sum("balance").alias("syw"),
+               F.sum(_exact("i") * _exact("i")).alias("siiw"),
+               F.sum(_exact("i") * _exact("balance")).alias("siyw"),
                F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
                F.first("lookback_years").alias("lookback_years"),
                F.first("currency").alias("currency")))
+    st = (wd.groupBy("account_id")
+          .agg(F.sum("nw").alias("n"),
+               F.sum(F.col("siw").cast(DEC)).alias("si"),
+               F.sum("siiw").alias("sii"),
+               F.sum(F.col("syw").cast(DEC)).alias("sy"),
+               F.sum("siyw").alias("siy"),
+               F.min("first_ds").alias("first_ds"), F.max("last_ds").alias("last_ds"),
+               F.first("lookback_years").alias("lookback_years"),
+               F.first("currency").alias("currency"),
+               F.collect_list(F.struct("wd", "nw", "siw", "syw")).alias("_wds")))
     n = F.col("n").cast(DEC)
     den = (n * F.col("sii") - F.col("si") * F.col("si")).cast("double")
     st = st.select(
-        "account_id", "n", "first_ds", "last_ds", "lookback_years", "currency",
+        "account_id", "n", "first_ds", "last_ds", "lookback_years", "currency", "_wds",
         F.try_divide((n * F.col("siy") - F.col("si") * F.col("sy")).cast("double"), den).alias("b"),
         F.try_divide((F.col("sy") * F.col("sii") - F.col("si") * F.col("siy")).cast("double"), den)
         .alias("a"),
     )
-    wd = (s.groupBy("account_id", "wd")
-          .agg(F.count(F.lit(1)).alias("nw"), F.sum("balance").alias("syw"), F.sum("i").alias("siw")))
-    wd = (wd.join(st.select("account_id", "a", "b"), "account_id")
-          .select("account_id", "wd",
-                  (F.col("syw").cast("double") / F.col("nw").cast("double") - F.col("a")
-                   - F.col("b") * (F.col("siw").cast("double") / F.col("nw").cast("double")))
-                  .alias("off")))
-    res = (s.join(st.select("account_id", "a", "b"), "account_id")
-           .join(wd, ["account_id", "wd"])
+    # off[w] = mean(y_w) - a - b * mean(i_w), from the weekday partials.
+    st = st.withColumn("_offs_s", F.map_from_entries(F.transform("_wds", lambda e: F.struct(
+        e["wd"],
+        e["syw"].cast("double") / e["nw"].cast("double") - F.col("a")
+        - F.col("b") * (e["siw"].cast("double") / e["nw"].cast("double")))))).drop("_wds")
+    res = (s.join(st.select("account_id", "a", "b", "_offs_s"), "account_id")
            .select("account_id",
                    (F.col("balance").cast("double") - F.col("a") - F.col("b") * F.col("i").cast("double")
-                    - F.col("off")).alias("e")))
+                    - F.element_at("_offs_s", F.col("wd"))).alias("e")))
     sig = res.groupBy("account_id").agg(F.stddev_samp("e").alias("sigma_s"))
-    offs = (wd.groupBy("account_id")
-            .agg(F.map_from_entries(F.collect_list(F.struct("wd", "off"))).alias("_offs_s")))
     f = currency_factor(F.col("currency")).cast("double")
-    return (st.join(sig, "account_id", "left").join(offs, "account_id", "left")
+    return (st.join(sig, "account_id", "left")
             .select("account_id", "lookback_years", F.col("n").alias("n_days"), "first_ds", "last_ds",
                     "currency",
                     (F.col("a") / f).alias("intercept"),
