@@ -556,3 +556,21 @@ def categorize_model(spark, d):
     C.retrain_text_model(_ledger_labels(led), path, max_iter=30)
     model = C.load_model(path)
     return C.categorize(led, model).select("transaction_id", "category", "category_source")
+
+
+@register("labeled_scan", "A2", with_views("""
+SELECT category, count(*) AS n FROM ledger WHERE category IS NOT NULL GROUP BY category""", "ledger"))
+def labeled_scan(spark, d):
+    """Ledger rows with a stored category written as a labelled CSV, read
+    back through A2 and the label checks, counted per class."""
+    path = scratch_path(spark, "labels")
+    _ledger_labels(_led(spark, d)).write.option("header", True).csv(path)
+    rows = C.check_labels(CSV.labeled_scan(spark, path))
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("distinct_bad_directions", "D13 B2", with_views(f"""WITH {_NORM_SQL}
+SELECT DISTINCT direction FROM norm WHERE direction IS NULL OR direction NOT IN ('inflow', 'outflow')""",
+                                                          "raw_batch"))
+def distinct_bad_directions(spark, d):
+    return A.distinct_bad_directions(V.normalize_types(tv.raw_batch(spark, d)))
