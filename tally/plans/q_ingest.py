@@ -232,7 +232,7 @@ def _imported(spark, d):
     """Upload rows written as a CSV file set, read back with file row numbers."""
     path = scratch_path(spark, "upload")
     _upload_rows(spark, d).write.option("header", True).csv(path)
-    rows = CSV.with_row_numbers(CSV.read_raw(spark, path))
+    rows = CSV.stage_csv(spark, path, scratch_path(spark, "upload-staged"))
     return K.import_csv(rows, _led(spark, d), mode="upload")
 
 

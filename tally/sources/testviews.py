@@ -81,7 +81,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     df = spark.read.parquet(path)
     if _single_row_group_rows(path) >= SPREAD_MIN_ROWS:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+        # Hash on the leading id column: deterministic under task retries
+        # without the local sort a round-robin repartition needs, and it
+        # adds only that one column to the scan.
+        df = df.repartition(spark.sparkContext.defaultParallelism, F.col(df.columns[0]))
     return df
 
 
