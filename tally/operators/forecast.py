@@ -124,24 +124,23 @@ def fit_forecaster(series: DataFrame) -> DataFrame:
     map<int,double> (absent weekday -> no key).
     """
     s = series.withColumn("wd", F.weekday("ds"))
-    wd = (s.groupBy("account_id", "wd")
+    # lookback_years and currency depend on the account alone; as grouping
+    # keys (not first()) they keep the aggregation hash-based.
+    keys = ["account_id", "lookback_years", "currency"]
+    wd = (s.groupBy(*keys, "wd")
           .agg(F.count(F.lit(1)).alias("nw"),
                F.sum("i").alias("siw"),
                F.sum("balance").alias("syw"),
                F.sum(_exact("i") * _exact("i")).alias("siiw"),
                F.sum(_exact("i") * _exact("balance")).alias("siyw"),
-               F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
-               F.first("lookback_years").alias("lookback_years"),
-               F.first("currency").alias("currency")))
-    st = (wd.groupBy("account_id")
+               F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds")))
+    st = (wd.groupBy(*keys)
           .agg(F.sum("nw").alias("n"),
                F.sum(F.col("siw").cast(DEC)).alias("si"),
                F.sum("siiw").alias("sii"),
                F.sum(F.col("syw").cast(DEC)).alias("sy"),
                F.sum("siyw").alias("siy"),
                F.min("first_ds").alias("first_ds"), F.max("last_ds").alias("last_ds"),
-               F.first("lookback_years").alias("lookback_years"),
-               F.first("currency").alias("currency"),
                F.collect_list(F.struct("wd", "nw", "siw", "syw")).alias("_wds")))
     n = F.col("n").cast(DEC)
     den = (n * F.col("sii") - F.col("si") * F.col("si")).cast("double")
