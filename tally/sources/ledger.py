@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from tally.schema import CURRENCY_DECIMALS, LEDGER_COLUMNS, LEDGER_SCHEMA
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path).select(*LEDGER_COLUMNS)
+def read_ledger(spark: SparkSession, path: str, with_month: bool = False) -> DataFrame:
+    """A ledger snapshot; ``with_month`` keeps the txn_month partition column
+    (for partition-pruned joins)."""
+    df = spark.read.parquet(path)
+    cols = [F.col(f.name).cast(f.dataType) for f in LEDGER_SCHEMA.fields]
+    return df.select(*cols, *(["txn_month"] if with_month else []))
 
 
 def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
