@@ -574,3 +574,32 @@ SELECT DISTINCT direction FROM norm WHERE direction IS NULL OR direction NOT IN
                                                           "raw_batch"))
 def distinct_bad_directions(spark, d):
     return A.distinct_bad_directions(V.normalize_types(tv.raw_batch(spark, d)))
+
+
+_IMPORT_MODE_SQL = f"""
+  SELECT b.transaction_id, b.account_id,
+         CASE WHEN b.transaction_id IS NULL OR b.transaction_id = '' THEN 'error'
+              WHEN l.transaction_id IS NOT NULL THEN 'duplicate'
+              WHEN NOT regexp_matches(b.amount, '^\\s*[+-]?[0-9]+\\s*$') OR b.direction NOT IN ('inflow', 'outflow')
+              THEN 'error' ELSE 'inserted' END AS status,
+         CASE WHEN regexp_matches(b.amount, '^\\s*[+-]?[0-9]+\\s*$') THEN CAST(b.amount AS BIGINT) END AS amount
+  FROM (SELECT * REPLACE (CASE WHEN direction = 'Inflow' AND starts_with(transaction_id, 'new-') THEN ''
+                               ELSE transaction_id END AS transaction_id)
+        FROM ({_upload_sql()})) b
+  LEFT JOIN ledger l ON b.transaction_id = l.transaction_id"""
+
+
+@register("import_csv_id_mode", "K2", with_views(f"SELECT * FROM ({_IMPORT_MODE_SQL})", "ledger"))
+def import_csv_id_mode(spark, d):
+    """The /import variant: a missing id is an error row; duplicates match
+    on the id alone, whatever the account."""
+    rows = _upload_rows(spark, d)
+    rows = rows.withColumn("transaction_id", F.when(
+        (F.col("direction") == "Inflow") & F.col("transaction_id").startswith("new-"), F.lit(""))
+        .otherwise(F.col("transaction_id")))
+    path = scratch_path(spark, "import")
+    rows.write.option("header", True).csv(path)
+    staged = CSV.stage_csv(spark, path, scratch_path(spark, "import-staged"))
+    out = K.import_csv(staged, _led(spark, d), mode="import")
+    return out.select(F.coalesce(F.col("transaction_id"), F.lit("")).alias("transaction_id"), "account_id",
+                      "status", "amount")
