@@ -24,7 +24,7 @@ def list_page(ledger: DataFrame, offset: int = 0, limit: int = 50, category=None
     f = attr_filter(date_range(ledger, start, end), category, direction)
     w = Window.partitionBy("account_id").orderBy(F.col("transaction_date").desc(),
                                                  F.col("transaction_id").asc())
-    page = (f.select(*LISTING_COLUMNS, F.row_number().over(w).alias("position"))
+    page = (f.select(*LISTING_COLUMNS, F.row_number().over(w).cast("bigint").alias("position"))
             .where(F.col("position") <= offset + limit)
             .where(F.col("position") > offset))
     totals = f.groupBy("account_id").agg(F.count(F.lit(1)).alias("total"))

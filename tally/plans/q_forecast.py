@@ -102,7 +102,7 @@ SELECT account_id, ds AS date,
        CAST(round_even(yhat * 100.0, 0) AS BIGINT) AS balance,
        CAST(round_even((yhat - half) * 100.0, 0) AS BIGINT) AS lower_bound,
        CAST(round_even((yhat + half) * 100.0, 0) AS BIGINT) AS upper_bound,
-       0.95 AS confidence_interval
+       CAST(0.95 AS DOUBLE) AS confidence_interval
 FROM p"""
 
 

@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF001
-from tools.oracle_check import digest
+from tools.oracle_check import digest, type_mismatches
 
 SQL = E.oracle_sql()
 QUERIES = E.queries()
@@ -26,6 +26,8 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
+    stypes = [f.dataType.simpleString() for f in df.schema.fields]
+    assert not type_mismatches(df.columns, stypes, dcols, [str(d[1]) for d in r.description])
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_NO_ORACLE))
