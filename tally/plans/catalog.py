@@ -45,8 +45,14 @@ def _acc(spark, d):
 
 
 def as_of_of(ledger: DataFrame):
-    """as_of = last transaction date, as a scalar subquery (no collect)."""
-    return ledger.agg(F.max("transaction_date")).scalar()
+    """as_of ("today") = the last transaction date, as a date literal.
+
+    One tiny aggregate job (a single column, partial max per task) returns
+    one scalar.  A literal run date, unlike a scalar subquery repeated in
+    every cutoff, is planned once and is pushed into the parquet scans as a
+    data filter.
+    """
+    return F.lit(ledger.agg(F.max("transaction_date")).first()[0]).cast("date")
 
 
 AS_OF_SQL = "(SELECT max(transaction_date) FROM ledger)"
