@@ -87,22 +87,30 @@ def balance_series(ledger: DataFrame, accounts: DataFrame, as_of) -> DataFrame:
 
     balance = starting_balance + running sum of daily net (smallest units,
     bigint); y = balance in major units; i = 0-based row index (E1, E2).
+    The J2 counts are a window over the account's daily rows (already
+    partitioned by account, at most one row per day), so choosing the
+    lookback needs neither a join nor a shuffle.
     """
     d = _date(as_of)
     daily = daily_signed(ledger, d)
-    look = adaptive_lookback(daily, d).where(F.col("lookback_years").isNotNull())
-    acc = accounts.select("account_id", "starting_balance", "currency")
-    s = (daily.join(look.select("account_id", "lookback_years"), "account_id")
-         .where(F.col("ds") >= F.add_months(d, -12 * F.col("lookback_years")))
-         .join(acc, "account_id", "left"))
+    whole = Window.partitionBy("account_id")
+    for n in LOOKBACKS:
+        daily = daily.withColumn(f"_d{n}", F.sum((F.col("ds") >= lookback_cutoff(d, n)).cast("bigint")).over(whole))
+    pick = F.lit(None).cast("int")
+    for n in reversed(LOOKBACKS):
+        pick = F.when(F.col(f"_d{n}") >= MIN_DAYS_REQUIRED, F.lit(n)).otherwise(pick)
+    s = (daily.withColumn("lookback_years", pick)
+         .where(F.col("lookback_years").isNotNull()
+                & (F.col("ds") >= F.add_months(d, -12 * F.col("lookback_years")))))
     w = Window.partitionBy("account_id").orderBy("ds")
     wc = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.select(
-        "account_id", "ds", "lookback_years", "currency",
-        (F.row_number().over(w) - 1).cast("bigint").alias("i"),
-        (F.coalesce("starting_balance", F.lit(0).cast("bigint")) + F.sum("net").over(wc))
-        .cast("bigint").alias("balance"),
-    )
+    s = s.select("account_id", "ds", "lookback_years",
+                 (F.row_number().over(w) - 1).cast("bigint").alias("i"),
+                 F.sum("net").over(wc).alias("_cum"))
+    acc = accounts.select("account_id", "starting_balance", "currency")
+    s = s.join(acc, "account_id", "left").select(
+        "account_id", "ds", "lookback_years", "currency", "i",
+        (F.coalesce("starting_balance", F.lit(0).cast("bigint")) + F.col("_cum")).cast("bigint").alias("balance"))
     return s.withColumn("y", F.col("balance").cast("double")
                         / currency_factor(F.col("currency")).cast("double"))
 
@@ -112,62 +120,56 @@ def _exact(c: str) -> Column:
 
 
 def fit_forecaster(series: DataFrame) -> DataFrame:
-    """One model row per account from a J1 series.
+    """One model row per account from a J1 series, in a single pass.
 
-    Exact sums are taken per (account, weekday) and rolled up per account
-    (integer sums are associative, so this equals the direct sums).  The
-    weekday partials (at most seven per account) give the weekday offsets
-    as a map, so the residual pass is one join on account.  With the series
-    partitioned by account (see daily_signed) none of these steps shuffles.
+    The least-squares sums are window aggregates over the account's rows
+    (exact decimal(38,0)), the weekday sums are window aggregates over
+    (account, weekday), so every row knows its account's a, b and its
+    weekday offset; the residual stddev and the model come from one final
+    group-by.  The series is partitioned by account (see daily_signed), so
+    the windows and the group-by need no shuffle, and a window partition is
+    at most one account's days.
 
     Parameters are returned in major units; ``weekday_offsets`` is a
     map<int,double> (absent weekday -> no key).
     """
-    s = series.withColumn("wd", F.weekday("ds"))
-    # lookback_years and currency depend on the account alone; as grouping
-    # keys (not first()) they keep the aggregation hash-based.
-    keys = ["account_id", "lookback_years", "currency"]
-    wd = (s.groupBy(*keys, "wd")
-          .agg(F.count(F.lit(1)).alias("nw"),
-               F.sum("i").alias("siw"),
-               F.sum("balance").alias("syw"),
-               F.sum(_exact("i") * _exact("i")).alias("siiw"),
-               F.sum(_exact("i") * _exact("balance")).alias("siyw"),
-               F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds")))
-    st = (wd.groupBy(*keys)
-          .agg(F.sum("nw").alias("n"),
-               F.sum(F.col("siw").cast(DEC)).alias("si"),
-               F.sum("siiw").alias("sii"),
-               F.sum(F.col("syw").cast(DEC)).alias("sy"),
-               F.sum("siyw").alias("siy"),
-               F.min("first_ds").alias("first_ds"), F.max("last_ds").alias("last_ds"),
-               F.collect_list(F.struct("wd", "nw", "siw", "syw")).alias("_wds")))
+    wa = Window.partitionBy("account_id")
+    ww = Window.partitionBy("account_id", "wd")
+    s = series.withColumn("wd", F.weekday("ds")).withColumns({
+        "n": F.count(F.lit(1)).over(wa),
+        "si": F.sum(_exact("i")).over(wa),
+        "sii": F.sum(_exact("i") * _exact("i")).over(wa),
+        "sy": F.sum(_exact("balance")).over(wa),
+        "siy": F.sum(_exact("i") * _exact("balance")).over(wa),
+        "nw": F.count(F.lit(1)).over(ww),
+        "syw": F.sum("balance").over(ww),
+        "siw": F.sum("i").over(ww),
+    })
     n = F.col("n").cast(DEC)
     den = (n * F.col("sii") - F.col("si") * F.col("si")).cast("double")
-    st = st.select(
-        "account_id", "n", "first_ds", "last_ds", "lookback_years", "currency", "_wds",
-        F.try_divide((n * F.col("siy") - F.col("si") * F.col("sy")).cast("double"), den).alias("b"),
-        F.try_divide((F.col("sy") * F.col("sii") - F.col("si") * F.col("siy")).cast("double"), den)
-        .alias("a"),
-    )
-    # off[w] = mean(y_w) - a - b * mean(i_w), from the weekday partials.
-    st = st.withColumn("_offs_s", F.map_from_entries(F.transform("_wds", lambda e: F.struct(
-        e["wd"],
-        e["syw"].cast("double") / e["nw"].cast("double") - F.col("a")
-        - F.col("b") * (e["siw"].cast("double") / e["nw"].cast("double")))))).drop("_wds")
-    res = (s.join(st.select("account_id", "a", "b", "_offs_s"), "account_id")
-           .select("account_id",
-                   (F.col("balance").cast("double") - F.col("a") - F.col("b") * F.col("i").cast("double")
-                    - F.element_at("_offs_s", F.col("wd"))).alias("e")))
-    sig = res.groupBy("account_id").agg(F.stddev_samp("e").alias("sigma_s"))
+    s = s.withColumns({
+        "b": F.try_divide((n * F.col("siy") - F.col("si") * F.col("sy")).cast("double"), den),
+        "a": F.try_divide((F.col("sy") * F.col("sii") - F.col("si") * F.col("siy")).cast("double"), den),
+    })
+    # off[w] = mean(y_w) - a - b * mean(i_w)
+    s = s.withColumn("off", F.col("syw").cast("double") / F.col("nw").cast("double") - F.col("a")
+                     - F.col("b") * (F.col("siw").cast("double") / F.col("nw").cast("double")))
+    s = s.withColumn("e", F.col("balance").cast("double") - F.col("a") - F.col("b") * F.col("i").cast("double")
+                     - F.col("off"))
+    # a, b, n are constant within an account: max() just picks them and
+    # keeps the aggregation hash-based.
+    m = (s.groupBy("account_id", "lookback_years", "currency")
+         .agg(F.max("n").alias("n"), F.max("a").alias("a"), F.max("b").alias("b"),
+              F.min("ds").alias("first_ds"), F.max("ds").alias("last_ds"),
+              F.stddev_samp("e").alias("sigma_s"),
+              F.map_from_entries(F.array_sort(F.collect_set(F.struct("wd", "off")))).alias("_offs_s")))
     f = currency_factor(F.col("currency")).cast("double")
-    return (st.join(sig, "account_id", "left")
-            .select("account_id", "lookback_years", F.col("n").alias("n_days"), "first_ds", "last_ds",
+    return m.select("account_id", "lookback_years", F.col("n").alias("n_days"), "first_ds", "last_ds",
                     "currency",
                     (F.col("a") / f).alias("intercept"),
                     (F.col("b") / f).alias("slope"),
                     F.transform_values("_offs_s", lambda k, v: v / f).alias("weekday_offsets"),
-                    (F.rint(F.coalesce(F.col("sigma_s"), F.lit(0.0)) / f * 1e4) / 1e4).alias("sigma")))
+                    (F.rint(F.coalesce(F.col("sigma_s"), F.lit(0.0)) / f * 1e4) / 1e4).alias("sigma"))
 
 
 def retrain_all(ledger: DataFrame, accounts: DataFrame, as_of, trained_at=None) -> DataFrame:
@@ -177,7 +179,11 @@ def retrain_all(ledger: DataFrame, accounts: DataFrame, as_of, trained_at=None)
     models = fit_forecaster(balance_series(ledger, accounts, d))
     ts = trained_at if trained_at is not None else F.current_timestamp()
     ok = models.withColumn("status", F.lit("trained")).withColumn("error", F.lit(None).cast("string"))
-    bad = insufficient_accounts(accounts, adaptive_lookback(daily_signed(ledger, d), d))
+    # An account gets a model exactly when some lookback reaches 90 days.
+    bad = (accounts.select("account_id").join(models.select("account_id"), "account_id", "left_anti")
+           .withColumn("status", F.lit("insufficient_data"))
+           .withColumn("error", F.concat(F.lit("Not enough data to train model for account "),
+                                         F.col("account_id"))))
     return (ok.unionByName(bad, allowMissingColumns=True)
             .join(accounts.select("account_id", "user_id"), "account_id", "left")
             .withColumn("trained_at", ts))
