@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tally.errors import ModelNotFoundError, ValidationError
 from tally.functions.constraints import label_constraints
-from tally.functions.text import rule_category
+from tally.functions.text import NORM_COL, rule_category, rule_category_col, with_normalized
 from tally.schema import FALLBACK_CONFIDENCE, RULE_CONFIDENCE
 
 MODEL_INPUT = "_model_text"
@@ -24,7 +24,7 @@ HASH_FEATURES = 1 << 16
 
 def with_rule_category(df: DataFrame, out: str = "rule_category") -> DataFrame:
     """Rule category (null when no rule applies)."""
-    return df.withColumn(out, rule_category(F.col("description"), F.col("direction")))
+    return with_normalized(df).withColumn(out, rule_category_col()).drop(NORM_COL)
 
 
 def _given(c: str = "category"):
@@ -34,14 +34,15 @@ def _given(c: str = "category"):
 
 def resolve_category(df: DataFrame) -> DataFrame:
     """I4: the given category if non-empty, else the rule, else Miscellaneous."""
-    return df.withColumn("category", F.coalesce(
-        _given(), rule_category(F.col("description"), F.col("direction")), F.lit("Miscellaneous")))
+    return (with_normalized(df)
+            .withColumn("category", F.coalesce(_given(), rule_category_col(), F.lit("Miscellaneous")))
+            .drop(NORM_COL))
 
 
 def categorize_scored(df: DataFrame) -> DataFrame:
     """Rule category or Miscellaneous, confidence 0.85 / 0.6, method."""
-    cat = F.coalesce(rule_category(F.col("description"), F.col("direction")), F.lit("Miscellaneous"))
-    return (df.withColumn("category", cat)
+    cat = F.coalesce(rule_category_col(), F.lit("Miscellaneous"))
+    return (with_normalized(df).withColumn("category", cat).drop(NORM_COL)
             .withColumn("confidence", F.when(F.col("category") == "Miscellaneous", F.lit(FALLBACK_CONFIDENCE))
                         .otherwise(F.lit(RULE_CONFIDENCE)))
             .withColumn("method", F.lit("rule_based")))
@@ -50,10 +51,10 @@ def categorize_scored(df: DataFrame) -> DataFrame:
 def fill_categories(ledger: DataFrame) -> DataFrame:
     """Rows with a null/empty category get the I5 category; others keep
     theirs.  Adds ``was_filled`` for the report."""
-    scored = F.coalesce(rule_category(F.col("description"), F.col("direction")), F.lit("Miscellaneous"))
+    scored = F.coalesce(rule_category_col(), F.lit("Miscellaneous"))
     filled = _given().isNull()
-    return (ledger.withColumn("was_filled", filled)
-            .withColumn("category", F.when(filled, scored).otherwise(F.col("category"))))
+    return (with_normalized(ledger).withColumn("was_filled", filled)
+            .withColumn("category", F.when(filled, scored).otherwise(F.col("category"))).drop(NORM_COL))
 
 
 def fill_report(filled: DataFrame) -> DataFrame:
@@ -118,8 +119,7 @@ def categorize(df: DataFrame, model: PipelineModel) -> DataFrame:
     to tokenize), so only the undecided rows cost scoring work.  Existing
     categories are overwritten, and every row ends non-null.
     """
-    rc = rule_category(F.col("description"), F.col("direction"))
-    scored_in = (df.withColumn("_rule", rc)
+    scored_in = (with_normalized(df).withColumn("_rule", rule_category_col()).drop(NORM_COL)
                  .withColumn(MODEL_INPUT, F.when(F.col("_rule").isNull(),
                                                  F.coalesce(F.col("description").cast("string"), F.lit("")))
                              .otherwise(F.lit(""))))
