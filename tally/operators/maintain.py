@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions.constraints import account_constraints, tx_constraints
-from tally.functions.text import rule_category
+from tally.functions.text import NORM_COL, rule_category_col, with_normalized
 from tally.schema import ALLOWED_DIRECTIONS, LEDGER_COLUMNS
 
 STATUSES = ("inserted", "duplicate", "error")
@@ -21,8 +21,8 @@ def _nonempty(c: str):
 
 
 def _resolved_category():
-    return F.coalesce(_nonempty("category"), rule_category(F.col("description"), F.col("direction")),
-                      F.lit("Miscellaneous"))
+    """I4 over a frame prepared by ``with_normalized``."""
+    return F.coalesce(_nonempty("category"), rule_category_col(), F.lit("Miscellaneous"))
 
 
 def classify_batch(batch: DataFrame, ledger: DataFrame, key_mode: str = "account") -> DataFrame:
@@ -82,7 +82,7 @@ def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of
     c = classify_batch(r, ledger, "account")
     c = c.withColumn("status", F.when(~F.col("_valid"), "error").otherwise(F.col("status")))
     acc = accounts.select("account_id", F.col("currency").alias("_acct_currency"))
-    return (c.join(acc, "account_id", "left")
+    return (with_normalized(c.join(acc, "account_id", "left"))
             .select("transaction_id", "account_id", "description", _resolved_category().alias("category"),
                     F.col("amount").cast("bigint").alias("amount"), "direction",
                     F.col("_acct_currency").alias("currency"),
@@ -113,7 +113,7 @@ def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_t
          .withColumn("_amount", amount)
          .withColumn("_valid", id_ok & F.col("_amount").isNotNull()
                      & F.col("direction").isin(*ALLOWED_DIRECTIONS)))
-    c = classify_batch(r, ledger, "account" if mode == "upload" else "id")
+    c = with_normalized(classify_batch(r, ledger, "account" if mode == "upload" else "id"))
     return c.select("transaction_id", "account_id", "description", _resolved_category().alias("category"),
                     F.col("_amount").alias("amount"), "direction",
                     F.col("transaction_date").try_cast("date").alias("transaction_date"),
