@@ -114,7 +114,10 @@ def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_t
          .withColumn("_valid", id_ok & F.col("_amount").isNotNull()
                      & F.col("direction").isin(*ALLOWED_DIRECTIONS)))
     c = with_normalized(classify_batch(r, ledger, "account" if mode == "upload" else "id"))
-    return c.select("transaction_id", "account_id", "description", _resolved_category().alias("category"),
+    # Spark reads an empty CSV cell as null; the ledger stores ''.
+    return c.select("transaction_id", "account_id",
+                    F.coalesce(F.col("description"), F.lit("")).alias("description"),
+                    _resolved_category().alias("category"),
                     F.col("_amount").alias("amount"), "direction",
                     F.col("transaction_date").try_cast("date").alias("transaction_date"),
                     "_row", (F.col("_row") + 2).alias("row_number"), "status")
