@@ -162,9 +162,7 @@ def list_page(spark, d):
     return LS.list_page(_led(spark, d), offset=10, limit=20, direction="inflow")
 
 
-@register("account_list", "F4", with_views("""
-SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY account_id) AS BIGINT) AS position
-FROM accounts""", "accounts"))
+@register("account_list", "F4", with_views("SELECT * FROM accounts ORDER BY user_id, account_id", "accounts"))
 def account_list(spark, d):
     return LS.account_list(_acc(spark, d))
 
