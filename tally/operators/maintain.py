@@ -65,9 +65,13 @@ def classify_batch(batch: DataFrame, ledger: DataFrame, key_mode: str = "account
     return b.withColumn("status", status).drop("_held_by", "_pre", "_w")
 
 
-def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of_ts) -> DataFrame:
+def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of_ts,
+              mode: str = "bulk") -> DataFrame:
     """K1: API inserts (amount already in smallest units).
 
+    mode 'bulk' skips duplicates (status 'duplicate'); mode 'single' treats
+    a duplicate as an error, as a one-row create does.
+
     Missing ids get a deterministic generated id; B7 violations make a row
     an error; duplicates on (account_id, id) are skipped; the category is
     resolved (I4); currency comes from the account; posted_at defaults to
@@ -81,6 +85,8 @@ def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of
     r = r.withColumn("_valid", F.col("_viol") == "")
     c = classify_batch(r, ledger, "account")
     c = c.withColumn("status", F.when(~F.col("_valid"), "error").otherwise(F.col("status")))
+    if mode == "single":
+        c = c.withColumn("status", F.when(F.col("status") == "duplicate", "error").otherwise(F.col("status")))
     acc = accounts.select("account_id", F.col("currency").alias("_acct_currency"))
     return (with_normalized(c.join(acc, "account_id", "left"))
             .select("transaction_id", "account_id", "description", _resolved_category().alias("category"),

@@ -72,3 +72,16 @@ def test_account_maintenance(spark):
     status, after = K.account_delete(acc, led, keys)
     assert {r.account_id: r.status for r in status.collect()} == {"1": "has_transactions", "9": "not_found"}
     assert after.count() == 1
+
+
+def test_insert_single_mode_duplicate_is_error(spark):
+    req = spark.createDataFrame(
+        [("L1", "acct1", "Office Rent", "", 5, "outflow", "2025-01-01", None, 0),
+         ("N9", "acct1", "Office Rent", "", 5, "outflow", "2025-01-01", None, 1)],
+        "transaction_id string, account_id string, description string, category string, amount long, "
+        "direction string, transaction_date string, posted_at string, _row long")
+    acc = spark.createDataFrame([("acct1", "NGN")], "account_id string, currency string")
+    bulk = {r.transaction_id: r.status for r in K.insert_tx(req, _ledger(spark), acc, "2025-06-30 12:00:00").collect()}
+    single = {r.transaction_id: r.status
+              for r in K.insert_tx(req, _ledger(spark), acc, "2025-06-30 12:00:00", mode="single").collect()}
+    assert bulk == {"L1": "duplicate", "N9": "inserted"} and single == {"L1": "error", "N9": "inserted"}
