@@ -76,8 +76,8 @@ def test_account_maintenance(spark):
 
 def test_insert_single_mode_duplicate_is_error(spark):
     req = spark.createDataFrame(
-        [("L1", "acct1", "Office Rent", "", 5, "outflow", "2025-01-01", None, 0),
-         ("N9", "acct1", "Office Rent", "", 5, "outflow", "2025-01-01", None, 1)],
+        [("L1", "acct1", "Office Rent", None, 5, "outflow", "2025-01-01", None, 0),
+         ("N9", "acct1", "Office Rent", None, 5, "outflow", "2025-01-01", None, 1)],
         "transaction_id string, account_id string, description string, category string, amount long, "
         "direction string, transaction_date string, posted_at string, _row long")
     acc = spark.createDataFrame([("acct1", "NGN")], "account_id string, currency string")
