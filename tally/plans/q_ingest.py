@@ -277,7 +277,7 @@ def _api_requests(spark, d):
         F.when(F.col("l_linestatus") == "F", tid).otherwise(F.concat(F.lit("api-"), tid)).alias("transaction_id"),
         F.col("l_suppkey").cast("string").alias("account_id"),
         tv._pick([p for p, _ in tv.DESCRIPTION_FIXTURE], idx).alias("description"),
-        F.when(F.col("l_returnflag") == "N", F.lit("Groceries")).otherwise(F.lit("")).alias("category"),
+        F.when(F.col("l_returnflag") == "N", F.lit("Groceries")).alias("category"),
         F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"),
         F.when(F.col("l_returnflag") == "R", "outflow").otherwise("inflow").alias("direction"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("transaction_date"),
@@ -297,7 +297,7 @@ _CATS = "('Salaries', 'Rent', 'Utilities', 'Revenue', 'Inventory', 'Marketing',
 WITH b AS (
   SELECT CASE WHEN l_linestatus = 'F' THEN tid ELSE 'api-' || tid END AS transaction_id,
          CAST(l_suppkey AS VARCHAR) AS account_id, description,
-         CASE WHEN l_returnflag = 'N' THEN 'Groceries' ELSE '' END AS category,
+         CASE WHEN l_returnflag = 'N' THEN 'Groceries' END AS category,
          CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS amount,
          CASE WHEN l_returnflag = 'R' THEN 'outflow' ELSE 'inflow' END AS direction
   FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y%m%d')) AS tid,
@@ -308,7 +308,8 @@ v AS (SELECT b.*, concat_ws(',',
         l.account_id AS held_by
       FROM b LEFT JOIN ledger l ON b.transaction_id = l.transaction_id)
 SELECT transaction_id, account_id,
-       CASE WHEN category <> '' THEN category ELSE coalesce({rule_sql()}, 'Miscellaneous') END AS category,
+       CASE WHEN category IS NOT NULL AND category <> '' THEN category
+            ELSE coalesce({rule_sql()}, 'Miscellaneous') END AS category,
        amount, 'USD' AS currency,
        CASE WHEN errors <> '' THEN 'error' WHEN held_by = account_id THEN 'duplicate'
             WHEN held_by IS NOT NULL THEN 'error' ELSE 'inserted' END AS status,
