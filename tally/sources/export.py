@@ -52,8 +52,10 @@ def export_json(ledger: DataFrame, path: str, export_date, **kw) -> None:
     """Per account a header line then its transactions, as JSON lines."""
     head = export_json_header(ledger, export_date, **kw).select(
         "account_id", F.to_json(F.struct("account_id", "export_date", "transaction_count")).alias("value"),
-        F.lit(0).alias("_part"))
-    rows = export_json_lines(ledger, **kw).withColumn("_part", F.lit(1))
-    (head.unionByName(rows).repartitionByRange("account_id", "_part")
-     .sortWithinPartitions("account_id", "_part")
-     .drop("_part").write.partitionBy("account_id").text(path))
+        F.lit(0).alias("_part"), F.lit(None).cast("date").alias("_d"), F.lit(None).cast("string").alias("_id"))
+    f = export_frame(ledger, **kw)
+    rows = f.select("account_id", F.to_json(F.struct(*LISTING_COLUMNS)).alias("value"), F.lit(1).alias("_part"),
+                    F.col("transaction_date").alias("_d"), F.col("transaction_id").alias("_id"))
+    order = ["account_id", "_part", F.col("_d").desc(), "_id"]
+    (head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+     .drop("_part", "_d", "_id").write.partitionBy("account_id").text(path))

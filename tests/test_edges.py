@@ -83,3 +83,25 @@ def test_authorization_gate(spark):
     J.assert_authorized(batch.join(acc.where(F.col("user_id") == owner), "account_id", "left_semi"), acc, owner)
     with pytest.raises(ValidationError):
         J.assert_authorized(batch, acc, 999)
+
+
+def test_exports_round_trip(spark):
+    import glob
+    import json
+    from tally.session import scratch_path
+    from tally.sources import export as EX
+    led = tv.transactions(spark, SF001)
+    p = scratch_path(spark, "exp-json")
+    EX.export_json(led, p, "2025-06-30")
+    acct = led.first().account_id
+    lines = []
+    for f in sorted(glob.glob(f"{p}/account_id={acct}/part-*")):
+        lines += [json.loads(x) for x in open(f) if x.strip()]
+    head, rows = lines[0], lines[1:]
+    assert head["transaction_count"] == len(rows) == led.where(F.col("account_id") == acct).count()
+    dates = [r["transaction_date"] for r in rows]
+    assert dates == sorted(dates, reverse=True)
+    c = scratch_path(spark, "exp-csv")
+    EX.export_csv(led, c)
+    back = spark.read.option("header", True).csv(c)
+    assert back.count() == led.count()
