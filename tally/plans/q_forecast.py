@@ -252,3 +252,27 @@ def model_status_q(spark, d):
     led, acc, as_of = _order(spark, d)
     models = FC.retrain_all(led, acc, as_of, trained_at=as_of.cast("timestamp_ntz"))
     return model_status(acc, models.where(F.col("status") == "trained"), led)
+
+
+@register("future_dates", "J5 F3", with_views(f"""WITH {_fc_ctes('ledger', 'accounts', AS_OF_SQL)}
+SELECT m.account_id, CAST(m.last_ds + CAST(k AS INTEGER) AS DATE) AS ds
+FROM model m, range(1, 15) r(k)""", "ledger", "accounts"))
+def future_dates(spark, d):
+    """Only future dates are generated, so the 'last N predictions' tail is
+    the whole output."""
+    led, acc, as_of = _supp(spark, d)
+    return FC.future_dates(FC.fit_forecaster(FC.balance_series(led, acc, as_of)), 14).select("account_id", "ds")
+
+
+@register("predict_balance", "J6", with_views(f"""WITH {_fc_ctes('ledger', 'accounts', AS_OF_SQL)},
+fut AS (SELECT m.*, CAST(m.last_ds + CAST(k AS INTEGER) AS DATE) AS ds FROM model m, range(1, 8) r(k)),
+p AS (SELECT f.account_id, f.ds, f.currency,
+             f.intercept + f.slope * CAST(datediff('day', f.first_ds, f.ds) AS DOUBLE)
+               + coalesce(o.off / 100.0, 0.0) AS yhat,
+             greatest(f.sigma, 1e-6) * 1.96 AS half
+      FROM fut f LEFT JOIN wdo o ON o.account_id = f.account_id AND o.wd = isodow(f.ds) - 1)
+SELECT account_id, ds, currency, yhat, yhat - half AS yhat_lower, yhat + half AS yhat_upper FROM p""",
+                                                "ledger", "accounts"))
+def predict_balance(spark, d):
+    led, acc, as_of = _supp(spark, d)
+    return FC.predict_balance(FC.future_dates(FC.fit_forecaster(FC.balance_series(led, acc, as_of)), 7))

@@ -231,7 +231,7 @@ def _upload_rows(spark, d):
 def _imported(spark, d):
     """Upload rows written as a CSV file set, read back with file row numbers."""
     path = scratch_path(spark, "upload")
-    _upload_rows(spark, d).write.option("header", True).csv(path)
+    CSV.write_csv(_upload_rows(spark, d), path)
     rows = CSV.stage_csv(spark, path, scratch_path(spark, "upload-staged"))
     return K.import_csv(rows, _led(spark, d), mode="upload")
 
@@ -440,7 +440,7 @@ WHERE a.violations = '' AND a.transaction_id NOT IN (
 
 def _raw_csv(spark, d, files: int = 4):
     path = scratch_path(spark, "raw")
-    tv.raw_batch(spark, d).repartition(files).write.option("header", True).csv(path)
+    CSV.write_csv(tv.raw_batch(spark, d).repartition(files), path)
     return path
 
 
@@ -565,7 +565,7 @@ def labeled_scan(spark, d):
     """Ledger rows with a stored category written as a labelled CSV, read
     back through A2 and the label checks, counted per class."""
     path = scratch_path(spark, "labels")
-    _ledger_labels(_led(spark, d)).write.option("header", True).csv(path)
+    CSV.write_csv(_ledger_labels(_led(spark, d)), path)
     rows = C.check_labels(CSV.labeled_scan(spark, path))
     return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
@@ -599,8 +599,37 @@ def import_csv_id_mode(spark, d):
         (F.col("direction") == "Inflow") & F.col("transaction_id").startswith("new-"), F.lit(""))
         .otherwise(F.col("transaction_id")))
     path = scratch_path(spark, "import")
-    rows.write.option("header", True).csv(path)
+    CSV.write_csv(rows, path)
     staged = CSV.stage_csv(spark, path, scratch_path(spark, "import-staged"))
     out = K.import_csv(staged, _led(spark, d), mode="import")
     return out.select(F.coalesce(F.col("transaction_id"), F.lit("")).alias("transaction_id"), "account_id",
                       "status", "amount")
+
+
+@register("csv_scan", "A1", with_views(f"""
+SELECT transaction_id, account_id, description, direction, transaction_date, currency,
+       try_cast({_strip('amount')} AS DOUBLE) AS amount
+FROM raw_batch""", "raw_batch"))
+def csv_scan(spark, d):
+    """A1 alone: the raw batch as CSV files, read back with the declared
+    all-string schema (amount parsed only for the comparison)."""
+    raw = CSV.csv_scan(spark, _raw_csv(spark, d))
+    return raw.select("transaction_id", "account_id", F.coalesce("description", F.lit("")).alias("description"),
+                      "direction", "transaction_date", "currency",
+                      V.strip_ws(F.col("amount")).try_cast("double").alias("amount"))
+
+
+@register("value_check", "B3", with_views(f"""WITH {_NORM_SQL}
+SELECT CAST(count(*) FILTER (WHERE contains(violations, 'direction_invalid')) AS BIGINT) AS direction_invalid,
+       CAST(count(*) FILTER (WHERE contains(violations, 'amount_invalid')) AS BIGINT) AS amount_invalid,
+       CAST(count(*) FILTER (WHERE contains(violations, 'transaction_date_invalid')) AS BIGINT) AS transaction_date_invalid,
+       CAST(count(*) FILTER (WHERE contains(violations, 'currency_unsupported')) AS BIGINT) AS currency_unsupported,
+       CAST(count(*) FILTER (WHERE violations = '') AS BIGINT) AS valid
+FROM annot""", "raw_batch"))
+def value_check(spark, d):
+    """B3 in batch form: one aggregation counts each violation (the strict
+    mode raises on the first non-zero count, in this order)."""
+    a = V.annotate(tv.raw_batch(spark, d))
+    codes = ["direction_invalid", "amount_invalid", "transaction_date_invalid", "currency_unsupported"]
+    return a.agg(*[F.count(F.when(F.col("violations").contains(c), 1)).alias(c) for c in codes],
+                 F.count(F.when(F.col("violations") == "", 1)).alias("valid"))

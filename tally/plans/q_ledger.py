@@ -189,3 +189,44 @@ def log_scan_query(spark, d):
     path = scratch_path(spark, "log")
     good.unionByName(broken).write.text(path)
     return LS.log_query(LG.read_log(spark, path), level="error", start="2024-01-02", limit=1000)
+
+
+@register("date_range", "B10", with_views("""
+SELECT transaction_id, account_id, transaction_date FROM ledger
+WHERE transaction_date >= DATE '1998-02-01' AND transaction_date <= DATE '1998-02-28'""", "ledger"))
+def date_range(spark, d):
+    """Both bounds inclusive on dates (the last day is kept)."""
+    return FL.date_range(_led(spark, d), "1998-02-01", "1998-02-28").select(
+        "transaction_id", "account_id", "transaction_date")
+
+
+@register("lookback_filter", "B12", with_views(f"""
+SELECT account_id, count(*) AS rows_in_lookback FROM ledger
+WHERE transaction_date >= CAST({AS_OF_SQL} - INTERVAL 3 YEAR AS DATE) GROUP BY account_id""", "ledger"))
+def lookback_filter(spark, d):
+    led = _led(spark, d)
+    return (FL.lookback_filter(led, 3, as_of_of(led)).groupBy("account_id")
+            .agg(F.count(F.lit(1)).alias("rows_in_lookback")))
+
+
+@register("distinct_values", "D13", with_views("""
+SELECT array_to_string(list_sort(list(DISTINCT category)), ',') AS categories
+FROM ledger WHERE category IS NOT NULL""", "ledger"))
+def distinct_values(spark, d):
+    """Sorted distinct categories of the whole ledger (a partial-aggregated
+    distinct; the result is bounded by the category domain)."""
+    cats = _led(spark, d).where(F.col("category").isNotNull()).select("category").distinct()
+    return cats.agg(F.array_join(F.array_sort(F.collect_list("category")), ",").alias("categories"))
+
+
+@register("log_scan", "A3", with_views("SELECT ts, level, message, account_id, user_id FROM log", "log"))
+def log_scan(spark, d):
+    """A3 alone: every record of the JSON-lines log; a malformed line per
+    view event and a blank line per click event are dropped on read."""
+    flat = tv.log_events(spark, d)
+    broken = (flat.where(F.col("level") == "VIEW")
+              .select(F.concat(F.lit('{"record": '), F.col("message")).alias("value")))
+    path = scratch_path(spark, "log-all")
+    blank = flat.where(F.col("level") == "CLICK").select(F.lit("").alias("value"))
+    LG.to_log_lines(flat).unionByName(broken).unionByName(blank).write.text(path)
+    return LG.read_log(spark, path)

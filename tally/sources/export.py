@@ -31,7 +31,8 @@ def export_csv(ledger: DataFrame, path: str, **kw) -> None:
     # files of an account cover consecutive date ranges, newest first.
     (f.repartitionByRange("account_id", F.col("transaction_date").desc(), "transaction_id")
      .sortWithinPartitions("account_id", F.col("transaction_date").desc(), "transaction_id")
-     .write.option("header", True).partitionBy("account_id").csv(path))
+     .write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).partitionBy("account_id").csv(path))
 
 
 def export_json_header(ledger: DataFrame, export_date, **kw) -> DataFrame:
