@@ -85,3 +85,23 @@ def test_insert_single_mode_duplicate_is_error(spark):
     single = {r.transaction_id: r.status
               for r in K.insert_tx(req, _ledger(spark), acc, "2025-06-30 12:00:00", mode="single").collect()}
     assert bulk == {"L1": "duplicate", "N9": "inserted"} and single == {"L1": "error", "N9": "inserted"}
+
+
+def test_row_numbers_across_files_and_splits(spark):
+    d = tempfile.mkdtemp(prefix="tally-csv-multi-")
+    sizes = {"a.csv": 5000, "b.csv": 1, "c.csv": 7000}
+    for name, n in sizes.items():
+        with open(os.path.join(d, name), "w") as f:
+            f.write("transaction_id,note\n")
+            for i in range(n):
+                f.write(f"{name}:{i},{'x' * (i % 17)}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        raw = CSV.read_raw(spark, d)
+        assert raw.rdd.getNumPartitions() > 3  # files really are split
+        rows = CSV.with_row_numbers(raw).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == sum(sizes.values())
+    assert all(int(r.transaction_id.split(":")[1]) == r._row for r in rows)

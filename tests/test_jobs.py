@@ -20,3 +20,14 @@ def test_timed_jobs(spark):
     assert LG.read_ledger(spark, out).count() == led.count() - rep.rows_to_delete
     dry = jobs.cleanup(spark, led_path, scratch_path(spark, "j-dry"), 1000, dry_run=True).first()
     assert dry.rows_to_delete == rep.rows_to_delete and dry.dry_run
+
+
+def test_snapshot_month_pruning(spark):
+    from pyspark.sql import functions as F
+    p = scratch_path(spark, "j-prune")
+    LG.write_snapshot(tv.transactions(spark, SF001), p)
+    df = LG.read_ledger(spark, p, with_month=True).where(F.col("txn_month") == "1998-02")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(txn_month" in plan and "1998-02" in plan
+    assert df.count() == tv.transactions(spark, SF001).where(
+        F.date_format("transaction_date", "yyyy-MM") == "1998-02").count()
