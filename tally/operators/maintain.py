@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions.constraints import account_constraints, tx_constraints
-from tally.functions.text import NORM_COL, rule_category_col, with_normalized
+from tally.functions.text import rule_category_col, with_normalized
 from tally.schema import ALLOWED_DIRECTIONS, LEDGER_COLUMNS
 
 STATUSES = ("inserted", "duplicate", "error")

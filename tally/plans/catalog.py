@@ -15,7 +15,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.plans.sqlviews import with_views
 from tally.sources import testviews as tv
 
 

@@ -13,7 +13,7 @@ from tally.operators import maintain as K
 from tally.operators import validate as V
 from tally.plans import ingest as ING
 from tally.plans.catalog import AS_OF_SQL, _acc, _led, as_of_of, register
-from tally.plans.sqlviews import norm_sql, rule_sql, strip_sql, with_views
+from tally.plans.sqlviews import rule_sql, strip_sql, with_views
 from tally.session import scratch_path
 from tally.sources import csv as CSV
 from tally.sources import export as EX
@@ -21,7 +21,6 @@ from tally.sources import ledger as LGR
 from tally.sources import testviews as tv
 from tally.streaming.ingest import stream_ingest
 
-_S = r"'^\s+|\s+$'"
 
 
 def _strip(c):
