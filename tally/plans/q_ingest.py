@@ -632,3 +632,17 @@ def value_check(spark, d):
     codes = ["direction_invalid", "amount_invalid", "transaction_date_invalid", "currency_unsupported"]
     return a.agg(*[F.count(F.when(F.col("violations").contains(c), 1)).alias(c) for c in codes],
                  F.count(F.when(F.col("violations") == "", 1)).alias("valid"))
+
+
+@register("ledger_append", "A4", with_views("""
+SELECT transaction_id, account_id, amount, transaction_date FROM ledger""", "ledger"))
+def ledger_append(spark, d):
+    """A4: a snapshot holding the rows before 1998, then an append of the
+    rows from 1997 on (1997 overlaps): ids already stored are skipped row by
+    row, so the table ends up with every transaction exactly once."""
+    led = _led(spark, d)
+    path = scratch_path(spark, "append")
+    LGR.write_snapshot(led.where(F.col("transaction_date") < F.lit("1998-01-01").cast("date")), path)
+    batch = led.where(F.col("transaction_date") >= F.lit("1997-01-01").cast("date"))
+    LGR.ledger_append(batch, LGR.read_ledger(spark, path), path)
+    return LGR.read_ledger(spark, path).select("transaction_id", "account_id", "amount", "transaction_date")
