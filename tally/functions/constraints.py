@@ -35,18 +35,20 @@ def tx_constraints() -> Column:
 
 
 def account_constraints() -> Column:
-    """API rules (5-20 alphanumerics after removing spaces) and table rule
-    (exactly 10 digits), reported as separate codes."""
-    num = F.regexp_replace(F.regexp_replace(F.col("account_number"), r"^\s+|\s+$", ""), " ", "")
+    """API rules and the table rule, reported as separate codes.
+
+    number: 5-20 characters as given; letters or digits (any script) once
+    spaces are removed; the table also needs exactly 10 digits.  balance:
+    > 0.  currency: 3 characters, all cased ones upper case and at least one
+    cased (str.isupper()).
+    """
+    n, c = F.col("account_number"), F.col("currency")
     return violations([
-        (F.col("account_number").isNull() | (F.length(num) < 5) | (F.length(num) > 20),
-         "number_length"),
-        (F.col("account_number").isNotNull() & ~num.rlike(r"^[A-Za-z0-9]*$"), "number_not_alnum"),
-        (F.col("account_number").isNull() | ~F.col("account_number").rlike(r"^\d{10}$"),
-         "number_not_10_digits"),
-        (F.col("starting_balance").isNull() | (F.col("starting_balance") <= 0),
-         "balance_not_positive"),
-        (F.col("currency").isNull() | ~F.col("currency").rlike(r"^[A-Z]{3}$"), "currency_format"),
+        (n.isNull() | (F.length(n) < 5) | (F.length(n) > 20), "number_length"),
+        (n.isNotNull() & ~F.replace(n, F.lit(" "), F.lit("")).rlike(r"^[\p{L}\p{N}]+$"), "number_not_alnum"),
+        (n.isNull() | ~n.rlike(r"^\d{10}$"), "number_not_10_digits"),
+        (F.col("starting_balance").isNull() | (F.col("starting_balance") <= 0), "balance_not_positive"),
+        (c.isNull() | (F.length(c) != 3) | (c != F.upper(c)) | (c == F.lower(c)), "currency_format"),
     ])
 
 

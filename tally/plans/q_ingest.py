@@ -115,14 +115,14 @@ def tx_constraints_q(spark, d):
 
 @register("account_constraints", "B8", with_views("""
 SELECT account_id, concat_ws(',',
-  CASE WHEN account_number IS NULL OR length(replace(regexp_replace(account_number, '^\\s+|\\s+$', '', 'g'), ' ', '')) < 5
-         OR length(replace(regexp_replace(account_number, '^\\s+|\\s+$', '', 'g'), ' ', '')) > 20 THEN 'number_length' END,
+  CASE WHEN account_number IS NULL OR length(account_number) < 5 OR length(account_number) > 20
+       THEN 'number_length' END,
   CASE WHEN account_number IS NOT NULL
-        AND NOT regexp_matches(replace(regexp_replace(account_number, '^\\s+|\\s+$', '', 'g'), ' ', ''), '^[A-Za-z0-9]*$')
-       THEN 'number_not_alnum' END,
+        AND NOT regexp_matches(replace(account_number, ' ', ''), '^[\\p{L}\\p{N}]+$') THEN 'number_not_alnum' END,
   CASE WHEN account_number IS NULL OR NOT regexp_matches(account_number, '^\\d{10}$') THEN 'number_not_10_digits' END,
   CASE WHEN starting_balance IS NULL OR starting_balance <= 0 THEN 'balance_not_positive' END,
-  CASE WHEN currency IS NULL OR NOT regexp_matches(currency, '^[A-Z]{3}$') THEN 'currency_format' END) AS violations
+  CASE WHEN currency IS NULL OR length(currency) <> 3 OR currency <> upper(currency) OR currency = lower(currency)
+       THEN 'currency_format' END) AS violations
 FROM accounts""", "accounts"))
 def account_constraints_q(spark, d):
     return _acc(spark, d).select("account_id", account_constraints().alias("violations"))
@@ -376,7 +376,8 @@ WITH r AS (
   FROM customer),
 v AS (SELECT r.*, concat_ws(',',
         CASE WHEN starting_balance <= 0 THEN 'balance_not_positive' END,
-        CASE WHEN NOT regexp_matches(currency, '^[A-Z]{3}$') THEN 'currency_format' END) AS errors,
+        CASE WHEN length(currency) <> 3 OR currency <> upper(currency) OR currency = lower(currency)
+             THEN 'currency_format' END) AS errors,
         r.account_id IN (SELECT account_id FROM accounts)
           OR r.account_number IN (SELECT account_number FROM accounts) AS taken
       FROM r)

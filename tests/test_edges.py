@@ -105,3 +105,17 @@ def test_exports_round_trip(spark):
     EX.export_csv(led, c)
     back = spark.read.option("header", True).csv(c)
     assert back.count() == led.count()
+
+
+def test_account_constraints_follow_python_string_rules(spark):
+    from tally.functions.constraints import account_constraints
+    rows = [("12345", 1, "US1"), ("1234", 1, "USD"), ("AB 12 3", 1, "usd"), ("AB-123", 1, "NG"),
+            ("０１２３４５６７８９", 1, "123"), ("0123456789", 0, "EUR"), ("  12345  ", 5, "ÉUR")]
+    df = spark.createDataFrame(rows, "account_number string, starting_balance long, currency string")
+    got = [r.v for r in df.select(account_constraints().alias("v")).collect()]
+    for (num, bal, cur), v in zip(rows, got):
+        codes = set(v.split(",")) - {""}
+        assert ("number_length" in codes) == (not 5 <= len(num) <= 20), (num, v)
+        assert ("number_not_alnum" in codes) == (not num.replace(" ", "").isalnum()), (num, v)
+        assert ("currency_format" in codes) == (not (len(cur) == 3 and cur.isupper())), (cur, v)
+        assert ("balance_not_positive" in codes) == (bal <= 0)
