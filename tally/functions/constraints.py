@@ -19,7 +19,12 @@ def violations(checks: list[tuple[Column, str]]) -> Column:
 
 
 def tx_constraints() -> Column:
-    """Constraints of an API-created transaction (amount in smallest units)."""
+    """Constraints of an API-created transaction (amount in smallest units).
+
+    The date pattern follows the request validator's regex semantics:
+    a digit is any Unicode decimal digit and the match must end at the end
+    of the text (``\\z``: Java's ``$`` would also accept a trailing newline).
+    """
     d, c, a = F.col("description"), F.col("category"), F.col("amount")
     return violations([
         (F.col("transaction_id").isNotNull() & (F.length("transaction_id") > TRANSACTION_ID_MAX),
@@ -30,7 +35,7 @@ def tx_constraints() -> Column:
         (F.col("direction").isNull() | ~F.col("direction").isin(*ALLOWED_DIRECTIONS),
          "direction_invalid"),
         (F.col("transaction_date").isNull()
-         | ~F.col("transaction_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), "date_format"),
+         | ~F.col("transaction_date").rlike(r"^\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2}\z"), "date_format"),
     ])
 
 

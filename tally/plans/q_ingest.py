@@ -106,7 +106,7 @@ SELECT transaction_id, concat_ws(',',
        'Marketing', 'Supplies', 'Miscellaneous') THEN 'category_unknown' END,
   CASE WHEN amt IS NULL OR amt <= 0 THEN 'amount_not_positive' END,
   CASE WHEN direction IS NULL OR direction NOT IN ('inflow', 'outflow') THEN 'direction_invalid' END,
-  CASE WHEN transaction_date IS NULL OR NOT regexp_matches(transaction_date, '^\\d{4}-\\d{2}-\\d{2}$')
+  CASE WHEN transaction_date IS NULL OR NOT regexp_matches(transaction_date, '^\\p{Nd}{4}-\\p{Nd}{2}-\\p{Nd}{2}\\z')
        THEN 'date_format' END) AS violations
 FROM b""", "raw_batch"))
 def tx_constraints_q(spark, d):

@@ -119,3 +119,13 @@ def test_account_constraints_follow_python_string_rules(spark):
         assert ("number_not_alnum" in codes) == (not num.replace(" ", "").isalnum()), (num, v)
         assert ("currency_format" in codes) == (not (len(cur) == 3 and cur.isupper())), (cur, v)
         assert ("balance_not_positive" in codes) == (bal <= 0)
+
+
+def test_tx_date_pattern(spark):
+    from tally.functions.constraints import tx_constraints
+    dates = ["2025-01-01", "2025-01-01\n", "２０２５-０１-０１", "2025-1-01", "2025-01-01 00:00"]
+    df = spark.createDataFrame([("t", "x", None, 5, "inflow", d) for d in dates],
+                               "transaction_id string, description string, category string, amount long, "
+                               "direction string, transaction_date string")
+    got = [("date_format" in r.v) for r in df.select(tx_constraints().alias("v")).collect()]
+    assert got == [False, True, False, True, True]
