@@ -129,3 +129,15 @@ def test_tx_date_pattern(spark):
                                "direction string, transaction_date string")
     got = [("date_format" in r.v) for r in df.select(tx_constraints().alias("v")).collect()]
     assert got == [False, True, False, True, True]
+
+
+def test_strict_load_raises_on_bad_values(spark):
+    from tally.sources.ledger import strict_load
+    cols = ("transaction_id string, account_id string, description string, category string, amount string, "
+            "direction string, currency string, transaction_date string, posted_at string")
+    good = ("t1", "1", "x", None, "12.5", "inflow", "JPY", "2025-01-01", "2025-01-01 08:00:00")
+    row = strict_load(spark.createDataFrame([good], cols)).first()
+    assert row.amount == 12 and str(row.transaction_date) == "2025-01-01"  # JPY: no decimals, half even
+    for bad in (good[:4] + ("12,5",) + good[5:], good[:7] + ("01/01/2025",) + good[8:]):
+        with pytest.raises(Exception):
+            strict_load(spark.createDataFrame([bad], cols)).collect()
