@@ -430,7 +430,7 @@ def retention_purge(spark, d):
 
 # ------------------------------------------------ A1 / A4 / A5 / A10 / A11
 
-_PIPE_SQL = f"""WITH {_NORM_SQL}
+_INGEST_SQL = f"""WITH {_NORM_SQL}
 SELECT a.transaction_id, a.account_id, CAST(round_even(a.amount * a.factor, 0) AS BIGINT) AS amount,
        coalesce({rule_sql('a.description', 'a.direction')}, 'Miscellaneous') AS category, a.transaction_date
 FROM annot a
@@ -448,19 +448,19 @@ def _existing(spark, d):
     return _led(spark, d).where(F.col("transaction_date") < F.lit("1998-01-01").cast("date"))
 
 
-_PIPE_COLS = ("transaction_id", "account_id", "amount", "category", "transaction_date")
+_INGEST_COLS = ("transaction_id", "account_id", "amount", "category", "transaction_date")
 
 
-@register("ingest_pipeline", "A1 B6 I3 C4 A4", with_views(_PIPE_SQL, "raw_batch", "ledger"))
-def ingest_pipeline(spark, d):
+@register("ingest_run", "A1 B6 I3 C4 A4", with_views(_INGEST_SQL, "raw_batch", "ledger"))
+def ingest_run(spark, d):
     """Raw CSV -> A1 -> validate -> categorize -> new rows only -> A4 append
     to a fresh ledger snapshot, read back."""
     out = scratch_path(spark, "ledger")
-    ING.run_pipeline(spark, _raw_csv(spark, d), out, existing=_existing(spark, d)).collect()
-    return LGR.read_ledger(spark, out).select(*_PIPE_COLS)
+    ING.run_ingest(spark, _raw_csv(spark, d), out, existing=_existing(spark, d)).collect()
+    return LGR.read_ledger(spark, out).select(*_INGEST_COLS)
 
 
-@register("stream_ingest", "A11", with_views(_PIPE_SQL, "raw_batch", "ledger"))
+@register("stream_ingest", "A11", with_views(_INGEST_SQL, "raw_batch", "ledger"))
 def stream_ingest_q(spark, d):
     """The same rows through Structured Streaming: 4 files, one per
     micro-batch (availableNow), the ledger seeded with the existing rows,
@@ -472,7 +472,7 @@ def stream_ingest_q(spark, d):
     stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1)
     stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1)
     led = LGR.read_ledger(spark, led_path)
-    return led.join(_existing(spark, d).select("transaction_id"), "transaction_id", "left_anti").select(*_PIPE_COLS)
+    return led.join(_existing(spark, d).select("transaction_id"), "transaction_id", "left_anti").select(*_INGEST_COLS)
 
 
 @register("processed_merge", "A5 E3", with_views("""

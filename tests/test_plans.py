@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from tests.conftest import SF01
 from tools.plan_report import summarize
 
-SIDE_EFFECT = {"ingest_pipeline", "stream_ingest", "log_scan_query", "import_csv", "import_report",
+SIDE_EFFECT = {"ingest_run", "stream_ingest", "log_scan_query", "import_csv", "import_report",
                "import_row_numbers", "import_csv_id_mode", "export_csv", "export_json", "labeled_scan",
                "train_text_model", "categorize_model"}
 
