@@ -174,18 +174,20 @@ def fit_forecaster(series: DataFrame) -> DataFrame:
 
 def retrain_all(ledger: DataFrame, accounts: DataFrame, as_of, trained_at=None) -> DataFrame:
     """Fit every account; accounts without enough history get a status
-    row instead of failing the batch."""
+    row instead of failing the batch.
+
+    One fit, then a left join from the accounts table: an account gets a
+    model exactly when some lookback reaches 90 days, and a ledger account
+    missing from the accounts table gets none (it has no metadata).
+    """
     d = _date(as_of)
     models = fit_forecaster(balance_series(ledger, accounts, d))
     ts = trained_at if trained_at is not None else F.current_timestamp()
-    ok = models.withColumn("status", F.lit("trained")).withColumn("error", F.lit(None).cast("string"))
-    # An account gets a model exactly when some lookback reaches 90 days.
-    bad = (accounts.select("account_id").join(models.select("account_id"), "account_id", "left_anti")
-           .withColumn("status", F.lit("insufficient_data"))
-           .withColumn("error", F.concat(F.lit("Not enough data to train model for account "),
-                                         F.col("account_id"))))
-    return (ok.unionByName(bad, allowMissingColumns=True)
-            .join(accounts.select("account_id", "user_id"), "account_id", "left")
+    missing = F.col("n_days").isNull()
+    return (accounts.select("account_id", "user_id").join(models, "account_id", "left")
+            .withColumn("status", F.when(missing, F.lit("insufficient_data")).otherwise(F.lit("trained")))
+            .withColumn("error", F.when(missing, F.concat(
+                F.lit("Not enough data to train model for account "), F.col("account_id"))))
             .withColumn("trained_at", ts))
 
 

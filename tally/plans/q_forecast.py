@@ -9,6 +9,7 @@ from tally.operators import forecast as FC
 from tally.operators.joins import model_status
 from tally.plans.catalog import AS_OF_SQL, ORDER_AS_OF_SQL, _acc, _led, as_of_of, register
 from tally.plans.sqlviews import with_views
+from tally.session import scratch_path
 from tally.sources import testviews as tv
 
 
@@ -215,16 +216,24 @@ SELECT m.account_id, m.n_days, m.intercept, m.slope, m.sigma,
        m.account_id NOT IN (SELECT account_id FROM have) AS fitted_now
 FROM model m WHERE m.account_id IN (SELECT account_id FROM req)""", "ledger", "accounts"))
 def lazy_fit(spark, d):
+    """Stored models exist for the EUROPE accounts (a models table written
+    first); EUROPE and ASIA accounts are requested: the missing ones are
+    fitted, appended to the table, and the requested models returned."""
     led, acc, as_of = _supp(spark, d)
     ts = as_of.cast("timestamp_ntz")
     have_keys = _region_accounts(spark, d, acc, ["EUROPE"])
-    stored = FC.retrain_all(led.join(have_keys, "account_id", "left_semi"),
-                            acc.join(have_keys, "account_id", "left_semi"), as_of, ts)
-    stored = stored.where(F.col("status") == "trained")
+    path = scratch_path(spark, "models")
+    FC.retrain_all(led, acc.join(have_keys, "account_id", "left_semi"), as_of, ts).write.parquet(path)
+    stored = spark.read.parquet(path).where(F.col("status") == "trained")
     req = _region_accounts(spark, d, acc, ["EUROPE", "ASIA"])
     out = FC.lazy_fit(req, stored, led, acc, as_of, ts)
-    return out.where(F.col("status") == "trained").select(
-        "account_id", "n_days", "intercept", "slope", "sigma", "fitted_now")
+    fresh = out.where(F.col("fitted_now")).drop("fitted_now")
+    fresh.select(*stored.columns).write.mode("append").parquet(path)
+    table = spark.read.parquet(path).where(F.col("status") == "trained")
+    return (table.join(req, "account_id", "left_semi")
+            .join(have_keys.withColumn("_stored", F.lit(True)), "account_id", "left")
+            .select("account_id", "n_days", "intercept", "slope", "sigma",
+                    F.col("_stored").isNull().alias("fitted_now")))
 
 
 @register("drop_model", "J11", with_views(f"""WITH {_fc_ctes('ledger', 'accounts', AS_OF_SQL)}
