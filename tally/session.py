@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +29,9 @@ SCALE_CONF = {
 }
 
 
+_SHIPPED: dict[str, str] = {}
+
+
 def get_spark(app: str = "tally", cpus: int | str = "*", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -62,6 +66,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per Spark application, so
+    that functions of its modules run there whatever the workers' path is."""
+    sc = spark.sparkContext
+    if _SHIPPED.get("app") == sc.applicationId:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tally-package-"), "tally-package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(target)
+    _SHIPPED["app"] = sc.applicationId
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the checkpoint root."""
     return f"{checkpoint_root(spark)}/tally-{name}-{uuid.uuid4().hex[:12]}"
