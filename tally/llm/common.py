@@ -43,11 +43,6 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
 
 
-def count_chars(text: Column, chars: str) -> Column:
-    """How many characters of ``text`` are one of ``chars``."""
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 

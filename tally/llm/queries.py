@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from tally.llm import decontaminate as L8
 from tally.llm import language_id as L3
+from tally.llm import line_dedup as L1
+from tally.llm import lm_score as L7
 from tally.llm import mixing as L5
+from tally.llm import pii as L4
+from tally.llm import quality_crf as L10
+from tally.llm import quality_rules as L9
 from tally.llm import simhash as L6
 from tally.llm import token_binary as L2
 from tally.llm.common import documents, fold
@@ -20,9 +25,14 @@ from tally.session import scratch_path
 LANGUAGE_FIT = {"docs_per_language": 200, "max_chars": 20_000}
 LANGUAGE = {"level": 6, "block": 4096, "min_margin": 0.005}
 SIMHASH = {"shingle": 4, "max_bits": 4}
-EDITS = {"error_rate": 0.08}
+EDITS = {"error_rate": 0.1}
 MIX = {"weights": (5.0, 2.0, 1.0), "share": 1.5, "max_epochs": 2}
 END_ID = 2
+RUNS = {"min_lines": 3, "min_words": 50}
+LM = {"min_count": 2, "backoff": 0.4}
+PII_KEY = "tally-pseudonym-key"  # a deployment sets its own secret (TALLY_PII_KEY)
+CRF_FIT = {"folds": 5, "held_out": 0, "sample_per_label": 1500, "max_chars": 20_000}
+GOOD = 0.3
 
 
 def tokenizer_path() -> str:
@@ -46,6 +56,16 @@ def token_records(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return L2.encode_documents(docs, scratch_path(spark, "records"), tokenizer_path(), END_ID)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L1.dedup_lines(documents(spark, sf_dir), **RUNS).select(
+        "doc_id", "n_lines", "n_removed", F.md5(F.col("text").cast("binary")).alias("clean_md5"))
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L4.pseudonymise(documents(spark, sf_dir), os.environ.get("TALLY_PII_KEY", PII_KEY)).select(
+        "doc_id", "n_replaced", "text")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_records(spark, documents(spark, sf_dir))
 
@@ -66,11 +86,27 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L7.score(documents(spark, sf_dir), **LM)
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L8.matches(documents(spark, sf_dir), benchmark(spark, sf_dir), **EDITS)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_records, op3_language_id, op5_source_mix, op6_simhash_near_dedup,
-                                   op8_decontaminate)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L9.assess(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return L10.score(docs, L10.fit(docs, labels(spark, sf_dir), **CRF_FIT)).select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"), "n_lines")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_pseudonyms, op10_quality_crf, op2_token_records, op3_language_id, op5_source_mix, op6_simhash_near_dedup, op7_lm_score,
+                                   op8_decontaminate, op9_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": L1.ORACLE}
