@@ -94,7 +94,7 @@ def split(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         count = F.aggregate("quotas", F.lit(0).cast("bigint"), lambda a, x: a + x)
         nodes = nodes.withColumn("n", count)
 
-        def draw(a, s, level=level):
+        def draw(a, s):
             """What is left of the node after source ``s``: ``c`` still to go
             left of ``n`` blocks, given what the sources before sent left."""
             own = F.element_at(F.col("quotas"), (s + 1).cast("int"))
