@@ -1,20 +1,24 @@
 """Stupid-backoff language-model scores, computed relationally.
 
 The model is a table of bigram counts over all documents.  A word after
-another scores log(count(pair) / count(first)) if the pair stands at least
-``min_count`` times, else log(backoff * count(word) / words); a document's first
-word follows a start mark.  Scores are summed per document.
+another scores log(count(pair) / pairs that begin with the first word) if the
+pair stands at least ``min_count`` times, else log(backoff * count(word) /
+words); a document's first word follows a start mark.  Scores are summed per
+document.
 
-Words of the corpus that are at least 1/``hot`` of all its words are *hot*: there
-are ``hot`` of them at most (65,535, whatever the corpus), so they are numbered
-and sent to every task.  Exploded pairs meet their counts in one shuffle:
+The ``hot`` commonest words (2**18 - 1, whatever the corpus; ties by the word)
+are numbered and sent to every task.  Exploded pairs meet their counts in one
+shuffle:
 
-    both hot      keyed by the pair          both counts known
-    second rare   keyed by the second word   its count is the group's size
-    first rare    keyed by the first word    pairs that hit look up its count
+    both hot                keyed by the pair          both counts known
+    only the second rare    keyed by the second word   its count is the group's size
+    only the first rare     keyed by the first word    its pairs are the group's size
+    both rare               keyed both ways: a row for the second word's count and
+                            the score of a miss, one for the first's and of a hit
 
 so no key gathers a hot word's rows: hot words spread over the pairs that they
-stand in, and a rare word has fewer than 1/``hot`` of the rows.
+stand in, and a rare word has at most 1/``hot`` of the rows.  All words count;
+the number of hot ones changes the layout only, not the result.
 """
 
 from __future__ import annotations
@@ -25,15 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.llm.common import stage
 
-HOT = 65_535
+RANK_BITS = 18
+HOT = (1 << RANK_BITS) - 1
 #: Low bits of a key: both hot, second rare, first rare.
 BOTH, SECOND, FIRST = 0, 1, 2
-SIGN = -(1 << 63)
 
 
 def _name(word: str) -> int:
@@ -42,22 +47,29 @@ def _name(word: str) -> int:
     return h - (1 << 64)
 
 
-def _name_column(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseOR(F.lit(SIGN)).bitwiseAND(F.lit(-4))
-
-
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word, n`` over all documents, pre-aggregated in each batch."""
+def word_counts(docs: DataFrame, text_col: str = "text", most: int = 400_000) -> DataFrame:
+    """``word, n, n_first`` over all documents (n_first: the pairs that begin
+    with it), pre-aggregated in each batch, ``most`` words or so at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: Counter[str] = Counter()
+            found, last = Counter(), Counter()
             for t in b.column(0).to_pylist():
-                if t:
-                    found.update(t.split())
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()),
-                                              pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                words = t.split() if t else []
+                if words:
+                    found.update(words)
+                    last[words[-1]] += 1
+                if len(found) >= most:
+                    yield _batch(found, last)
+                    found, last = Counter(), Counter()
+            yield _batch(found, last)
+
+    def _batch(found, last):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64()),
+             pa.array([n - last.get(w, 0) for w, n in found.items()], pa.int64())], names=["word", "n", "n_first"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text_col)).mapInArrow(run, "word string, n bigint, n_first bigint").groupBy("word").agg(
+        F.sum("n").alias("n"), F.sum("n_first").alias("n_first"))
 
 
 def _pairs(words: list[str], doc: np.ndarray, first: np.ndarray, hot: dict[str, int]) -> tuple[np.ndarray, ...]:
@@ -70,17 +82,23 @@ def _pairs(words: list[str], doc: np.ndarray, first: np.ndarray, hot: dict[str,
     before = np.empty_like(name)
     before[1:] = name[:-1]
     before[first] = 0
-    key = np.where(name < 0, name | SECOND, np.where(before < 0, before | FIRST, ((before << 16) + name) << 2))
+    key = np.where(name < 0, name | SECOND, np.where(before < 0, before | FIRST, ((before << RANK_BITS) + name) << 2))
     aux = np.where(name < 0, before, np.where(before < 0, name, 0))
+    both = np.flatnonzero((name < 0) & (before < 0))
+    key, aux = np.concatenate([key, before[both] | FIRST]), np.concatenate([aux, name[both]])
+    doc = np.concatenate([doc, doc[both]])
     mixed = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + aux.view(np.uint64)) * np.uint64(
         0xC2B2AE3D27D4EB4F) + doc.astype(np.uint64)
     order = np.argsort(mixed, kind="stable")
     doc, key, aux = doc[order], key[order], aux[order]
     new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]) | (aux[1:] != aux[:-1])]))
-    return doc[new], key[new], aux[new], np.diff(np.append(new, len(doc)))
+    times = np.diff(np.append(new, len(doc)))
+    # like rows side by side compress well in the shuffle
+    near = np.argsort((doc[new] << 2 | key[new] & 3).astype(np.uint32), kind="stable")
+    return doc[new][near], key[new][near], aux[new][near], times[near]
 
 
-def exploded(docs: DataFrame, hot: dict[str, int], id_col: str, text_col: str, chunk: int = 200_000) -> DataFrame:
+def exploded(docs: DataFrame, hot: Broadcast, id_col: str, text_col: str, chunk: int = 200_000) -> DataFrame:
     """``key, aux, doc_id, n``: the pairs of every document, equal ones of a
     document counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +119,7 @@ def exploded(docs: DataFrame, hot: dict[str, int], id_col: str, text_col: str, c
 
     def _batch(ids, words, counts, rows):
         n = np.array(counts)
-        doc, key, aux, times = _pairs(words, np.repeat(np.array(rows), n), np.cumsum(n) - n, hot)
+        doc, key, aux, times = _pairs(words, np.repeat(np.array(rows), n), np.cumsum(n) - n, hot.value)
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(aux), ids.take(pa.array(doc)),
                                            pa.array(times, pa.int32())], names=["key", "aux", "doc_id", "n"])
 
@@ -120,15 +138,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     columns are not read.
     """
     counts = stage(word_counts(docs, text_col), "word-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    starts = docs.where(F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False))).count()
-    # at most `hot` words can be 1/hot of all words each
-    top = counts.where(F.col("n") * min(hot, HOT) >= total).orderBy(F.desc("n"), "word").collect() if total else []
-    number = {r["word"]: i + 1 for i, r in enumerate(top[:HOT])}
+    total, last = counts.agg(F.sum("n"), F.sum(F.col("n") - F.col("n_first"))).first()
+    total, starts = total or 0, last or 0  # as many first words as last ones
     spark = docs.sparkSession
-    known = spark.createDataFrame([(0, float(np.log(max(1, starts))))] + [
-        (i + 1, float(np.log(r["n"]))) for i, r in enumerate(top[:HOT])], "rank bigint, log_n double")
-    one = F.broadcast(known.select(F.col("rank").alias("r1"), F.col("log_n").alias("l1")))
+    top = counts.orderBy(F.desc("n"), "word").limit(min(hot, HOT))
+    top = stage(top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "word")).cast("bigint")), "hot")
+    number = spark.sparkContext.broadcast({r["word"]: r["rank"] for r in top.select("word", "rank").collect()})
+    log = lambda n: float(np.log(max(1, n)))
+    known = top.select("rank", F.log("n").alias("log_n"), F.log(F.greatest("n_first", F.lit(1))).alias("log_first")).unionByName(
+        spark.range(1).select(F.col("id").alias("rank"), F.lit(0.0).alias("log_n"), F.lit(log(starts)).alias("log_first")))
+    one = F.broadcast(known.select(F.col("rank").alias("r1"), F.col("log_first").alias("l1")))
     two = F.broadcast(known.select(F.col("rank").alias("r2"), F.col("log_n").alias("l2")))
 
     rows = exploded(docs, number, id_col, text_col)
@@ -137,23 +156,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
                        F.col("key").bitwiseAND(F.lit(3)).alias("kind"))
     pair = F.shiftright("key", 2)
     rows = rows.withColumns({
-        "hit": F.col("of_pair") >= min_count,
-        "r1": F.when(F.col("kind") == BOTH, F.shiftright(pair, 16)).when((F.col("kind") == SECOND) & (F.col("aux") >= 0), F.col("aux")),
-        "r2": F.when(F.col("kind") == BOTH, pair.bitwiseAND(F.lit(65_535))).when(F.col("kind") == FIRST, F.col("aux")),
-        "rare": F.when(F.col("kind") == FIRST, F.col("key").bitwiseAND(F.lit(-4))).when(
-            (F.col("kind") == SECOND) & (F.col("aux") < 0), F.col("aux"))})
+        "r1": F.when(F.col("kind") == BOTH, F.shiftright(pair, RANK_BITS)).when((F.col("kind") == SECOND) & (F.col("aux") >= 0), F.col("aux")),
+        "r2": F.when(F.col("kind") == BOTH, pair.bitwiseAND(F.lit(HOT))).when((F.col("kind") == FIRST) & (F.col("aux") >= 0), F.col("aux"))})
     rows = rows.join(one, "r1", "left").join(two, "r2", "left")
-    miss = F.lit(float(np.log(backoff) - np.log(max(1, total)))) + F.when(
+    rare = F.col("aux") < 0  # the other word is rare as well: this row has one of the two scores
+    hit = F.log(F.col("of_pair")) - F.when(F.col("kind") == FIRST, F.log(F.col("of_key"))).otherwise(F.col("l1"))
+    miss = F.lit(float(np.log(backoff)) - log(total)) + F.when(
         F.col("kind") == SECOND, F.log(F.col("of_key"))).otherwise(F.col("l2"))
-    # a hit after a rare word still lacks that word's count
-    value = F.when(F.col("hit"), F.log(F.col("of_pair")) - F.coalesce("l1", F.lit(0.0))).otherwise(miss)
-    parts = (rows.select("doc_id", F.when(F.col("hit"), F.col("rare")).alias("rare"),
-                         (F.col("n") * value).alias("value"), "n")
-             .groupBy("doc_id", "rare").agg(F.sum("value").alias("value"), F.sum("n").alias("n")))
-    lacking = counts.select(_name_column(F.col("word")).alias("rare"), F.log("n").alias("l"))
-    sums = (parts.join(lacking, "rare", "left")
-            .groupBy("doc_id").agg(F.sum(F.col("value") - F.when(F.col("rare").isNotNull(), F.col("n") * F.col("l"))
-                                         .otherwise(0.0)).alias("log_score"), F.sum("n").alias("n_words")))
+    value = F.when(F.col("of_pair") >= min_count, F.when((F.col("kind") == SECOND) & rare, 0.0).otherwise(hit)).otherwise(
+        F.when((F.col("kind") == FIRST) & rare, 0.0).otherwise(miss))
+    counted = F.when((F.col("kind") == FIRST) & rare, 0).otherwise(F.col("n"))
+    sums = rows.groupBy("doc_id").agg(F.sum(F.col("n") * value).alias("log_score"), F.sum(counted).alias("n_words"))
     ids = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).distinct()
     return ids.alias("a").join(sums.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select(
         "a.doc_id", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), "log_score",
