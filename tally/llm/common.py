@@ -33,6 +33,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     read again, so a lost executor costs no recomputation of what came before.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -69,6 +70,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         cur = stage(small, "small")
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
-            return cur.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                cur.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = tuple(now)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -76,7 +76,7 @@ def permute_text(key: str, tag: str, value: Column) -> Column:
                     F.lit(letters), (F.pmod(at - 1 + by % len(letters), F.lit(len(letters))) + 1).cast("int"), F.lit(1))
                 ).otherwise(out)
             return out
-        return F.array_join(F.transform(F.split(own, "(?!^)", -1), one), "")
+        return F.array_join(F.transform(F.split(own, ""), one), "")
 
     def turn(s, i):
         odd = i % 2 == 1
@@ -95,14 +95,14 @@ def _luhn(digits: Column) -> Column:
 
 
 def _mod97(text: Column) -> Column:
-    return F.aggregate(F.split(text, "(?!^)", -1), F.lit(0), lambda a, c: F.when(
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(
         F.instr(F.lit(DIGITS), c) > 0, (a * 10 + c.cast("int")) % 97).otherwise(
         (a * 100 + F.instr(F.lit(UPPER), c) + 9) % 97))
 
 
 def _refill(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced, in order, by ``digits``."""
-    return F.aggregate(F.split(shape, "(?!^)", -1), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
+    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
                        lambda a, c: F.when(F.instr(F.lit(DIGITS), c) > 0, F.struct(
                            F.concat(a["out"], F.substr(digits, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i")))
                        .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))), lambda a: a["out"])
