@@ -63,7 +63,7 @@ class Encoder:
     PRETOKEN = regex.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str, end_id: int, cache: int = 500_000):
+    def __init__(self, path: str, end_id: int, cache: int = 250_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
@@ -179,10 +179,8 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
         fs, root = _filesystem(path)
         shard, encoder, out, at = TaskContext.get().partitionId(), None, None, 0
         attempt = f"{root}/attempt-{shard:06d}-{uuid.uuid4().hex}"
-        for b in batches:
+        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if not ids:
-                continue
             if out is None:
                 encoder = Encoder(tokenizer, end_id)
                 out = fs.open_output_stream(attempt)
