@@ -73,7 +73,7 @@ def check_labels(labelled: DataFrame, require_known: bool = False) -> DataFrame:
     with ``require_known`` also B9 (1-500 chars, one of the eight)."""
     missing = {"description", "category"} - set(labelled.columns)
     if missing:
-        raise ValidationError("Training data must contain description and category")
+        raise ValidationError("A labelled table needs the columns description and category")
     rows = labelled.where(F.col("description").isNotNull() & F.col("category").isNotNull())
     if require_known:
         rows = rows.where(label_constraints() == "")

@@ -66,29 +66,36 @@ def classify_batch(batch: DataFrame, ledger: DataFrame, key_mode: str = "account
 
 
 def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of_ts,
-              mode: str = "bulk") -> DataFrame:
+              mode: str = "bulk", batch_id: str = "") -> DataFrame:
     """K1: API inserts (amount already in smallest units).
 
     mode 'bulk' skips duplicates (status 'duplicate'); mode 'single' treats
     a duplicate as an error, as a one-row create does.
 
-    Missing ids get a deterministic generated id; B7 violations make a row
-    an error; duplicates on (account_id, id) are skipped; the category is
+    Missing ids get a deterministic generated id (``batch_id`` and the time keep
+    batches apart); B7 violations and accounts that don't exist make a row an
+    error; duplicates on (account_id, id) are skipped; the category is
     resolved (I4); currency comes from the account; posted_at defaults to
     ``as_of_ts``.  Returns the classified batch (ledger columns + status).
     """
-    gen = F.concat(F.lit("tx_bulk_"), F.substring(F.sha2(F.concat_ws(
-        "|", "account_id", F.col("_row").cast("string"), "description", F.col("amount").cast("string"),
-        "direction", "transaction_date"), 256), 1, 8))
-    r = requests.withColumn("transaction_id", F.coalesce(_nonempty("transaction_id"), gen))
-    r = r.withColumn("_viol", tx_constraints())
+    # the whole digest over batch, row and values: ids of different rows stay different
+    gen = F.concat(F.lit("tx_bulk_"), F.sha2(F.concat_ws(
+        "|", F.lit(str(batch_id)), F.lit(as_of_ts).cast("string"), F.col("_row").cast("string"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in
+          ("account_id", "description", "amount", "direction", "transaction_date")]), 256))
+    # the constraints are on the request's own id; a generated one may be longer
+    r = requests.withColumn("_tx_viol", tx_constraints())
+    r = r.withColumn("transaction_id", F.coalesce(_nonempty("transaction_id"), gen))
+    acc = accounts.select("account_id", F.col("currency").alias("_acct_currency"), F.lit(True).alias("_known"))
+    r = r.join(acc, "account_id", "left")
+    r = r.withColumn("_viol", F.concat_ws(",", F.when(F.col("_tx_viol") != "", F.col("_tx_viol")),
+                                          F.when(F.col("_known").isNull(), F.lit("account_unknown"))))
     r = r.withColumn("_valid", F.col("_viol") == "")
     c = classify_batch(r, ledger, "account")
     c = c.withColumn("status", F.when(~F.col("_valid"), "error").otherwise(F.col("status")))
     if mode == "single":
         c = c.withColumn("status", F.when(F.col("status") == "duplicate", "error").otherwise(F.col("status")))
-    acc = accounts.select("account_id", F.col("currency").alias("_acct_currency"))
-    return (with_normalized(c.join(acc, "account_id", "left"))
+    return (with_normalized(c)
             .select("transaction_id", "account_id", "description", _resolved_category().alias("category"),
                     F.col("amount").cast("bigint").alias("amount"), "direction",
                     F.col("_acct_currency").alias("currency"),
@@ -105,7 +112,7 @@ def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_t
     upload: a missing id becomes 'tx_csv_<index>', duplicates on
     (account_id, id).  import: a missing id is an error, duplicates on id.
     amount must be an integer in smallest units ('3.5' is an error row);
-    direction must be exactly 'inflow' or 'outflow'.
+    direction must be exactly 'inflow' or 'outflow', and the date a date.
     """
     if mode == "upload":
         tid = F.coalesce(_nonempty("transaction_id"), F.concat(F.lit("tx_csv_"), F.col("_row").cast("string")))
@@ -118,7 +125,8 @@ def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_t
     r = (rows.withColumn("transaction_id", tid)
          .withColumn("_amount", amount)
          .withColumn("_valid", id_ok & F.col("_amount").isNotNull()
-                     & F.col("direction").isin(*ALLOWED_DIRECTIONS)))
+                     & F.coalesce(F.col("direction").isin(*ALLOWED_DIRECTIONS), F.lit(False))
+                     & F.col("transaction_date").try_cast("date").isNotNull()))
     c = with_normalized(classify_batch(r, ledger, "account" if mode == "upload" else "id"))
     # Spark reads an empty CSV cell as null; the ledger stores ''.
     return c.select("transaction_id", "account_id",
@@ -136,12 +144,20 @@ def inserted_rows(classified: DataFrame) -> DataFrame:
     return c.select(*cols)
 
 
+def _last_values(patches: DataFrame, keys: list[str], values: dict) -> DataFrame:
+    """One row per key with the last non-null of each value: by ``_row`` where
+    the patches have it, else by the value, so that reruns agree."""
+    one = patches.select(*keys, *[v.alias(n) for n, v in values.items()],
+                         F.col("_row").alias("_at") if "_row" in patches.columns else F.lit(0).alias("_at"))
+    return one.groupBy(*keys).agg(*[F.max(F.when(F.col(n).isNotNull(), F.struct("_at", n)))[n].alias(n) for n in values])
+
+
 def update_tx(ledger: DataFrame, patches: DataFrame) -> DataFrame:
     """K3: description / category replaced where the patch value is
-    non-empty, else kept.  Patches match on (account_id, transaction_id)."""
-    p = patches.select("account_id", "transaction_id",
-                       _nonempty("description").alias("_new_desc"),
-                       _nonempty("category").alias("_new_cat"))
+    non-empty, else kept.  Patches match on (account_id, transaction_id);
+    several patches of a row apply in the order of ``_row``."""
+    p = _last_values(patches, ["account_id", "transaction_id"],
+                     {"_new_desc": _nonempty("description"), "_new_cat": _nonempty("category")})
     j = ledger.join(p, ["account_id", "transaction_id"], "left")
     return j.select(*[F.coalesce("_new_desc", "description").alias("description") if c == "description"
                       else F.coalesce("_new_cat", "category").alias("category") if c == "category"
@@ -187,9 +203,10 @@ def accounts_after_create(accounts: DataFrame, classified: DataFrame) -> DataFra
 
 def account_update(accounts: DataFrame, patches: DataFrame, as_of_date) -> DataFrame:
     """K6: starting_balance / currency replaced when given (null keeps the
-    old value); patched rows get last_updated = as_of."""
-    p = patches.select("account_id", F.col("starting_balance").alias("_nb"), F.col("currency").alias("_nc"),
-                       F.lit(True).alias("_hit"))
+    old value); patched rows get last_updated = as_of.  Several patches of an
+    account apply in the order of ``_row``."""
+    p = _last_values(patches, ["account_id"], {"_nb": F.col("starting_balance"), "_nc": F.col("currency"),
+                                               "_hit": F.lit(True)})
     j = accounts.join(p, "account_id", "left")
     return j.select(
         *[F.coalesce("_nb", "starting_balance").alias(c) if c == "starting_balance"

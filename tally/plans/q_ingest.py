@@ -438,9 +438,9 @@ WHERE a.violations = '' AND a.transaction_id NOT IN (
   SELECT transaction_id FROM ledger WHERE transaction_date < DATE '1998-01-01')"""
 
 
-def _raw_csv(spark, d, files: int = 4):
+def _raw_csv(spark, d):
     path = scratch_path(spark, "raw")
-    CSV.write_csv(tv.raw_batch(spark, d).repartition(files), path)
+    CSV.write_csv(tv.raw_batch(spark, d), path)
     return path
 
 
@@ -462,10 +462,10 @@ def ingest_run(spark, d):
 
 @register("stream_ingest", "A11", with_views(_INGEST_SQL, "raw_batch", "ledger"))
 def stream_ingest_q(spark, d):
-    """The same rows through Structured Streaming: 4 files, one per
+    """The same rows through Structured Streaming: one file per
     micro-batch (availableNow), the ledger seeded with the existing rows,
     then a second run over the same files adds nothing."""
-    src = _raw_csv(spark, d, files=4)
+    src = _raw_csv(spark, d)
     led_path = scratch_path(spark, "stream-ledger")
     LGR.write_snapshot(_existing(spark, d), led_path)
     ckpt = scratch_path(spark, "stream-ckpt")
@@ -543,7 +543,7 @@ def train_text_model(spark, d):
     """Classifier trained on documents (text -> language); the per-class
     prediction counts over the training text (one row per class)."""
     docs = tv.labelled_text(spark, d)
-    model = C.train_text_model(docs, max_iter=20)
+    model = C.train_text_model(docs)
     scored = model.transform(docs.withColumn(C.MODEL_INPUT, F.col("description")))
     return scored.groupBy(F.col("model_category").alias("category")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -554,7 +554,7 @@ def categorize_model(spark, d):
     categorize every ledger row: rules first, model for the rest."""
     led = _led(spark, d)
     path = scratch_path(spark, "categorizer")
-    C.retrain_text_model(_ledger_labels(led), path, max_iter=30)
+    C.retrain_text_model(_ledger_labels(led), path)
     model = C.load_model(path)
     return C.categorize(led, model).select("transaction_id", "category", "category_source")
 

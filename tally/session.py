@@ -32,9 +32,11 @@ SCALE_CONF = {
 _SHIPPED: dict[str, str] = {}
 
 
-def get_spark(app: str = "tally", cpus: int | str = "*", shuffle_partitions: int | None = None,
+def get_spark(app: str = "tally", cpus: int | str | None = None, shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
+    builder = SparkSession.builder.appName(app)
+    if cpus is not None:  # tests and bench; a cluster's submit command names its own master
+        builder = builder.master(f"local[{cpus}]")
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.driver.memory", os.environ.get("TALLY_DRIVER_MEMORY", "8g"))
@@ -51,10 +53,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Reads ``spark.checkpoint.dir`` from the session; sets a local one only
-    when the session has none (as in tests).
+    when the session has none and runs in one process (as in tests); on a
+    cluster a local folder would lose data, so that is an error.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="tally-ckpt-")
         try:

@@ -40,8 +40,14 @@ def ledger_append(new_rows: DataFrame, ledger: DataFrame | None, path: str) -> D
     """A4: rows whose id is not yet in the ledger, appended to ``path``.
 
     Row-wise skip of existing ids (the all-or-nothing batch drop of the
-    original is replaced by an anti-join).  Returns the appended rows.
+    original is replaced by an anti-join).  Of several rows with one id in
+    the batch the smallest by posted_at, then by the other values, is stored.
+    Returns the appended rows.
     """
+    rest = [c for c in new_rows.columns if c not in ("transaction_id", "posted_at")]
+    order = (["posted_at"] if "posted_at" in new_rows.columns else []) + rest
+    new_rows = (new_rows.groupBy("transaction_id").agg(F.min(F.struct(*order)).alias("_r"))
+                .select("transaction_id", "_r.*").select(*new_rows.columns))
     fresh = new_rows if ledger is None else new_rows.join(ledger.select("transaction_id"), "transaction_id",
                                                           "left_anti")
     write_snapshot(fresh.select(*LEDGER_COLUMNS), path, mode="append")

@@ -11,14 +11,17 @@ from tally.schema import LOG_SCHEMA
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Blank and malformed lines are dropped (DROPMALFORMED with a fixed
     schema, so no inference pass).  ``ts`` is the record's local wall time:
-    the first 26 characters of ``time.repr``, offset ignored."""
+    the whole of ``time.repr`` without its zone offset, at any precision.  A
+    record without a message shows its formatted text, one without a level is
+    INFO."""
     raw = (spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
            .where(F.col("record").isNotNull()))
     r = "record"
     return raw.select(
-        F.substring(f"{r}.time.repr", 1, 26).try_cast("timestamp_ntz").alias("ts"),
-        F.upper(F.col(f"{r}.level.name")).alias("level"),
-        F.col(f"{r}.message").alias("message"),
+        F.regexp_replace(F.col(f"{r}.time.repr"), r"\s*(Z|[+-][0-9]{2}:?[0-9]{2}(:?[0-9]{2})?)$", "")
+         .try_cast("timestamp_ntz").alias("ts"),
+        F.upper(F.coalesce(F.col(f"{r}.level.name"), F.lit("INFO"))).alias("level"),
+        F.coalesce(F.col(f"{r}.message"), F.col("text")).alias("message"),
         F.col(f"{r}.extra.extra.account_id").alias("account_id"),
         F.col(f"{r}.extra.extra.user_id").alias("user_id"),
     )

@@ -13,9 +13,6 @@ order ledger), so filters and column pruning still reach the scan.
 
 from __future__ import annotations
 
-import os
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,39 +50,9 @@ DESCRIPTION_FIXTURE = [
 N_PHRASES = len(DESCRIPTION_FIXTURE)
 
 
-# A single parquet row group cannot be split: Spark reads it in one task.
-# Row groups above this size are spread over the cluster after the scan.
-SPREAD_MIN_ROWS = 100_000
-
-
-@lru_cache(maxsize=256)
-def _single_row_group_rows(path: str) -> int:
-    """Rows of a local single-file, single-row-group parquet table, else 0.
-
-    Reads one footer on the driver; directories (partitioned datasets, the
-    normal case at scale) are split by Spark itself and return 0.
-    """
-    if not os.path.isfile(path):
-        return 0
-    try:
-        import pyarrow.parquet as pq
-        md = pq.ParquetFile(path).metadata
-    except Exception:  # noqa: BLE001 - not readable locally: let Spark decide
-        return 0
-    return md.num_rows if md.num_row_groups == 1 else 0
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One given table.  Filters and column pruning still reach the scan
-    (they are pushed below the repartition)."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if _single_row_group_rows(path) >= SPREAD_MIN_ROWS:
-        # Hash on the leading id column: deterministic under task retries
-        # without the local sort a round-robin repartition needs, and it
-        # adds only that one column to the scan.
-        df = df.repartition(spark.sparkContext.defaultParallelism, F.col(df.columns[0]))
-    return df
+    """One given table, read plainly: the plan is the same at every size."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _pick(values: list, index) -> "F.Column":
