@@ -32,16 +32,19 @@ def normalise(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_BLANKED)
 
 
-def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
+def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
            docs_per_language: int = 200, max_chars: int = 20_000) -> dict[str, list[str]]:
     """The texts that the dictionaries are made of: per language the
-    ``docs_per_language`` texts of at most ``max_chars`` characters with the
-    smallest hashes.  This is the bounded sample of labelled rows; what reaches
-    the driver is bounded by these parameters times the number of languages.
+    ``docs_per_language`` rows of at most ``max_chars`` characters with the
+    smallest hashes of id and text, so that a large group of copies gets its
+    share of the sample and no more.  This is the bounded sample of labelled
+    rows; what reaches the driver is bounded by these parameters times the
+    number of languages.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
+    rows = labelled.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"),
+                           F.col(text_col).alias("text")).where(
         "lang is not null and text is not null and length(text) between 1 and " + str(int(max_chars)))
-    rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
+    rows = rows.select("lang", "text", F.xxhash64("id", "text").alias("h"))
     first = Window.partitionBy("lang").orderBy("h", "text")
     rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
     out: dict[str, list[str]] = {}
@@ -131,7 +134,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         folds: int = 4, held_out: int = 2, **bounds) -> dict[str, bytes]:
     """Dictionaries learned from the rows whose fold is not the held-out one
     (rows without an id belong to no fold and are not learned from)."""
-    return build_dictionaries(sample(docs.where(fold(id_col, folds) != held_out), text_col, lang_col, **bounds))
+    return build_dictionaries(sample(docs.where(fold(id_col, folds) != held_out), id_col, text_col, lang_col, **bounds))
 
 
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", **options) -> DataFrame:

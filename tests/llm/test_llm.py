@@ -144,6 +144,9 @@ def test_language_id(spark, docs, rows, none):
     assert kept.columns == docs.columns and kept.where("text is null").count() == 0
     assert language_id.identify(none, language_id.fit(none)).count() == 0
     assert {r.lang_pred for r in language_id.identify(docs, {}).collect()} == {"und"}
+    copies = spark.range(3000).selectExpr("id as doc_id", "if(id % 2 = 0, 'a copied text', 'own text ' || id) as text", "'xx' as lang")
+    texts = language_id.sample(copies, docs_per_language=100)["xx"]
+    assert len(texts) == 100 and 20 < texts.count("a copied text") < 80
 
 
 # ------------------------------------------------------------------- PII
