@@ -165,17 +165,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A field learned from the labelled documents outside the held-out fold.
 
     The bounded sample: per label the ``sample_per_label`` documents of at most
-    ``max_chars`` characters with the smallest hashes.  Rows without an id or
-    a label are not learned from.  Both labels weigh as much as they are rows
-    among the labelled ones.
+    ``max_chars`` characters with the smallest hashes (of rows that share an id,
+    the one with the smallest).  It is picked by ids and hashes alone; only the
+    texts picked move.  Rows without an id or a label are not learned from.
+    Both labels weigh as much as they are rows among the labelled ones.
     """
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(
         (fold("doc_id", folds) != held_out) & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(
         F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    rows = rows.join(known, "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
-    picked = [rows.where(F.col("y") == y).orderBy("h", "text").limit(sample_per_label) for y in range(STATES)]
-    got = picked[0].unionByName(picked[1]).collect()
+    rows = rows.where(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
+    least = rows.groupBy("doc_id").agg(F.min("h").alias("h")).join(known, "doc_id")
+    picked = [least.where(F.col("y") == y).orderBy("h", "doc_id").limit(sample_per_label) for y in range(STATES)]
+    picked = F.broadcast(picked[0].unionByName(picked[1]))  # ids, hashes, labels: 2 * sample_per_label rows at most
+    got = rows.join(picked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("y", "text", "h").collect()
     got = sorted(got, key=lambda r: (r["h"], r["text"] or ""))
     return train([r["text"] for r in got], [r["y"] for r in got])
 
