@@ -49,9 +49,9 @@ def assert_authorized(batch: DataFrame, accounts: DataFrame, user_id) -> None:
 def first_in_batch(batch: DataFrame, keys=("transaction_id",), order=("_row",)) -> DataFrame:
     """Rows earlier in the batch win over later copies of the same key.
 
-    min_by over the key is a hash aggregate with map-side partial
-    aggregation, so a key with very many copies is combined before the
-    shuffle instead of landing whole on one task.
+    min_by over a struct that holds strings is a sort-based aggregate with a
+    map-side partial step, so a key with very many copies is combined before
+    the shuffle instead of landing whole on one task.
     """
     other = [c for c in batch.columns if c not in keys]
     rec = F.struct(*[F.col(c) for c in other])
