@@ -41,18 +41,28 @@ def direction_totals(ledger: DataFrame, keys=("account_id",)) -> DataFrame:
             .withColumn("net_change", F.col("total_inflow") - F.col("total_outflow")))
 
 
-def _largest(direction: str):
-    """D3: max of (amount, date, id, description) among one direction: the
-    largest amount, ties to the latest date, then the larger id."""
-    rec = F.struct(F.col("amount").alias("amount"), F.col("transaction_date").alias("d"),
-                   F.col("transaction_id").alias("i"), F.col("description").alias("description"))
-    return F.max(F.when(F.col("direction") == direction, rec))
+def _largest(ledger: DataFrame) -> DataFrame:
+    """D3: ``account_id, li, lo``: the largest inflow and outflow (amount and
+    description); ties go to the latest date, then the larger id.
+
+    The largest amounts are a hash aggregate over numbers.  Only the rows that
+    hold them meet again, one of each kept per input partition, so the raw
+    ledger is never sorted.
+    """
+    key = ["account_id", "direction"]
+    top = ledger.groupBy(*key).agg(F.max("amount").alias("amount"))
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in ("transaction_date", "transaction_id", "description")])
+    rows = (ledger.select(*key, "amount", "transaction_date", "transaction_id", "description")
+            .join(top, [*key, "amount"]).withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1))
+    # at most one row a direction
+    each = F.map_from_entries(F.collect_list(F.struct("direction", F.struct("amount", "description"))))
+    got = rows.groupBy("account_id").agg(each.alias("m"))
+    return got.select("account_id", F.col("m")["inflow"].alias("li"), F.col("m")["outflow"].alias("lo"))
 
 
 def largest_tx(ledger: DataFrame) -> DataFrame:
     """D3 alone: largest inflow / outflow per account; none -> 0 / 'N/A'."""
-    a = ledger.groupBy("account_id").agg(_largest("inflow").alias("li"), _largest("outflow").alias("lo"))
-    return a.select("account_id", *_largest_cols())
+    return _largest(ledger).select("account_id", *_largest_cols())
 
 
 def _largest_cols():
@@ -79,10 +89,9 @@ def account_summary(ledger: DataFrame, accounts: DataFrame, start=None, end=None
                 _sum0(_outflow()).alias("total_outflow"),
                 F.count(F.lit(1)).alias("transaction_count"),
                 F.min("transaction_date").alias("_min_d"),
-                F.max("transaction_date").alias("_max_d"),
-                _largest("inflow").alias("li"),
-                _largest("outflow").alias("lo")))
-    j = accounts.select("account_id", "starting_balance").join(agg, "account_id", "left")
+                F.max("transaction_date").alias("_max_d")))
+    j = (accounts.select("account_id", "starting_balance").join(agg, "account_id", "left")
+         .join(_largest(led), "account_id", "left"))
     has = F.coalesce(F.col("transaction_count"), _zero()) > 0
     net = F.coalesce(F.col("total_inflow"), _zero()) - F.coalesce(F.col("total_outflow"), _zero())
     balance = F.when(has, F.coalesce(F.col("starting_balance"), _zero()) + net).otherwise(_zero())

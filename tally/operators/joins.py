@@ -8,7 +8,7 @@ plan falls back to a shuffle join instead of failing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.errors import PermissionDenied, ValidationError
@@ -49,15 +49,14 @@ def assert_authorized(batch: DataFrame, accounts: DataFrame, user_id) -> None:
 def first_in_batch(batch: DataFrame, keys=("transaction_id",), order=("_row",)) -> DataFrame:
     """Rows earlier in the batch win over later copies of the same key.
 
-    min_by over a struct that holds strings is a sort-based aggregate with a
-    map-side partial step, so a key with very many copies is combined before
-    the shuffle instead of landing whole on one task.
+    ``row_number() = 1`` with the other columns as tie-breakers, so a retried
+    task picks the same copy.  Spark plans a partial WindowGroupLimit before
+    the shuffle: of a key with very many copies each input partition forwards
+    one, so the key never lands whole on one task.
     """
-    other = [c for c in batch.columns if c not in keys]
-    rec = F.struct(*[F.col(c) for c in other])
-    return (batch.groupBy(*keys)
-            .agg(F.min_by(rec, F.struct(*[F.col(o) for o in order])).alias("_r"))
-            .select(*keys, "_r.*"))
+    ties = [c for c, t in batch.dtypes if c not in keys and c not in order and "map<" not in t]
+    w = Window.partitionBy(*keys).orderBy(*order, *ties)
+    return batch.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).drop("_nth")
 
 
 def new_rows_only(batch: DataFrame, ledger: DataFrame, keys=("transaction_id",),

@@ -31,25 +31,36 @@ def list_page(ledger: DataFrame, offset: int = 0, limit: int = 50, category=None
     return page.join(totals, "account_id")
 
 
-def log_query(log: DataFrame, level=None, start=None, end=None, account_id=None, user_id=None,
-              limit: int = 100) -> DataFrame:
-    """filtered log records, newest first, the last ``limit`` of them
-    (limit 0 = all).  Dates compare on the record's own local date."""
-    if limit < 0 or limit > LOG_LIMIT_MAX:
-        raise ValueError(f"limit must be 0..{LOG_LIMIT_MAX}")
+def log_matches(log: DataFrame, level=None, start=None, end=None, account_id=None, user_id=None) -> DataFrame:
+    """log records that pass the filters.  Dates compare on the record's
+    own local date; a record without a time passes them."""
     day = F.to_date("ts")
     if level is not None:
         log = log.where(F.col("level") == F.upper(F.lit(level)))
     if start is not None:
-        log = log.where(day >= F.lit(start).cast("date"))
+        log = log.where(day.isNull() | (day >= F.lit(start).cast("date")))
     if end is not None:
-        log = log.where(day <= F.lit(end).cast("date"))
+        log = log.where(day.isNull() | (day <= F.lit(end).cast("date")))
     if account_id is not None:
         log = log.where(F.col("account_id") == F.lit(str(account_id)))
     if user_id is not None:
         log = log.where(F.col("user_id") == F.lit(str(user_id)))
-    out = log.orderBy(F.col("ts").desc(), F.col("message").desc())
-    return out.limit(limit) if limit else out
+    return log
+
+
+def log_query(log: DataFrame, level=None, start=None, end=None, account_id=None, user_id=None,
+              limit: int = 100) -> DataFrame:
+    """matching log records, newest first, the last ``limit`` of them
+    (0: none); ``log_total`` counts all matches."""
+    if limit < 0 or limit > LOG_LIMIT_MAX:
+        raise ValueError(f"limit must be 0..{LOG_LIMIT_MAX}")
+    out = log_matches(log, level, start, end, account_id, user_id)
+    return out.orderBy(F.col("ts").desc(), F.col("message").desc()).limit(limit)
+
+
+def log_total(log: DataFrame, **filters) -> DataFrame:
+    """the number of matching records, whatever the limit."""
+    return log_matches(log, **filters).agg(F.count(F.lit(1)).alias("total"))
 
 
 def account_list(accounts: DataFrame, user_id=None) -> DataFrame:

@@ -6,12 +6,16 @@ directory (``tally.sources.ledger``); nothing is updated in place.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tally.functions.constraints import account_constraints, tx_constraints
 from tally.functions.text import rule_category_col, with_normalized
+from tally.operators.validate import default_fill
 from tally.schema import ALLOWED_DIRECTIONS, LEDGER_COLUMNS
+from tally.session import scratch_path
 
 STATUSES = ("inserted", "duplicate", "error")
 
@@ -25,44 +29,39 @@ def _resolved_category():
     return F.coalesce(_nonempty("category"), rule_category_col(), F.lit("Miscellaneous"))
 
 
-def classify_batch(batch: DataFrame, ledger: DataFrame, key_mode: str = "account") -> DataFrame:
+def classify_batch(batch: DataFrame, ledger: DataFrame, key_mode: str = "account", order: str = "_row") -> DataFrame:
     """Status of each incoming row: inserted / duplicate / error.
 
-    ``batch`` needs transaction_id, account_id, _row (batch order) and a
-    boolean ``_valid``.  Checks run in this order, per row:
+    ``batch`` needs transaction_id, account_id, a numeric ``order`` column and
+    a boolean ``_valid``.  Checks run in this order, per row:
       1. the key already exists in the ledger -> duplicate.  key_mode
          'account' matches (account_id, id); an id held by another account
          is an error (primary key).  key_mode 'id' matches on id alone.
       2. within the batch, the first *valid* copy of an id is inserted;
          later copies are duplicates (same account) or errors (other
          account, 'account' mode); earlier copies were invalid -> error.
-    Implemented as a join with the ledger's ids and a min aggregate per id:
-    no window over a key, so one hot id cannot overload one task.
+    The first valid copy depends on the batch alone (an id in the ledger
+    settles all its rows), so it is one hash aggregate over numbers and the
+    ledger's ids are joined once.  Rows without an id get a key of their own:
+    they match nothing and spread over the joins' partitions.
     """
-    held = ledger.select("transaction_id", F.col("account_id").alias("_held_by"))
-    b = batch.join(held, "transaction_id", "left")
-    if key_mode == "account":
-        in_ledger_dup = F.col("_held_by") == F.col("account_id")
-        in_ledger_err = F.col("_held_by").isNotNull() & (F.col("_held_by") != F.col("account_id"))
-    else:
-        in_ledger_dup = F.col("_held_by").isNotNull()
-        in_ledger_err = F.lit(False)
-    b = b.withColumn("_pre", F.when(in_ledger_dup, "duplicate").when(in_ledger_err, "error"))
-    cand = b.where(F.col("_pre").isNull() & F.col("_valid"))
-    win = (cand.groupBy("transaction_id")
-           .agg(F.min_by(F.struct(F.col("_row").alias("r"), F.col("account_id").alias("a")), F.col("_row"))
-                .alias("_w")))
-    b = b.join(win, "transaction_id", "left")
-    after = F.col("_row") > F.col("_w.r")
-    same_acct = F.col("account_id") == F.col("_w.a")
-    later = (F.when(same_acct, "duplicate").otherwise("error") if key_mode == "account"
-             else F.lit("duplicate"))
-    status = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
-              .when(F.col("_w").isNull(), "error")
-              .when(F.col("_row") == F.col("_w.r"), "inserted")
-              .when(after, later)
+    has_id = _nonempty("transaction_id").isNotNull()
+    b = batch.withColumn("_key", F.when(has_id, F.col("transaction_id")).otherwise(
+        F.concat(F.lit("\0"), F.col(order).cast("string"))))
+    account = F.xxhash64("account_id")
+    win = (b.where(F.col("_valid") & has_id).groupBy("_key")
+           .agg(F.min(order).alias("_first"), F.min_by(account, F.col(order)).alias("_first_account")))
+    held = ledger.select(F.col("transaction_id").alias("_key"), F.col("account_id").alias("_held_by"))
+    b = b.join(win, "_key", "left").join(held, "_key", "left")
+    by_account = key_mode == "account"
+    same_holder = F.col("_held_by").eqNullSafe(F.col("account_id")) if by_account else F.lit(True)
+    same_account = (F.col("_first_account") == account) if by_account else F.lit(True)
+    status = (F.when(F.col("_held_by").isNotNull(), F.when(same_holder, "duplicate").otherwise("error"))
+              .when(F.col("_first").isNull(), "error")
+              .when(F.col(order) == F.col("_first"), "inserted")
+              .when((F.col(order) > F.col("_first")) & same_account, "duplicate")
               .otherwise("error"))
-    return b.withColumn("status", status).drop("_held_by", "_pre", "_w")
+    return b.withColumn("status", status).drop("_key", "_first", "_first_account", "_held_by")
 
 
 def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of_ts,
@@ -105,36 +104,66 @@ def insert_tx(requests: DataFrame, ledger: DataFrame, accounts: DataFrame, as_of
                     "_row", "status", F.col("_viol").alias("errors")))
 
 
-def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_ts=None) -> DataFrame:
+def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_ts=None,
+               accounts: DataFrame | None = None) -> DataFrame:
     """K2: CSV rows (all strings, with ``_row`` = 0-based index in the file
     and ``row_number`` = index + 2) -> classified rows.
 
-    upload: a missing id becomes 'tx_csv_<index>', duplicates on
-    (account_id, id).  import: a missing id is an error, duplicates on id.
-    amount must be an integer in smallest units ('3.5' is an error row);
-    direction must be exactly 'inflow' or 'outflow', and the date a date.
+    Absent columns get their defaults (B15; ``as_of_ts`` stands in for now).
+    upload: a missing id becomes 'tx_csv_<index>', with the file's hash in it
+    where the rows name their file, and duplicates match on (account_id, id).
+    import: a missing id is an error, duplicates match on id.  Rows of several
+    files count in the order of the files' names.  amount must be an integer
+    in smallest units ('3.5' is an error row); direction must be exactly
+    'inflow' or 'outflow', and the date a date.  With ``accounts`` an unknown
+    account is an error and the currency is the account's; else it is null.
+    ``errors`` holds the codes of an error row.
     """
+    now = as_of_ts if as_of_ts is not None else dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    rows = default_fill(rows, str(now), mode)
+    if "category" not in rows.columns:
+        rows = rows.withColumn("category", F.lit(""))
+    order = "_seq" if "_seq" in rows.columns else "_row"
+    codes = []
     if mode == "upload":
-        tid = F.coalesce(_nonempty("transaction_id"), F.concat(F.lit("tx_csv_"), F.col("_row").cast("string")))
-        id_ok = F.lit(True)
+        file = [F.sha2("_file", 256)] if "_file" in rows.columns else []
+        made = F.concat_ws("_", F.lit("tx_csv"), *file, F.col("_row").cast("string"))
+        rows = rows.withColumn("transaction_id", F.coalesce(_nonempty("transaction_id"), made))
     else:
-        tid = F.col("transaction_id")
-        id_ok = _nonempty("transaction_id").isNotNull()
+        codes.append(F.when(_nonempty("transaction_id").isNull(), "transaction_id_missing"))
     # int() semantics: optional sign and digits only ('3.5' is an error).
     amount = F.when(F.col("amount").rlike(r"^\s*[+-]?[0-9]+\s*$"), F.col("amount").try_cast("bigint"))
-    r = (rows.withColumn("transaction_id", tid)
-         .withColumn("_amount", amount)
-         .withColumn("_valid", id_ok & F.col("_amount").isNotNull()
-                     & F.coalesce(F.col("direction").isin(*ALLOWED_DIRECTIONS), F.lit(False))
-                     & F.col("transaction_date").try_cast("date").isNotNull()))
-    c = with_normalized(classify_batch(r, ledger, "account" if mode == "upload" else "id"))
+    known = F.lit(None).cast("string")
+    if accounts is not None:
+        rows = rows.join(accounts.select("account_id", F.col("currency").alias("_acct_currency"),
+                                         F.lit(True).alias("_known")), "account_id", "left")
+        known = F.col("_acct_currency")
+        codes.append(F.when(F.col("_known").isNull(), "account_unknown"))
+    codes += [F.when(F.col("_amount").isNull(), "amount_invalid"),
+              F.when(~F.coalesce(F.col("direction").isin(*ALLOWED_DIRECTIONS), F.lit(False)), "direction_invalid"),
+              F.when(F.col("transaction_date").try_cast("date").isNull(), "transaction_date_invalid")]
+    r = rows.withColumn("_amount", amount).withColumn("_codes", F.concat_ws(",", *codes))
+    r = r.withColumn("_valid", F.col("_codes") == "")
+    c = with_normalized(classify_batch(r, ledger, "account" if mode == "upload" else "id", order))
+    errors = F.when(F.col("status") != "error", "").when(F.col("_codes") != "", F.col("_codes")).otherwise(
+        "transaction_id_of_other_account")
     # Spark reads an empty CSV cell as null; the ledger stores ''.
     return c.select("transaction_id", "account_id",
                     F.coalesce(F.col("description"), F.lit("")).alias("description"),
                     _resolved_category().alias("category"),
-                    F.col("_amount").alias("amount"), "direction",
+                    F.col("_amount").alias("amount"), "direction", known.alias("currency"),
                     F.col("transaction_date").try_cast("date").alias("transaction_date"),
-                    "_row", (F.col("_row") + 2).alias("row_number"), "status")
+                    F.coalesce(F.col("posted_at").try_cast("timestamp_ntz"),
+                               F.lit(str(now)).cast("timestamp_ntz")).alias("posted_at"),
+                    *(["_file"] if "_file" in rows.columns else []),
+                    "_row", (F.col("_row") + 2).alias("row_number"), "status", errors.alias("errors"))
+
+
+def import_errors(classified: DataFrame) -> DataFrame:
+    """K2: the error rows of an import as (file, row, error)."""
+    file = [F.col("_file").alias("file")] if "_file" in classified.columns else []
+    return classified.where(F.col("status") == "error").select(
+        *file, F.col("row_number").alias("row"), F.col("errors").alias("error"))
 
 
 def inserted_rows(classified: DataFrame) -> DataFrame:
@@ -176,26 +205,48 @@ def delete_tx(ledger: DataFrame, keys: DataFrame, on=("account_id", "transaction
 
 def account_create(accounts: DataFrame, requests: DataFrame, as_of_date) -> DataFrame:
     """K5: classified account requests.  B8 violations -> error; an id or
-    number already taken (in the table or earlier in the batch) ->
-    duplicate.  Accepted rows get last_updated = as_of."""
+    number already taken (in the table or by an account created earlier in the
+    batch) -> duplicate.  Accepted rows get last_updated = as_of.
+
+    Requests apply in the order of ``_row``; one that is turned down blocks no
+    other.  Each round creates the requests that are first with both their id
+    and their number, and turns down those that share either; it repeats for
+    what is left, once for each link of the longest chain of such clashes.
+    """
+    spark = requests.sparkSession
     taken_id = accounts.select("account_id", F.lit(True).alias("_id_taken"))
     taken_no = accounts.select("account_number", F.lit(True).alias("_no_taken"))
     r = (requests.withColumn("_viol", account_constraints())
          .join(taken_id, "account_id", "left").join(taken_no, "account_number", "left"))
-    dup_tbl = F.col("_id_taken").isNotNull() | F.col("_no_taken").isNotNull()
-    ok = r.where(~dup_tbl & (F.col("_viol") == ""))
-    first_id = ok.groupBy("account_id").agg(F.min("_row").alias("_fid"))
-    first_no = ok.groupBy("account_number").agg(F.min("_row").alias("_fno"))
-    r = r.join(first_id, "account_id", "left").join(first_no, "account_number", "left")
-    status = (F.when(dup_tbl, "duplicate")
+    in_table = F.col("_id_taken").isNotNull() | F.col("_no_taken").isNotNull()
+    left = _staged(r.where(~in_table & (F.col("_viol") == "")).select("_row", "account_id", "account_number"))
+    created = spark.createDataFrame([], left.schema).select("_row")
+    while not left.isEmpty():
+        first_id = left.groupBy("account_id").agg(F.min("_row").alias("_by_id"))
+        first_no = left.groupBy("account_number").agg(F.min("_row").alias("_by_no"))
+        new = _staged(left.join(first_id, "account_id").join(first_no, "account_number").where(
+            (F.col("_row") == F.col("_by_id")) & (F.col("_row") == F.col("_by_no")))
+            .select("_row", "account_id", "account_number"))
+        created = created.unionByName(new.select("_row"))
+        left = _staged(left.join(new.select("account_id"), "account_id", "left_anti")
+                       .join(new.select("account_number"), "account_number", "left_anti"))
+    r = r.join(created.withColumn("_created", F.lit(True)), "_row", "left")
+    status = (F.when(in_table, "duplicate")
               .when(F.col("_viol") != "", "error")
-              .when((F.col("_row") == F.col("_fid")) & (F.col("_row") == F.col("_fno")), "created")
+              .when(F.col("_created"), "created")
               .otherwise("duplicate"))
     return r.select("account_id", "user_id", "account_number", "starting_balance", "currency",
                     F.lit(as_of_date).cast("date").alias("last_updated"), "_row",
                     status.alias("status"), F.col("_viol").alias("errors"))
 
 
+def _staged(df: DataFrame) -> DataFrame:
+    """Written once in the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, "requests")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def accounts_after_create(accounts: DataFrame, classified: DataFrame) -> DataFrame:
     new = classified.where(F.col("status") == "created").select(*accounts.columns)
     return accounts.unionByName(new)

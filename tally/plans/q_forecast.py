@@ -259,7 +259,9 @@ FROM order_accounts a LEFT JOIN model m ON a.account_id = m.account_id
 LEFT JOIN cnt c ON a.account_id = c.account_id""", "order_ledger", "order_accounts"))
 def model_status_q(spark, d):
     led, acc, as_of = _order(spark, d)
-    models = FC.retrain_all(led, acc, as_of, trained_at=as_of.cast("timestamp_ntz"))
+    path = scratch_path(spark, "status-models")
+    FC.retrain_all(led, acc, as_of, trained_at=as_of.cast("timestamp_ntz")).write.parquet(path)
+    models = spark.read.parquet(path)
     return model_status(acc, models.where(F.col("status") == "trained"), led)
 
 

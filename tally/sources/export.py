@@ -31,7 +31,7 @@ def export_csv(ledger: DataFrame, path: str, **kw) -> None:
     # files of an account cover consecutive date ranges, newest first.
     (f.repartitionByRange("account_id", F.col("transaction_date").desc(), "transaction_id")
      .sortWithinPartitions("account_id", F.col("transaction_date").desc(), "transaction_id")
-     .write.option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).partitionBy("account_id").csv(path))
 
 
@@ -43,12 +43,6 @@ def export_json_header(ledger: DataFrame, export_date, **kw) -> DataFrame:
         "account_id", F.lit(export_date).cast("date").alias("export_date"), "transaction_count")
 
 
-def export_json_lines(ledger: DataFrame, **kw) -> DataFrame:
-    """A7 rows: one JSON object per transaction (newest first per account)."""
-    f = export_frame(ledger, **kw)
-    return f.select("account_id", F.to_json(F.struct(*LISTING_COLUMNS)).alias("value"))
-
-
 def export_json(ledger: DataFrame, path: str, export_date, **kw) -> None:
     """Per account a header line then its transactions, as JSON lines."""
     head = export_json_header(ledger, export_date, **kw).select(

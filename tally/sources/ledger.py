@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tally.operators.joins import first_in_batch
 from tally.schema import CURRENCY_DECIMALS, LEDGER_COLUMNS, LEDGER_SCHEMA
 
 
@@ -44,10 +45,7 @@ def ledger_append(new_rows: DataFrame, ledger: DataFrame | None, path: str) -> D
     the batch the smallest by posted_at, then by the other values, is stored.
     Returns the appended rows.
     """
-    rest = [c for c in new_rows.columns if c not in ("transaction_id", "posted_at")]
-    order = (["posted_at"] if "posted_at" in new_rows.columns else []) + rest
-    new_rows = (new_rows.groupBy("transaction_id").agg(F.min(F.struct(*order)).alias("_r"))
-                .select("transaction_id", "_r.*").select(*new_rows.columns))
+    new_rows = first_in_batch(new_rows, order=[c for c in ("posted_at",) if c in new_rows.columns])
     fresh = new_rows if ledger is None else new_rows.join(ledger.select("transaction_id"), "transaction_id",
                                                           "left_anti")
     write_snapshot(fresh.select(*LEDGER_COLUMNS), path, mode="append")
@@ -57,15 +55,13 @@ def ledger_append(new_rows: DataFrame, ledger: DataFrame | None, path: str) -> D
 def processed_merge(existing: DataFrame | None, new_rows: DataFrame) -> DataFrame:
     """A5: existing backup union new rows, first row per transaction_id with
     the existing copy winning.  On the first write (no backup) rows are
-    taken as they are, without de-duplication."""
+    taken as they are, without de-duplication.  Of several copies on one side
+    the smallest by posted_at, then by the other values, is kept."""
     if existing is None:
         return new_rows
-    tagged = (existing.withColumn("_src", F.lit(0)).unionByName(new_rows.withColumn("_src", F.lit(1)))
-              .withColumn("_ord", F.monotonically_increasing_id()))
-    rec = F.struct(*[F.col(c) for c in new_rows.columns])
-    return (tagged.groupBy("transaction_id")
-            .agg(F.min_by(rec, F.struct("_src", "_ord")).alias("_r"))
-            .select("_r.*"))
+    tagged = existing.withColumn("_src", F.lit(0)).unionByName(new_rows.withColumn("_src", F.lit(1)))
+    order = ["_src"] + [c for c in ("posted_at",) if c in new_rows.columns]
+    return first_in_batch(tagged, order=order).select(*new_rows.columns)
 
 
 def strict_load(raw: DataFrame) -> DataFrame:

@@ -51,10 +51,13 @@ def test_retention_dry_run_keeps_everything(spark):
     assert K.retention_purge(led, "2001-12-31", 10).count() < led.count()
 
 
-def test_log_limit_zero_means_all(spark):
+def test_log_limit_zero_means_none_and_total_counts_all(spark):
     log = tv.log_events(spark, SF001)
     n = log.where(F.col("level") == "ERROR").count()
-    assert LS.log_query(log, level="error", limit=0).count() == n
+    assert LS.log_query(log, level="error", limit=0).count() == 0
+    assert LS.log_total(log, level="error").first().total == n
+    timeless = log.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    assert LS.log_total(timeless, level="error", start="2100-01-01", end="2100-01-02").first().total == n
     assert LS.log_query(log, level="error", limit=5).count() == 5
     with pytest.raises(ValueError):
         LS.log_query(log, limit=1001)

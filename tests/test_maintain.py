@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,3 +100,67 @@ def test_a_failing_ledger_read_fails_the_batch(spark, monkeypatch):
     monkeypatch.setattr(LG, "read_ledger", broken)
     with pytest.raises(OSError):
         STREAM._existing(spark, "anywhere")
+
+
+UPLOAD = "transaction_id,account_id,description,category,amount,direction,transaction_date\n"
+
+
+def _upload(spark, **files):
+    path = scratch_path(spark, "upload-files")
+    os.makedirs(path.removeprefix("file:"), exist_ok=True)
+    for name, text in files.items():
+        with open(f"{path.removeprefix('file:')}/{name}.csv", "w") as f:
+            f.write(text)
+    return path
+
+
+def test_import_of_several_files(spark):
+    """Shared ids, missing ids at the same index, and a repeated id in one file."""
+    path = _upload(spark, a=UPLOAD + "n1,a1,first,,5,inflow,2024-01-02\n,a1,no id,,6,inflow,2024-01-02\n",
+                   b=UPLOAD + "n1,a1,second,,5,inflow,2024-01-02\n,a1,no id either,,7,inflow,2024-01-02\nn2,a9,x,,1,inflow,soon\n")
+    rows = CSV.stage_csv(spark, path, scratch_path(spark, "staged"))
+    got = K.import_csv(rows, _ledger(spark), as_of_ts="2024-05-05 00:00:00", accounts=_accounts(spark)).collect()
+    assert {r.description: r.status for r in got} == {"first": "inserted", "second": "duplicate", "no id": "inserted",
+                                                      "no id either": "inserted", "x": "error"}
+    assert len({r.transaction_id for r in got if r.status == "inserted"}) == 3
+    assert {(r.currency, str(r.posted_at)) for r in got if r.status == "inserted"} == {("USD", "2024-05-05 00:00:00")}
+    errors = K.import_errors(K.import_csv(rows, _ledger(spark), accounts=_accounts(spark))).collect()
+    assert [(r.file.rsplit("/", 1)[1], r.row, r.error) for r in errors] == [("b.csv", 4, "account_unknown,transaction_date_invalid")]
+
+
+def test_import_without_optional_columns(spark):
+    rows = spark.createDataFrame([("n1", "a1", 0)], "transaction_id string, account_id string, _row bigint")
+    (r,) = K.import_csv(rows, _ledger(spark), as_of_ts="2024-05-05 00:00:00").collect()
+    assert (r.status, r.amount, r.direction, str(r.transaction_date), r.description) == (
+        "inserted", 0, "outflow", "2024-05-05", "")
+
+
+def test_files_with_another_header_fail(spark):
+    path = _upload(spark, a="transaction_id,amount\nt1,5\n", b="amount,transaction_id\n5,t2\n")
+    with pytest.raises(Exception, match="CSV header"):
+        CSV.read_raw(spark, path).collect()
+    same = _upload(spark, a="transaction_id, amount\nt1,5\n", b="transaction_id, amount\nt2,6\n")
+    assert sorted((r.transaction_id, r.amount) for r in CSV.read_raw(spark, same).collect()) == [("t1", "5"), ("t2", "6")]
+
+
+def test_refused_accounts_block_no_other(spark):
+    rows = [("1", "0000000001", 0), ("1", "0000000002", 1), ("2", "0000000002", 2), ("2", "0000000003", 3), ("3", "0000000003", 4)]
+    req = spark.createDataFrame([(i, 1, n, 5, "USD", k) for i, n, k in rows],
+                                "account_id string, user_id bigint, account_number string, starting_balance bigint, "
+                                "currency string, _row bigint")
+    got = {r._row: r.status for r in K.account_create(_accounts(spark), req, "2024-05-05").collect()}
+    ids, numbers, expected = set(), set(), {}
+    for i, n, k in rows:
+        expected[k] = "duplicate" if i in ids or n in numbers else "created"
+        if expected[k] == "created":
+            ids.add(i), numbers.add(n)
+    assert got == expected
+
+
+def test_backup_keeps_the_existing_copy(spark):
+    led = _ledger(spark)
+    new = led.withColumn("description", F.lit("new")).unionByName(
+        led.withColumn("transaction_id", F.lit("t3")).withColumn("description", F.lit("added")))
+    for n in (1, 3):
+        got = {r.transaction_id: r.description for r in LG.processed_merge(led, new.repartition(n)).collect()}
+        assert got == {"t1": "old", "t2": "x", "t3": "added"}

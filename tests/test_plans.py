@@ -9,7 +9,7 @@ from tests.conftest import SF01
 from tools.plan_report import summarize
 
 SIDE_EFFECT = {"ingest_run", "stream_ingest", "log_scan_query", "import_csv", "import_report",
-               "import_row_numbers", "import_csv_id_mode", "export_csv", "export_json", "labeled_scan",
+               "import_row_numbers", "import_csv_id_mode", "export_csv", "export_json", "export_json_rows", "labeled_scan", "import_row_facts",
                "train_text_model", "categorize_model"}
 
 
@@ -38,9 +38,19 @@ def test_lookback_reaches_the_scan(spark):
 def test_reports_aggregate_partially(spark):
     for name in ("daily_cashflow", "category_breakdown", "account_summary"):
         s = summarize(_plan(spark, name))
-        assert s["HashAggregate"] + s["SortAggregate"] >= 2, name  # partial + final
+        assert s["HashAggregate"] >= 2 and s["SortAggregate"] == 0, name  # partial + final
 
 
 def test_forecaster_shuffles_little(spark):
     s = summarize(_plan(spark, "fit_forecaster"))
     assert s["shuffles"] <= 2 and s["SortMergeJoin"] == 0
+
+
+@pytest.mark.parametrize("name", ["account_summary", "largest_tx", "keep_first", "new_rows_only", "processed_merge"])
+def test_no_sort_aggregate(spark, name):
+    assert summarize(_plan(spark, name))["SortAggregate"] == 0
+
+
+@pytest.mark.parametrize("name", ["keep_first", "processed_merge"])
+def test_first_copies_are_cut_before_the_shuffle(spark, name):
+    assert re.search(r"Exchange hashpartitioning[^\n]*\n(.*\n)*?.*WindowGroupLimit", _plan(spark, name))
