@@ -234,7 +234,7 @@ def _imported(spark, d):
     path = scratch_path(spark, "upload")
     CSV.write_csv(_upload_rows(spark, d), path)
     rows = CSV.stage_csv(spark, path, scratch_path(spark, "upload-staged"))
-    return K.import_csv(rows, _led(spark, d), mode="upload")
+    return K.import_csv(rows, _led(spark, d), mode="upload", as_of_ts="2025-06-30 12:00:00")
 
 
 _IMPORT_STATUS_SQL = f"""
@@ -531,12 +531,13 @@ SELECT {', '.join(tv_cols for tv_cols in ('transaction_id', 'account_id', 'descr
 FROM ledger WHERE transaction_date >= DATE '2000-01-01'""", "ledger"))
 def export_csv(spark, d):
     """Writes the CSV export (one directory per account) and returns the
-    rows read back from the files."""
+    rows read back from the files (an empty cell is an empty description)."""
     led = _led(spark, d)
     path = scratch_path(spark, "export-csv")
     EX.export_csv(led, path, start="2000-01-01")
     back = spark.read.option("header", True).option("escape", '"').csv(path)
     types = dict(led.dtypes)
+    back = back.withColumn("description", F.coalesce("description", F.lit("")))
     return back.select(*[F.col(c).cast(types[c]).alias(c) for c in LISTING_COLUMNS])
 
 
@@ -631,7 +632,7 @@ def import_csv_id_mode(spark, d):
     path = scratch_path(spark, "import")
     CSV.write_csv(rows, path)
     staged = CSV.stage_csv(spark, path, scratch_path(spark, "import-staged"))
-    out = K.import_csv(staged, _led(spark, d), mode="import")
+    out = K.import_csv(staged, _led(spark, d), mode="import", as_of_ts="2025-06-30 12:00:00")
     return out.select(F.coalesce(F.col("transaction_id"), F.lit("")).alias("transaction_id"), "account_id",
                       "status", "amount")
 
