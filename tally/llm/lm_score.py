@@ -171,3 +171,26 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     return ids.alias("a").join(sums.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")), "left").select(
         "a.doc_id", F.coalesce("n_words", F.lit(0)).cast("bigint").alias("n_words"), "log_score",
         (F.col("log_score") / F.col("n_words")).alias("score"))
+
+
+#: The same with plain counts and joins, for DuckDB (ids are unique; bigrams
+#: that stand twice or more, back-off 0.4; sums to 6 decimals, as their order
+#: is free).  The white space is fixed: what ends a word for ``str.split``.
+ORACLE = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text,
+             '[^\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+') AS words
+           FROM documents),
+pairs AS (SELECT doc_id, unnest(words) AS word, unnest(list_prepend(NULL, words[1:len(words) - 1])) AS before
+          FROM t WHERE len(words) > 0),
+one AS (SELECT word, count(*) AS n FROM pairs GROUP BY word),
+led AS (SELECT before, count(*) AS n FROM pairs GROUP BY before),
+two AS (SELECT before, word, count(*) AS n FROM pairs GROUP BY before, word),
+priced AS (
+  SELECT two.before, two.word, CASE WHEN two.n >= 2 THEN ln(two.n) - ln(led.n)
+         ELSE ln(0.4) + ln(one.n) - ln((SELECT count(*) FROM pairs)) END AS value
+  FROM two JOIN led ON two.before IS NOT DISTINCT FROM led.before JOIN one ON two.word = one.word),
+sums AS (SELECT doc_id, count(*) AS n, sum(value) AS s FROM pairs p JOIN priced
+         ON p.word = priced.word AND p.before IS NOT DISTINCT FROM priced.before GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, round(s, 6) AS log_score, round(s / n, 6) AS score
+FROM documents d LEFT JOIN sums ON d.doc_id = sums.doc_id
+"""

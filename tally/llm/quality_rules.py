@@ -106,3 +106,37 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
     got = measures(docs, id_col, text_col)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return got.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules))
+
+
+def _oracle_verdict(rules: list[Rule]) -> str:
+    tests = []
+    for r in rules:
+        ratio = f"(CASE WHEN {r.denominator} > 0 THEN CAST({r.numerator} AS DOUBLE) / {r.denominator} ELSE 0 END)"
+        tests += [f"{ratio} >= {r.low}"] * (r.low is not None) + [f"{ratio} <= {r.high}"] * (r.high is not None)
+    return " AND ".join(tests)
+
+
+#: The same with unnested windows, for DuckDB (ids are unique).
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD}') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM d),
+three AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w),
+often AS (SELECT doc_id, i FROM (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM three) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM often CROSS JOIN range(0, 3) t(k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(list_sum(list_transform(words, lambda x: length(x))) AS BIGINT) AS word_sum,
+         CAST(len(regexp_extract_all(text, '{SYMBOL}')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+         length(text) AS n_chars, len(regexp_extract_all(text, '\p{{Lu}}')) AS n_upper,
+         len(regexp_extract_all(text, '!')) AS n_exclaims, len(lines) AS n_lines,
+         len(list_filter(words, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}))) AS n_stop_words
+  FROM w LEFT JOIN covered ON w.doc_id = covered.doc_id),
+f AS (SELECT *, coalesce(word_sum, 0) AS word_chars,
+             n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND {_oracle_verdict(RULES)} AS kept FROM f
+"""

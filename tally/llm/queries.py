@@ -87,7 +87,8 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L7.score(documents(spark, sf_dir), **LM)
+    return L7.score(documents(spark, sf_dir), **LM).select(
+        "doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("score", 6).alias("score"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +110,4 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_pseudonyms, op10_quality_crf, op2_token_records, op3_language_id, op5_source_mix, op6_simhash_near_dedup, op7_lm_score,
                                    op8_decontaminate, op9_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": L1.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": L1.ORACLE, "op7_lm_score": L7.ORACLE, "op9_quality_rules": L9.ORACLE}
