@@ -39,6 +39,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in parts of ``rows`` rows, so that few texts at a time
+    become Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts`` (null for a null id)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts

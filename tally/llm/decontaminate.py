@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.llm.common import slices
+
 
 def normalise(text: str | None) -> str:
     return " ".join((text or "").lower().split())
@@ -160,7 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, id_c
 def _search(docs, items, error_rate, id_col, text_col, spec) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(items, error_rate)
-        for b in batches:
+        for b in slices(batches):
             ids, rows = b.column(0).to_pylist(), []
             for i, t in zip(ids, b.column(1).to_pylist()):
                 rows += [(i, *m) for m in matcher.find(t)]
@@ -181,7 +183,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.1, t
     for items in blocks(benchmark, item_col, item_text):
         def run(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, error_rate)
-            for b in batches:
+            for b in slices(batches):
                 yield b.filter(pa.array([not matcher.find(t) for t in b.column(where).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tally.llm.common import fold
+from tally.llm.common import fold, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -119,7 +119,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries, **options)
-        for b in batches:
+        for b in slices(batches):
             got = [model.predict(t) for t in b.column(1).to_pylist()]
             lang, score, out = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays(
@@ -143,7 +143,7 @@ def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes], text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(dictionaries, **options)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([not model.predict(t)[2] for t in b.column(where).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

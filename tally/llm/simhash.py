@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import WORD, components, fresh, stage
+from tally.llm.common import WORD, components, fresh, slices, stage
 
 #: Generator polynomial of the binary Golay code of length 23 (fixed value).
 GOLAY = 0b110001110101
@@ -64,7 +64,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """``doc_id, text_hash, fp`` (signed bigint) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(2).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))],
                                              names=["doc_id", "text_hash", "fp"])

@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
+
+from tally.llm.common import slices
 
 MASK_DELTA = 0xA282EAD8  # fixed value of the masked-checksum convention
 HEAD = struct.Struct("<QI")
@@ -63,7 +68,7 @@ class Encoder:
     PRETOKEN = regex.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str, end_id: int, cache: int = 250_000):
+    def __init__(self, path: str, end_id: int, cache: int = 125_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_truncation()
@@ -87,11 +92,9 @@ class Encoder:
     def _by_piece(self) -> bool:
         """Whether the tokenizer cuts texts by the pattern above and nothing
         else is done to them."""
-        import json
-        spec = json.loads(self.tokenizer.to_str())
-        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
-        return (spec.get("normalizer") is None and model.get("type") == "BPE" and pre.get("type") == "ByteLevel"
-                and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not model.get("dropout"))
+        pre, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        return (self.tokenizer.normalizer is None and isinstance(model, BPE) and isinstance(pre, ByteLevel)
+                and not pre.add_prefix_space and pre.use_regex and not model.dropout)
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -155,6 +158,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder a Python worker: its tasks share the file once read and the pieces known."""
+    return Encoder(path, end_id)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
@@ -179,10 +188,10 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
         fs, root = _filesystem(path)
         shard, encoder, out, at = TaskContext.get().partitionId(), None, None, 0
         attempt = f"{root}/attempt-{shard:06d}-{uuid.uuid4().hex}"
-        for b in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
+        for b in slices(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             if out is None:
-                encoder = Encoder(tokenizer, end_id)
+                encoder = encoder_of(tokenizer, end_id)
                 out = fs.open_output_stream(attempt)
             index, i = [], 0
             while i < len(ids):
