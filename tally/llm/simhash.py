@@ -238,10 +238,13 @@ def links(fps: DataFrame, max_bits: int = 4, chunk: int = CHUNK) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                     max_bits: int = 4) -> DataFrame:
-    """``doc_id, text_hash, fp, component_id`` for every row of ``docs``.
+    """``doc_id, text_hash, fp, component_id, root`` for every row of ``docs``.
 
     ``component_id`` is the smallest ``doc_id`` that a chain of links reaches,
     the row's own included (null only if no row of the component has an id).
+    Components without an id share the null, and components that share a
+    smallest id share it, too; ``root``, the component's smallest fingerprint,
+    is its own alone.
     Null and empty texts and texts without words have fingerprint zero and link
     like any other; repeated rows give repeated results; an empty table gives
     an empty result; other columns are not read.  Exact copies meet as one
@@ -253,8 +256,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = (classes.join(roots, classes.fp == roots.node, "left")
               .select("fp", "low", F.coalesce("root", "fp").alias("root")))
     low = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.join(low, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    named = member.join(low, "root").select("fp", "component_id", "root")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
@@ -263,7 +266,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     comes last), one with the smallest text hash; all columns kept."""
     groups = near_duplicates(docs, id_col, text_col, shingle, max_bits)
     kept = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
+            .groupBy("root", "component_id").agg(F.min("text_hash").alias("text_hash"))
             .select(F.col("component_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")))
     key = fresh(docs, "__row_hash")
     out = docs.withColumn(key, F.xxhash64(F.col(text_col))).alias("d").join(

@@ -284,6 +284,25 @@ def test_near_duplicates(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
 
 
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    rng = random.Random(8)
+    texts = [_text(rng, 80) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, None), (None, ""),
+            (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[2]), (9, texts[2]), (None, texts[3]),
+            (3, texts[4]), (5, texts[4]), (5, texts[5]), (5, texts[5])]
+    fps = {t: _fp(t) for _, t in rows}
+    low = _components(set(fps.values()), lambda x, y: (x ^ y).bit_count() <= 4)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[low[fps[t]]].append((i is None, i or 0, hashes[t]))
+    want = sorted(min(g) for g in groups.values())
+    assert len(want) == 7  # six texts and the one without words
+    got = simhash.keep_one(df.repartition(3)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, hashes[r.text]) for r in got) == want
+
+
 def test_links_find_every_pair(spark):
     rng = random.Random(3)
     values = set()
