@@ -8,6 +8,7 @@ A document's score is the mean of its lines' marginals of "good"
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tally.llm.common import fold
+from tally.llm.common import fold, stage
 
 STATES = 2  # bad, good
 #: Characters whose share of a line is a feature each.
@@ -112,9 +113,11 @@ def _join(a: float, b: float) -> float:
     return a + log1p(exp(b - a)) if a >= b else b + log1p(exp(a - b))
 
 
-def train(texts: list[str | None], labels: list[int], rounds: int = 60, l2: float = 1e-3) -> Crf:
+def train(texts: list[str | None], labels: list[int], rounds: int = 60, l2: float = 1e-3,
+          weights: list[float] | None = None) -> Crf:
     """Maximum conditional likelihood of the line labels, documents weighing
-    alike, by adaptive gradient steps over all of them; no randomness."""
+    alike or by ``weights``, by adaptive gradient steps over all of them; no
+    randomness."""
     data = [(features(t)[0], int(y)) for t, y in zip(texts, labels)]
     if not data:
         return Crf(np.zeros((3 * OWN + 3, STATES)), np.zeros((STATES, STATES)))
@@ -126,7 +129,8 @@ def train(texts: list[str | None], labels: list[int], rounds: int = 60, l2: floa
     spread = x.std(axis=0)
     spread[spread == 0] = 1.0
     x = x / spread
-    weight = (1.0 / n)[doc] / len(n)
+    share = np.ones(len(n)) if weights is None else np.array(weights, float)
+    weight = (share / n)[doc] / share.sum()
     steps = [np.flatnonzero(place == t) for t in range(n.max())]
     emit, move = np.zeros((x.shape[1], STATES)), np.zeros((STATES, STATES))
     sums = [np.zeros_like(emit), np.zeros_like(move)]
@@ -168,19 +172,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ``max_chars`` characters with the smallest hashes (of rows that share an id,
     the one with the smallest).  It is picked by ids and hashes alone; only the
     texts picked move.  Rows without an id or a label are not learned from.
-    Both labels weigh as much as they are rows among the labelled ones.
+    Each picked document stands for the documents of its label that could have
+    been picked: it weighs their number over the number picked, so the labels
+    weigh as they are among the labelled documents, whether the bound cuts or not.
     """
     known = labels.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(
         (fold("doc_id", folds) != held_out) & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where(
         F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
     rows = rows.where(F.col("doc_id").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text"))
-    least = rows.groupBy("doc_id").agg(F.min("h").alias("h")).join(known, "doc_id")
+    least = stage(rows.groupBy("doc_id").agg(F.min("h").alias("h")).join(known, "doc_id"), "crf-labelled")
+    counts = {r["y"]: r["count"] for r in least.groupBy("y").count().collect()}  # STATES rows at most
     picked = [least.where(F.col("y") == y).orderBy("h", "doc_id").limit(sample_per_label) for y in range(STATES)]
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # ids, hashes, labels: 2 * sample_per_label rows at most
     got = rows.join(picked, ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).select("y", "text", "h").collect()
     got = sorted(got, key=lambda r: (r["h"], r["text"] or ""))
-    return train([r["text"] for r in got], [r["y"] for r in got])
+    drawn = Counter(r["y"] for r in got)
+    return train([r["text"] for r in got], [r["y"] for r in got], weights=[counts[r["y"]] / drawn[r["y"]] for r in got])
 
 
 def score(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

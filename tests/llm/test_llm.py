@@ -440,6 +440,17 @@ def test_crf_held_out(spark, docs, rows, none):
     assert quality_crf.score(none, quality_crf.fit(none, spark.createDataFrame([], "doc_id bigint, quality int"))).count() == 0
 
 
+def test_crf_sample_keeps_the_level_of_the_scores(spark):
+    rng = random.Random(4)
+    # half of each label's documents look alike, so the prior decides on them
+    texts = [(i, int(i % 6 > 0), _text(rng, 12) + rng.choice([".", " !! ## !!"])) for i in range(600)]
+    docs = spark.createDataFrame([(i, t) for i, _, t in texts], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, y, _ in texts], "doc_id bigint, quality int")
+    whole, cut = (quality_crf.fit(docs, labels, sample_per_label=n) for n in (1500, 70))
+    level = [np.mean([model.score(t) for _, _, t in texts]) for model in (whole, cut)]
+    assert abs(level[0] - 5 / 6) < 0.05 and abs(level[1] - level[0]) < 0.1, level
+
+
 # ------------------------------------------------------- queries, pipeline
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
