@@ -100,11 +100,11 @@ def _mod97(text: Column) -> Column:
         (a * 100 + F.instr(F.lit(UPPER), c) + 9) % 97))
 
 
-def _refill(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in order, by ``digits``."""
+def _refill(shape: Column, chars: Column, places: str = DIGITS) -> Column:
+    """``shape`` with its digits (or other ``places``) replaced, in order, by ``chars``."""
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")),
-                       lambda a, c: F.when(F.instr(F.lit(DIGITS), c) > 0, F.struct(
-                           F.concat(a["out"], F.substr(digits, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i")))
+                       lambda a, c: F.when(F.instr(F.lit(places), c) > 0, F.struct(
+                           F.concat(a["out"], F.substr(chars, a["i"], F.lit(1))).alias("out"), (a["i"] + 1).alias("i")))
                        .otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["i"].alias("i"))), lambda a: a["out"])
 
 
@@ -112,6 +112,39 @@ def _only_digits(v: Column) -> Column:
     return F.regexp_replace(v, r"[^0-9]", "")
 
 
+def _cut(v: Column, group: str, most: int, valid: Callable[[Column], Column]) -> Column:
+    """``v`` as an array of pieces that join to it: from the left, the longest
+    run of at most ``most`` groups that is valid, else a single group.  A group
+    has the separator before it, if any."""
+    def pieces(p):
+        run = lambda i, n: F.array_join(F.slice(p, i, n), "")
+
+        def turn(s, i):
+            fits = F.filter(F.sequence(F.least(F.lit(most), F.size(p) - i + 1), F.lit(1), F.lit(-1)),
+                            lambda n: valid(run(i, n)))
+            taken = F.transform(F.array(F.coalesce(F.get(fits, F.lit(0)), F.lit(1))), lambda n: F.struct(
+                F.concat(s["out"], F.array(run(i, n))).alias("out"), (i + n).alias("next")))[0]
+            return F.when(i < s["next"], s).otherwise(taken)
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(p)), start, turn, lambda s: s["out"])
+
+    return F.transform(F.array(F.regexp_extract_all(v, F.lit(group), F.lit(0))), pieces)[0]
+
+
+def _is_card(v: Column) -> Column:
+    return F.transform(F.array(_only_digits(v)), lambda d: F.length(d).between(13, 19) & (_luhn(d) == 0))[0]
+
+
+def cut_cards(v: Column) -> Column:
+    """A run of digit groups that is not one card as a whole, cut at its blanks
+    and hyphens.  Groups of one or two digits are no part of a cut card: in rows
+    of small numbers some cut has a right Luhn digit nearly always."""
+    small = F.lit(r"(?<![0-9])[0-9]{1,2}(?![0-9])")
+    return F.when(_is_card(v) | ~v.rlike("[0-9]{3}"), F.array(v)).otherwise(
+        _cut(v, r"[ -]?[0-9]+", 6, lambda w: ~F.regexp_like(w, small) & _is_card(w)))
+
+
 def card(key: str, v: Column) -> Column:
     """13 to 19 digits with a right Luhn digit: the digits between the first
     one and the check digit are permuted, the check digit is set anew."""
@@ -119,7 +152,7 @@ def card(key: str, v: Column) -> Column:
     body = F.concat(F.substr(d, F.lit(1), F.lit(1)),
                     permute_digits(key, "card", F.substr(d, F.lit(2), F.length(d) - 2)))
     new = F.transform(F.array(body), lambda b: F.concat(b, ((10 - _luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))[0]
-    return F.when(_luhn(d) == 0, _refill(v, new))
+    return F.when(_is_card(v), _refill(v, new))
 
 
 def phone(key: str, v: Column) -> Column:
@@ -181,13 +214,28 @@ def date_dmy(key: str, v: Column) -> Column:
     return F.coalesce(_date(key, v, pattern, "dmy"), _date(key, v, pattern, "mdy"))
 
 
+def _is_iban(v: Column) -> Column:
+    return F.transform(F.array(F.replace(v, F.lit(" "), F.lit(""))), lambda x: F.when(
+        x.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"),
+        _mod97(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4)))) == 1).otherwise(False))[0]
+
+
+def cut_ibans(v: Column) -> Column:
+    """Groups of capitals and digits cut at their blanks (34 characters at most)."""
+    return _cut(v, r" ?[A-Z0-9]+", 31, _is_iban)
+
+
 def iban(key: str, v: Column) -> Column:
-    """An account number whose check digits are right modulo 97: what follows
-    them is permuted, and they are set anew."""
-    land, own = F.substr(v, F.lit(1), F.lit(2)), F.substr(v, F.lit(5))
-    new = F.transform(F.array(permute_text(key, "iban", own)), lambda b: F.concat(land, F.lpad(
-        (98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))[0]
-    return F.when(_mod97(F.concat(own, F.substr(v, F.lit(1), F.lit(4)))) == 1, new)
+    """An account number, with or without blanks between its groups, whose
+    check digits are right modulo 97: what follows them is permuted, and they
+    are set anew."""
+    def write(x):
+        land, own = F.substr(x, F.lit(1), F.lit(2)), F.substr(x, F.lit(5))
+        return F.transform(F.array(permute_text(key, "iban", own)), lambda b: F.concat(land, F.lpad(
+            (98 - _mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0"), b))[0]
+
+    new = F.transform(F.array(F.replace(v, F.lit(" "), F.lit(""))), write)[0]
+    return F.when(_is_iban(v), F.transform(F.array(new), lambda n: _refill(v, n, UPPER + DIGITS))[0])
 
 
 def email(key: str, v: Column) -> Column:
@@ -205,19 +253,20 @@ class Kind:
     name: str
     pattern: str
     change: Callable[[str, Column], Column]
+    cut: Callable[[Column], Column] | None = None  # a candidate as pieces, each a candidate or other text
 
 
 #: In this order; what one kind has replaced is text to the next.
 KINDS = [
     Kind("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9][A-Za-z0-9.-]{0,253}\.[A-Za-z]{2,24}(?![A-Za-z0-9])", email),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])", iban),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11})[A-Z0-9]++(?![a-z])(?: [A-Z0-9]++(?![a-z]))*+", iban, cut_ibans),
     Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])", access_key),
     Kind("ip", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9])", ip),
     Kind("date", r"(?<![0-9./-])[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}(?![0-9]|[/-][0-9])", date_ymd),
     Kind("date", r"(?<![0-9./-])[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}(?![0-9]|[/-][0-9])", date_dmy),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", ssn),
     Kind("phone", r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])", phone),
-    Kind("card", r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])", card),
+    Kind("card", r"(?<![0-9-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?:[ -][0-9]++)*+", card, cut_cards),
 ]
 #: Every candidate holds one of these; texts without any are not searched further.
 HINT = r"@|[0-9]{3}|[0-9][ .-][0-9]|(?:AKIA|ASIA)[A-Z0-9]"
@@ -244,14 +293,21 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds: list[
     for kind in kinds:
         found = F.when(F.col(hint), F.regexp_extract_all(F.col(text), F.lit(kind.pattern), F.lit(0)))
         out = out.withColumn("__pii_found", found)
+        parts = F.split(F.col(text), kind.pattern, -1)
+        if kind.cut:
+            out = out.withColumn("__pii_cut", F.when(F.size("__pii_found") > 0, F.transform("__pii_found", kind.cut)))
+            # nothing stands between the pieces of a candidate
+            parts = F.concat(F.slice(parts, 1, 1), F.flatten(F.zip_with(
+                F.col("__pii_cut"), F.slice(parts, F.lit(2), F.size("__pii_cut")),
+                lambda p, t: F.concat(F.array_repeat(F.lit(""), F.size(p) - 1), F.array(t)))))
+            out = out.withColumn("__pii_found", F.flatten("__pii_cut"))
         some = F.size("__pii_found") > 0
         out = out.withColumn("__pii_new", F.when(some, F.transform("__pii_found", _changed(kind, key))))
-        parts = F.split(F.col(text), kind.pattern, -1)
         joined = F.array_join(F.zip_with(parts, F.concat("__pii_new", F.array(F.lit(""))),
                                          lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
         changed = F.size(F.filter(F.zip_with("__pii_found", "__pii_new", lambda a, b: a != b), lambda x: x))
         out = out.withColumns({text: F.when(some, joined).otherwise(F.col(text)),
                                "n_replaced": F.col("n_replaced") + F.when(some, changed).otherwise(0)})
-        out = out.drop("__pii_found", "__pii_new")
+        out = out.drop("__pii_found", "__pii_cut", "__pii_new")
     return out.select(*[(F.col(text).alias(c) if c == text_col else F.col(f"`{c}`")) for c in keep],
                       F.col("n_replaced").cast("bigint").alias("n_replaced"))

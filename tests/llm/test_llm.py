@@ -179,6 +179,20 @@ def test_pseudonyms(spark, none):
     assert pii.pseudonymise(none, "k").count() == 0
 
 
+def test_pseudonyms_beside_other_groups(spark):
+    c, d, i = "4041894974608795", "4041 8949 7460 8795", "DE89 3704 0044 0532 0130 00"
+    rows = [(c, 1), (c + " 12/26", 1), (c + " 123", 1), (d + " 123", 1), ("123 " + c, 1), ("5678 " + d, 1),
+            (c + "-123", 1), (d + " " + d, 2), (i.replace(" ", ""), 1), (i, 1), ("to " + i + " OK THEN", 1),
+            (i + " " + i + " Ok", 2), ("1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 3", 0), ("7 " * 20_000, 0)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id int, text string")
+    got = [r for r in pii.pseudonymise(df, "k").orderBy("doc_id").collect()]
+    card, iban = got[0].text, got[8].text
+    layout = lambda v: " ".join(v[k:k + 4] for k in range(0, len(v), 4))
+    for r, (t, n) in zip(got, rows):
+        want = t.replace(c, card).replace(d, layout(card)).replace(i.replace(" ", ""), iban).replace(i, layout(iban))
+        assert (r.text, r.n_replaced) == (want, n), t
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(17 * 11).select(pii.permute_pair("k", "t", F.col("id") % 17, F.floor(F.col("id") / 17),
                                                          F.lit(17), F.lit(11)).alias("p")).select("p.l", "p.r").collect()
