@@ -462,6 +462,12 @@ def _existing(spark, d):
     return _led(spark, d).where(F.col("transaction_date") < F.lit("1998-01-01").cast("date"))
 
 
+def _batch_accounts(spark, d):
+    """The accounts of the raw batch, all of one user: the ownership gate runs and lets them in."""
+    ids = V.strip_ws(F.col("account_id")).alias("account_id")
+    return tv.raw_batch(spark, d).select(ids).distinct().withColumn("user_id", F.lit("u1"))
+
+
 _INGEST_COLS = ("transaction_id", "account_id", "amount", "category", "transaction_date")
 
 
@@ -470,7 +476,8 @@ def ingest_run(spark, d):
     """Raw CSV -> A1 -> validate -> categorize -> new rows only -> A4 append
     to a fresh ledger snapshot, read back."""
     out = scratch_path(spark, "ledger")
-    ING.run_ingest(spark, _raw_csv(spark, d), out, existing=_existing(spark, d)).collect()
+    ING.run_ingest(spark, _raw_csv(spark, d), out, existing=_existing(spark, d), accounts=_batch_accounts(spark, d),
+                   user_id="u1", backup_path=scratch_path(spark, "backup")).collect()
     return LGR.read_ledger(spark, out).select(*_INGEST_COLS)
 
 
@@ -483,8 +490,9 @@ def stream_ingest_q(spark, d):
     led_path = scratch_path(spark, "stream-ledger")
     LGR.write_snapshot(_existing(spark, d), led_path)
     ckpt = scratch_path(spark, "stream-ckpt")
-    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1)
-    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1)
+    more = {"accounts": _batch_accounts(spark, d), "user_id": "u1", "backup_path": scratch_path(spark, "stream-backup")}
+    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1, **more)
+    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1, **more)
     led = LGR.read_ledger(spark, led_path)
     return led.join(_existing(spark, d).select("transaction_id"), "transaction_id", "left_anti").select(*_INGEST_COLS)
 
