@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tally.functions.constraints import account_constraints, tx_constraints
 from tally.functions.text import rule_category_col, with_normalized
 from tally.operators.validate import default_fill
-from tally.schema import ALLOWED_DIRECTIONS, LEDGER_COLUMNS
+from tally.schema import ALLOWED_DIRECTIONS, BROKEN, LEDGER_COLUMNS
 from tally.session import scratch_path
 
 STATUSES = ("inserted", "duplicate", "error")
@@ -124,7 +124,7 @@ def import_csv(rows: DataFrame, ledger: DataFrame, mode: str = "upload", as_of_t
     if "category" not in rows.columns:
         rows = rows.withColumn("category", F.lit(""))
     order = "_seq" if "_seq" in rows.columns else "_row"
-    codes = []
+    codes = [F.when(F.col(BROKEN).isNotNull(), "record_broken")] if BROKEN in rows.columns else []
     if mode == "upload":
         file = [F.sha2("_file", 256)] if "_file" in rows.columns else []
         made = F.concat_ws("_", F.lit("tx_csv"), *file, F.col("_row").cast("string"))

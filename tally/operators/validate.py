@@ -14,7 +14,7 @@ from tally.errors import ValidationError
 from tally.functions.constraints import violations
 from tally.functions.money import currency_factor, to_smallest_unit
 from tally.functions.text import strip_ws
-from tally.schema import ALLOWED_DIRECTIONS, DEFAULT_CURRENCY, REQUIRED_COLUMNS
+from tally.schema import ALLOWED_DIRECTIONS, BROKEN, DEFAULT_CURRENCY, REQUIRED_COLUMNS
 
 # Order in which value checks report (first hit is the batch error).
 VALUE_CHECKS = ["direction_invalid", "amount_invalid", "transaction_date_invalid"]
@@ -75,7 +75,10 @@ def annotate(df: DataFrame) -> DataFrame:
     """B1 -> B2 -> B3 -> B4 in one projection; adds ``violations``."""
     schema_check(df)
     n = normalize_types(df).withColumn("transaction_id", strip_ws(F.col("transaction_id")))
-    n = n.withColumn("violations", value_violations())
+    codes = value_violations()
+    if BROKEN in df.columns:  # such a record's cells may be those of other columns
+        codes = F.concat_ws(",", F.when(F.col(BROKEN).isNotNull(), "record_broken"), F.when(codes != "", codes))
+    n = n.withColumn("violations", codes)
     return derive_smallest_unit(n)
 
 
@@ -91,6 +94,8 @@ def validate_transactions(df: DataFrame) -> DataFrame:
     """Valid rows only, amounts in smallest units."""
     schema_check(df)
     n = normalize_types(df).withColumn("transaction_id", strip_ws(F.col("transaction_id")))
+    if BROKEN in df.columns:
+        n = n.where(F.col(BROKEN).isNull()).drop(BROKEN)
     return derive_smallest_unit(n.where(is_valid()))
 
 

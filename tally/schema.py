@@ -89,6 +89,9 @@ BYTES_PER_ROW_ESTIMATE = 500
 # Table schemas.
 # ---------------------------------------------------------------------------
 
+#: Column for the text of CSV records with too many or too few cells.
+BROKEN = "_broken"
+
 RAW_TRANSACTION_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType(), True) for c in REQUIRED_COLUMNS]
     + [T.StructField("currency", T.StringType(), True)]
