@@ -6,6 +6,7 @@ from __future__ import annotations
 import importlib.util
 import os
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +18,10 @@ from tally.llm import mixing as L5
 from tally.llm import pii as L4
 from tally.llm import quality_crf as L10
 from tally.llm import quality_rules as L9
+from tally.llm import ranked_search as L13
+from tally.llm import sentence_pieces as L11
 from tally.llm import simhash as L6
+from tally.llm import spelling_variants as L12
 from tally.llm import token_binary as L2
 from tally.llm.common import documents, fold
 from tally.session import scratch_path
@@ -33,6 +37,9 @@ LM = {"min_count": 2, "backoff": 0.4}
 PII_KEY = "tally-pseudonym-key"  # a deployment sets its own secret (TALLY_PII_KEY)
 CRF_FIT = {"folds": 5, "held_out": 0, "sample_per_label": 1500, "max_chars": 20_000}
 GOOD = 0.3
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = {"min_length": 5, "min_count": 3, "one_in": 97}
+TOP = 20
 
 
 def tokenizer_path() -> str:
@@ -107,7 +114,25 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"), "n_lines")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_pseudonyms, op10_quality_crf, op2_token_records, op3_language_id, op5_source_mix, op6_simhash_near_dedup, op7_lm_score,
-                                   op8_decontaminate, op9_quality_rules)}
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    decoded = L11.decode(L11.encode(documents(spark, sf_dir), PIECES), PIECES)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"),
+                          F.sha2("text", 256).alias("decoded_sha256"))
 
-ORACLE_SQL: dict[str, str] = {"op1_line_dedup": L1.ORACLE, "op7_lm_score": L7.ORACLE, "op9_quality_rules": L9.ORACLE}
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L12.group(L12.count_words(documents(spark, sf_dir), **WORDS)).select(
+        "word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L13.search(documents(spark, sf_dir), benchmark(spark, sf_dir), TOP)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_token_records, op3_language_id, op4_pseudonyms, op5_source_mix,
+                                   op6_simhash_near_dedup, op7_lm_score, op8_decontaminate, op9_quality_rules, op10_quality_crf,
+                                   op11_sentence_pieces, op12_spelling_variants, op13_ranked_search)}
+
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": L1.ORACLE, "op7_lm_score": L7.ORACLE, "op9_quality_rules": L9.ORACLE,
+                              "op13_ranked_search": L13.ORACLE}
