@@ -8,8 +8,9 @@ plan falls back to a shuffle join instead of failing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tally.errors import PermissionDenied, ValidationError
 
@@ -46,24 +47,75 @@ def assert_authorized(batch: DataFrame, accounts: DataFrame, user_id) -> None:
         raise PermissionDenied(f"Unauthorized account_ids: {sample}")
 
 
-def first_in_batch(batch: DataFrame, keys=("transaction_id",), order=("_row",)) -> DataFrame:
-    """Rows earlier in the batch win over later copies of the same key.
+def _number(batch: DataFrame, c: str) -> Column:
+    """A column as a number of the same order, nulls lowest; columns that have
+    no such number stay as they are (their minimum is not a hash aggregate)."""
+    kind = batch.schema[c].dataType
+    if isinstance(kind, T.TimestampNTZType):
+        x = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)")
+    elif isinstance(kind, T.TimestampType):
+        x = F.unix_micros(c)
+    elif isinstance(kind, T.DateType):
+        x = F.unix_date(c).cast("bigint")
+    elif isinstance(kind, T.DecimalType):
+        return F.coalesce(F.col(c).cast("decimal(38,0)") if kind.scale == 0 else F.col(c), F.lit(-10 ** 37).cast("decimal(38,0)"))
+    elif isinstance(kind, T.IntegralType):
+        x = F.col(c).cast("bigint")
+    else:
+        return F.col(c)
+    return F.coalesce(x, F.lit(-(1 << 63)))
+
+
+def earliest(batch: DataFrame, keys=("transaction_id",), order=("_row",)) -> DataFrame:
+    """One narrow row per key: the least first order value, as a number
+    (``_lead``), and how many rows have it (``_n``).
+
+    Two hash aggregates over the keys and a number, so a key with very many
+    copies is combined before each shuffle and nothing is sorted.
+    """
+    narrow = batch.select(*keys, _number(batch, order[0]).alias("_lead"))
+    return (narrow.groupBy(*keys, "_lead").agg(F.count(F.lit(1)).alias("_n"))
+            .groupBy(*keys).agg(F.min("_lead").alias("_lead"), F.min_by("_n", "_lead").alias("_n")))
+
 
-    ``row_number() = 1`` with the other columns as tie-breakers, so a retried
-    task picks the same copy.  Spark plans a partial WindowGroupLimit before
-    the shuffle: of a key with very many copies each input partition forwards
-    one, so the key never lands whole on one task.
+def take_earliest(batch: DataFrame, least: DataFrame, keys=("transaction_id",), order=("_row",)) -> DataFrame:
+    """The rows of ``batch`` that ``least`` (see ``earliest``) names, one a key.
+
+    Rows are dealt by key and order value, so copies of a hot key part, and
+    are found by semi-joins.  Only where several rows share the least value
+    do the other columns decide, in a window that each input partition limits
+    to one row before its shuffle.
     """
+    rows = batch.withColumn("_lead", _number(batch, order[0]))
+
+    def named(n: Column) -> DataFrame:
+        b, w = rows.alias("b"), least.where(n).alias("w")
+        return b.join(w, F.expr(" AND ".join([f"b.`{k}` <=> w.`{k}`" for k in keys] + ["b._lead = w._lead"])), "left_semi")
+
     ties = [c for c, t in batch.dtypes if c not in keys and c not in order and "map<" not in t]
     w = Window.partitionBy(*keys).orderBy(*order, *ties)
-    return batch.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).drop("_nth")
+    tied = named(F.col("_n") > 1).withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") == 1).drop("_nth")
+    return named(F.col("_n") == 1).unionByName(tied).drop("_lead")
+
+
+def first_in_batch(batch: DataFrame, keys=("transaction_id",), order=("_row",)) -> DataFrame:
+    """Rows earlier in the batch win over later copies of the same key.
+
+    The order's columns decide, then the other columns, so a retried task
+    picks the same copy.  The first order column should be a number, a date or
+    a time: its least value per key is a hash aggregate over narrow rows, and
+    whole rows are shuffled once, unsorted before.
+    """
+    return take_earliest(batch, earliest(batch, keys, order), keys, order)
 
 
 def new_rows_only(batch: DataFrame, ledger: DataFrame, keys=("transaction_id",),
                   order=("_row",)) -> DataFrame:
-    """C4: first copy within the batch, then drop keys already in the ledger."""
-    firsts = first_in_batch(batch, keys, order)
-    return firsts.join(ledger.select(*keys), list(keys), "left_anti")
+    """C4: first copy within the batch, then drop keys already in the ledger.
+    The ledger's keys meet the narrow rows of ``earliest``; whole rows are
+    shuffled once."""
+    least = earliest(batch, keys, order).join(ledger.select(*keys), list(keys), "left_anti")
+    return take_earliest(batch, least, keys, order)
 
 
 def balance_lookup(df: DataFrame, accounts: DataFrame) -> DataFrame:

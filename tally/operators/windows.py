@@ -31,5 +31,5 @@ def series_index(daily: DataFrame) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys, order) -> DataFrame:
-    """First row per key by ``order`` (one row a key and input partition is shuffled)."""
+    """First row per key by ``order`` (its first column a number, date or time)."""
     return first_in_batch(df, tuple(keys), tuple(order))

@@ -103,7 +103,7 @@ def unauthorized_accounts(spark, d):
 
 def _line_batch(spark, d):
     """Line items keyed by (order, line number) only: the key repeats, so
-    the batch carries in-batch duplicates; _row orders copies."""
+    the batch carries in-batch duplicates; _LINE_ORDER orders copies."""
     li = tv.table(spark, d, "lineitem")
     return li.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
@@ -111,9 +111,11 @@ def _line_batch(spark, d):
         F.col("l_suppkey").cast("string").alias("account_id"),
         F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"),
         F.col("l_shipdate").cast("date").alias("transaction_date"),
-        F.struct(F.col("l_shipdate"), F.col("l_partkey"), F.col("l_suppkey")).alias("_row"))
+        *[F.col(c).alias(f"_{c}") for c in ("l_shipdate", "l_partkey", "l_suppkey")])
 
 
+_LINE_ORDER = ("_l_shipdate", "_l_partkey", "_l_suppkey")
+
 _LINE_BATCH_SQL = """
   SELECT concat_ws('-', l_orderkey, l_linenumber) AS transaction_id,
          CAST(l_suppkey AS VARCHAR) AS account_id,
@@ -128,7 +130,7 @@ _LINE_BATCH_SQL = """
 WITH b AS ({_LINE_BATCH_SQL})
 SELECT transaction_id, account_id, amount, transaction_date FROM b WHERE rn = 1""")
 def keep_first_q(spark, d):
-    return keep_first(_line_batch(spark, d), ["transaction_id"], ["_row"]).drop("_row")
+    return keep_first(_line_batch(spark, d), ["transaction_id"], _LINE_ORDER).drop(*_LINE_ORDER)
 
 
 @register("new_rows_only", "C4", f"""
@@ -139,7 +141,7 @@ WHERE rn = 1 AND transaction_id NOT IN (SELECT transaction_id FROM existing)""")
 def new_rows_only(spark, d):
     b = _line_batch(spark, d)
     existing = b.where(F.col("transaction_date") < F.lit("1997-01-01").cast("date"))
-    return J.new_rows_only(b, existing, ("transaction_id",), ("_row",)).drop("_row")
+    return J.new_rows_only(b, existing, ("transaction_id",), _LINE_ORDER).drop(*_LINE_ORDER)
 
 
 @register("balance_lookup", "C5", with_views(f"""

@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tally.operators.joins import first_in_batch
+from tally.operators.joins import first_in_batch, new_rows_only
 from tally.schema import CURRENCY_DECIMALS, LEDGER_COLUMNS, LEDGER_SCHEMA
+from tally.session import scratch_path
+from tally.sources import ids
 
 
 def read_ledger(spark: SparkSession, path: str, with_month: bool = False) -> DataFrame:
@@ -28,12 +30,15 @@ def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> str
 
     Range partitioning on (month, account, id) samples the keys, so a hot
     month or account is split over several tasks instead of one, and each
-    task writes into few month directories.
+    task writes into few month directories.  A ledger with an id table gets
+    the ids of appended rows there, too (``df`` is read twice then).
     """
     out = df.withColumn("txn_month", F.date_format("transaction_date", "yyyy-MM"))
     (out.repartitionByRange("txn_month", "account_id", "transaction_id")
      .sortWithinPartitions("txn_month", "account_id", "transaction_date")
      .write.mode(mode).partitionBy("txn_month").parquet(path))
+    if mode == "append" and ids.exists(df.sparkSession, path):
+        ids.append(df, path)
     return path
 
 
@@ -43,15 +48,23 @@ def ledger_append(new_rows: DataFrame, ledger: DataFrame | None, path: str) -> D
     Row-wise skip of existing ids (the all-or-nothing batch drop of the
     original is replaced by an anti-join).  Of several rows with one id in
     the batch the smallest by posted_at, then by the other values, is stored.
-    Returns the appended rows.
+    Returns the appended rows, staged once before they are appended.
     """
-    new_rows = first_in_batch(new_rows, order=[c for c in ("posted_at",) if c in new_rows.columns])
-    fresh = new_rows if ledger is None else new_rows.join(ledger.select("transaction_id"), "transaction_id",
-                                                          "left_anti")
+    order = ("posted_at",) if "posted_at" in new_rows.columns else tuple(new_rows.columns[-1:])
+    fresh = (first_in_batch(new_rows, order=order) if ledger is None
+             else new_rows_only(new_rows, ledger, order=order))
+    fresh = staged(fresh, "append")
     write_snapshot(fresh.select(*LEDGER_COLUMNS), path, mode="append")
     return fresh
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Written once in the shared scratch folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def processed_merge(existing: DataFrame | None, new_rows: DataFrame) -> DataFrame:
     """A5: existing backup union new rows, first row per transaction_id with
     the existing copy winning.  On the first write (no backup) rows are
