@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tally.errors import PermissionDenied
 from tally.functions.constraints import account_constraints, label_constraints, tx_constraints
 from tally.functions.money import from_smallest_unit, to_smallest_unit
 from tally.operators import analytics as A
 from tally.operators import categorize as C
+from tally.operators import joins as J
 from tally.operators import maintain as K
 from tally.operators import validate as V
 from tally.plans import ingest as ING
@@ -444,12 +446,35 @@ def retention_purge(spark, d):
 
 # ------------------------------------------------ A1 / A4 / A5 / A10 / A11
 
-_INGEST_SQL = f"""WITH {_NORM_SQL}
+#: The raw batch, then part of it sent again under another date with an earlier time of posting:
+#: ids that the ledger holds, ids of valid rows and ids of rows that were rejected.
+_FEED_SQL = "WITH feed AS (SELECT *, 0 AS src FROM raw_batch UNION ALL SELECT * REPLACE (\
+'2002-02-02' AS transaction_date, '1990-01-01 00:00' AS posted_at, 'USD' AS currency, 'Office Rent' AS description), 1 AS src \
+FROM raw_batch WHERE regexp_matches(posted_at, '^199[78]-0'))," + _NORM_SQL.replace(
+    "currency\n  FROM raw_batch", "currency, src FROM feed")
+
+_FIRSTS_SQL = """SELECT * FROM annot WHERE violations = ''
+  QUALIFY row_number() OVER (PARTITION BY transaction_id ORDER BY src) = 1"""
+_HELD_SQL = "SELECT transaction_id FROM ledger WHERE transaction_date < DATE '1998-01-01'"
+
+_INGEST_SQL = f"""{_FEED_SQL}
 SELECT a.transaction_id, a.account_id, CAST(round_even(a.amount * a.factor, 0) AS BIGINT) AS amount,
        coalesce({rule_sql('a.description', 'a.direction')}, 'Miscellaneous') AS category, a.transaction_date
-FROM annot a
-WHERE a.violations = '' AND a.transaction_id NOT IN (
-  SELECT transaction_id FROM ledger WHERE transaction_date < DATE '1998-01-01')"""
+FROM ({_FIRSTS_SQL}) a
+WHERE a.transaction_id NOT IN ({_HELD_SQL})"""
+
+
+def _resent(spark, d):
+    new = {"transaction_date": "2002-02-02", "posted_at": "1990-01-01 00:00", "currency": "USD", "description": "Office Rent"}
+    return tv.raw_batch(spark, d).where(F.col("posted_at").rlike("^199[78]-0")).withColumns(
+        {c: F.lit(v) for c, v in new.items()})
+
+
+def _feed_csv(spark, d):
+    """Both parts as files of one folder, the second after the first by name."""
+    path = scratch_path(spark, "feed")
+    CSV.write_csv(tv.raw_batch(spark, d).unionByName(_resent(spark, d)), path)
+    return path
 
 
 def _raw_csv(spark, d):
@@ -473,26 +498,67 @@ _INGEST_COLS = ("transaction_id", "account_id", "amount", "category", "transacti
 
 @register("ingest_run", "A1 B6 I3 C4 A4", with_views(_INGEST_SQL, "raw_batch", "ledger"))
 def ingest_run(spark, d):
-    """Raw CSV -> A1 -> validate -> categorize -> new rows only -> A4 append
-    to a fresh ledger snapshot, read back."""
+    """Raw CSV -> A1 -> validate -> new rows only -> categorize -> A5 and A4
+    append to a fresh ledger snapshot, read back."""
     out = scratch_path(spark, "ledger")
-    ING.run_ingest(spark, _raw_csv(spark, d), out, existing=_existing(spark, d), accounts=_batch_accounts(spark, d),
+    ING.run_ingest(spark, _feed_csv(spark, d), out, existing=_existing(spark, d), accounts=_batch_accounts(spark, d),
                    user_id="u1", backup_path=scratch_path(spark, "backup")).collect()
     return LGR.read_ledger(spark, out).select(*_INGEST_COLS)
 
 
+@register("ingest_sinks", "A4 A5 C4", with_views(f"""{_FEED_SQL},
+new AS (SELECT * FROM ({_FIRSTS_SQL}) WHERE transaction_id NOT IN ({_HELD_SQL}))
+SELECT 'ledger' AS sink, count(*) AS n_rows, count(DISTINCT transaction_id) AS n_ids FROM new
+UNION ALL SELECT 'backup', (SELECT count(*) FROM new) + count(*), (SELECT count(*) FROM new) + count(*) FROM ({_HELD_SQL})
+UNION ALL SELECT 'quarantine', count(*), count(DISTINCT transaction_id) FROM annot WHERE violations <> ''""",
+                                                         "raw_batch", "ledger"))
+def ingest_sinks(spark, d):
+    """The three sinks of a batch that was sent twice: the second time adds nothing to any."""
+    src, out = _feed_csv(spark, d), scratch_path(spark, "sinks")
+    for _ in range(2):
+        ING.run_ingest(spark, src, f"{out}/ledger", f"{out}/quarantine", existing=_existing(spark, d),
+                       backup=_existing(spark, d), backup_path=f"{out}/backup")
+    counts = [spark.read.parquet(f"{out}/{sink}").agg(
+        F.lit(sink).alias("sink"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("transaction_id").alias("n_ids"))
+        for sink in ("ledger", "backup", "quarantine")]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@register("ingest_gate", "C3 A4", with_views(f"""WITH {_NORM_SQL}
+SELECT a.transaction_id, a.account_id, CAST(round_even(a.amount * a.factor, 0) AS BIGINT) AS amount, a.transaction_date
+FROM annot a JOIN accounts o ON a.account_id = o.account_id
+WHERE a.violations = '' AND o.user_id = 3""", "raw_batch", "accounts"))
+def ingest_gate(spark, d):
+    """A batch that names accounts of others is refused as a whole; the user's
+    own rows are then let in."""
+    out, accounts = scratch_path(spark, "gate"), _acc(spark, d)
+    gate = {"accounts": accounts, "user_id": 3}
+    try:
+        ING.run_ingest(spark, _raw_csv(spark, d), out, **gate)
+    except PermissionDenied:
+        pass
+    else:
+        raise AssertionError("the foreign accounts were let in")
+    own = scratch_path(spark, "raw-own")
+    CSV.write_csv(J.owned_scope(tv.raw_batch(spark, d), accounts, 3), own)
+    ING.run_ingest(spark, own, out, **gate)
+    return LGR.read_ledger(spark, out).select("transaction_id", "account_id", "amount", "transaction_date")
+
+
 @register("stream_ingest", "A11", with_views(_INGEST_SQL, "raw_batch", "ledger"))
 def stream_ingest_q(spark, d):
-    """The same rows through Structured Streaming: one file per
-    micro-batch (availableNow), the ledger seeded with the existing rows,
-    then a second run over the same files adds nothing."""
+    """The same rows through Structured Streaming: one file per micro-batch
+    (availableNow), the ledger seeded with the existing rows; the rows that
+    are sent again come in a later file, and a last run finds nothing new."""
     src = _raw_csv(spark, d)
     led_path = scratch_path(spark, "stream-ledger")
     LGR.write_snapshot(_existing(spark, d), led_path)
-    ckpt = scratch_path(spark, "stream-ckpt")
-    more = {"accounts": _batch_accounts(spark, d), "user_id": "u1", "backup_path": scratch_path(spark, "stream-backup")}
-    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1, **more)
-    stream_ingest(spark, src, led_path, checkpoint=ckpt, max_files_per_trigger=1, **more)
+    more = {"accounts": _batch_accounts(spark, d), "user_id": "u1", "backup_path": scratch_path(spark, "stream-backup"),
+            "checkpoint": scratch_path(spark, "stream-ckpt"), "max_files_per_trigger": 1}
+    stream_ingest(spark, src, led_path, **more)
+    CSV.write_csv(_resent(spark, d), src, mode="append")
+    stream_ingest(spark, src, led_path, **more)
+    stream_ingest(spark, src, led_path, **more)
     led = LGR.read_ledger(spark, led_path)
     return led.join(_existing(spark, d).select("transaction_id"), "transaction_id", "left_anti").select(*_INGEST_COLS)
 

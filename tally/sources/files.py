@@ -40,3 +40,14 @@ def move(spark: SparkSession, path: str, to: str) -> None:
 def remove(spark: SparkSession, path: str) -> None:
     fs, place = _at(spark, path)
     fs.delete(place, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, place = _at(spark, path)
+    out = fs.create(place, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())

@@ -20,7 +20,6 @@ from tally.sources import files
 
 #: Batches of up to this many ids name them in the query.
 FEW_IDS = 1000
-DEFAULT_BUCKETS = 256
 
 
 def _folder(path: str) -> str:
@@ -57,11 +56,14 @@ def _insert(rows: DataFrame, name: str, buckets: int) -> None:
     rows.select("transaction_id").repartition(buckets, "transaction_id").write.insertInto(name)
 
 
-def ensure(spark: SparkSession, path: str, ledger: DataFrame | None, buckets: int = DEFAULT_BUCKETS) -> None:
+def ensure(spark: SparkSession, path: str, ledger: DataFrame | None, buckets: int | None = None) -> None:
     """Make the id table of ``path`` if it has none yet, from the ids of
-    ``ledger``.  It is built aside and moved into place, so it is whole or absent."""
+    ``ledger``.  It is built aside and moved into place, so it is whole or
+    absent.  ``buckets``: as many as the session's shuffle partitions unless
+    given; with fewer than these, Spark prefers to shuffle both sides."""
     if exists(spark, path):
         return
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     aside = f"{_folder(path)}/building-{uuid.uuid4().hex}"
     if ledger is not None:
         name = _table(spark, aside, buckets)

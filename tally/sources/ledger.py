@@ -24,20 +24,21 @@ def read_ledger(spark: SparkSession, path: str, with_month: bool = False) -> Dat
     return df.select(*cols, *(["txn_month"] if with_month else []))
 
 
-def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
+def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists", with_ids: bool = True) -> str:
     """Write ledger rows partitioned by month; rows of one month are
     clustered by account so account filters skip row groups.
 
     Range partitioning on (month, account, id) samples the keys, so a hot
     month or account is split over several tasks instead of one, and each
     task writes into few month directories.  A ledger with an id table gets
-    the ids of appended rows there, too (``df`` is read twice then).
+    the ids of appended rows there, too (``df`` is read twice then), unless
+    ``with_ids`` is off because the caller adds them.
     """
     out = df.withColumn("txn_month", F.date_format("transaction_date", "yyyy-MM"))
     (out.repartitionByRange("txn_month", "account_id", "transaction_id")
      .sortWithinPartitions("txn_month", "account_id", "transaction_date")
      .write.mode(mode).partitionBy("txn_month").parquet(path))
-    if mode == "append" and ids.exists(df.sparkSession, path):
+    if with_ids and mode == "append" and ids.exists(df.sparkSession, path):
         ids.append(df, path)
     return path
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.operators import maintain as K
-from tally.plans import ingest as ING
+from tally.operators.joins import first_in_batch
 from tally.sources import csv as CSV
 from tally.sources import ledger as LG
 from tally.session import scratch_path
@@ -77,7 +77,7 @@ def test_append_stores_a_repeated_id_once(spark):
 
 def test_new_rows_picks_the_same_copy_at_equal_times(spark):
     batch = _ledger(spark).withColumn("transaction_id", F.lit("n1"))
-    got = {ING.new_rows(batch.repartition(n), None).collect()[0].description for n in (1, 2, 5)}
+    got = {first_in_batch(batch.repartition(n), order=("posted_at",)).collect()[0].description for n in (1, 2, 5)}
     assert got == {"old"}
 
 
