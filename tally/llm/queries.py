@@ -3,7 +3,6 @@ parameters, to its whole table."""
 
 from __future__ import annotations
 
-import importlib.util
 import os
 
 import public_tokenizers
@@ -32,6 +31,7 @@ SIMHASH = {"shingle": 4, "max_bits": 4}
 EDITS = {"error_rate": 0.1}
 MIX = {"weights": (5.0, 2.0, 1.0), "share": 1.5, "max_epochs": 2}
 END_ID = 2
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RUNS = {"min_lines": 3, "min_words": 50}
 LM = {"min_count": 2, "backoff": 0.4}
 PII_KEY = "tally-pseudonym-key"  # a deployment sets its own secret (TALLY_PII_KEY)
@@ -42,15 +42,6 @@ WORDS = {"min_length": 5, "min_count": 3, "one_in": 97}
 TOP = 20
 
 
-def tokenizer_path() -> str:
-    """The tokenizer file; the environment may name another."""
-    if own := os.environ.get("TALLY_TOKENIZER"):
-        return own
-    where = importlib.util.find_spec("public_tokenizers")
-    folder = where.submodule_search_locations[0] if where else "/opt/tokenizers"
-    return os.path.join(folder, "byte_bpe_50k.json")
-
-
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet")
 
@@ -60,7 +51,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_records(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return L2.encode_documents(docs, scratch_path(spark, "records"), tokenizer_path(), END_ID)
+    return L2.encode_documents(docs, scratch_path(spark, "records"), TOKENIZER, END_ID)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

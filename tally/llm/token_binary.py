@@ -20,6 +20,7 @@ its place when complete; a repeated task writes the same bytes.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -60,23 +61,25 @@ class Encoder:
 
     A byte-level BPE never merges across its pre-tokens, so their ids are kept
     and looked up; only new ones are encoded.  Two dictionaries of about ``cache``
-    entries hold them (the older one is dropped when the newer one is full).  Any other kind of
-    tokenizer encodes whole texts.
+    entries of up to ``longest`` characters hold them (the older one is dropped
+    when the newer one is full).  Any other kind of tokenizer encodes whole
+    texts, as does this one where a text holds the string of an added token.
     """
 
     #: How byte-level tokenizers cut a text (fixed value, part of the file format of such tokenizers).
     PRETOKEN = regex.compile(
         r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-    def __init__(self, path: str, end_id: int, cache: int = 250_000):
+    def __init__(self, path: str, end_id: int, cache: int = 250_000, longest: int = 64):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)")  # texts with one are encoded whole
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.end = np.array([end_id], self.kind).tobytes()
-        self.cache = cache
+        self.cache, self.longest = cache, longest
         self.pieces: dict[str, bytes | None] = {}
         self.old_pieces: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
@@ -112,7 +115,8 @@ class Encoder:
     def word(self, w: str) -> bytes:
         """The ids of a space and the letters ``w``."""
         got = self.pieces.get(w) or self.old_pieces.get(w) or self.token(" " + w)
-        self.pieces[w] = got
+        if len(w) <= self.longest:
+            self.pieces[w] = got
         return got
 
     def mark(self, m: str) -> bytes:
@@ -139,21 +143,24 @@ class Encoder:
             return [np.array(e.ids, self.kind).tobytes() + self.end for e in got]
         if len(self.pieces) >= self.cache:
             self.old_pieces, self.pieces = self.pieces, {}
-        cut = [t.split(" ") for t in texts]
-        known, old = self.pieces, self.old_pieces
-        for p in set().union(*[c[1:] for c in cut]).difference(known):
-            known[p] = old[p] if p in old else self.piece(p)
+        cut = [None if self.added.search(t) else t.split(" ") for t in texts]
+        known, old, once = self.pieces, self.old_pieces, {}
+        for p in set().union(*[c[1:] for c in cut if c]).difference(known):
+            (known if len(p) <= self.longest else once)[p] = old[p] if p in old else self.piece(p)
+        found = known.__getitem__ if not once else lambda p: once[p] if p in once else known[p]
         out = []
         for t, c in zip(texts, cut):
-            first = c[0]
             try:
+                if not c:
+                    raise TypeError
+                first = c[0]
                 if first and first.strip() != first:
                     raise TypeError
                 head = b"".join(map(self.token, self.PRETOKEN.findall(first))) if first else b""
                 if not first and len(c) > 1 and not c[1]:
                     raise TypeError
-                out.append(head + b"".join(map(known.__getitem__, c[1:])) + self.end)
-            except TypeError:  # a None: white space beside the cut
+                out.append(head + b"".join(map(found, c[1:])) + self.end)
+            except TypeError:  # a None: white space beside the cut; or an added token
                 out.append(self.whole(t) + self.end)
         return out
 
@@ -216,6 +223,9 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_co
     fs, root = _filesystem(path)
     fs.create_dir(root, recursive=True)
     rows.mapInArrow(run, spec).write.parquet(f"{path}/index")
+    for left in fs.get_file_info(pafs.FileSelector(root)):  # by attempts that failed
+        if left.base_name.startswith("attempt-"):
+            fs.delete_file(left.path)
     return docs.sparkSession.read.schema(spec).parquet(f"{path}/index")
 
 
@@ -248,24 +258,22 @@ def _parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(payload, f"<u{width}", offset=META.size)
 
 
-def read_records(spark: SparkSession, path: str, n_shards: int) -> DataFrame:
-    """``shard, doc_id, begins, n_tokens, ids`` of every record, from the shard
-    files alone (``ids``: little-endian uint32 bytes; ``begins``: the ids before
-    it in its shard).  A task reads one shard, record by record, and checks
-    every checksum."""
+def read_records(shards: DataFrame, path: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids`` of every record, from the shard files
+    alone (``ids``: little-endian uint32 bytes).  ``shards`` has a row a shard:
+    ``shard`` and ``base``, the ids in the shards before it; ``start`` counts
+    from there.  A task reads a shard, record by record, and checks every
+    checksum."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(path)
         for b in batches:
-            for shard in b.column(0).to_pylist():
-                name = f"{root}/{shard:06d}.records"
-                if fs.get_file_info(name).type == pafs.FileType.NotFound:
-                    continue
-                with fs.open_input_stream(name, buffer_size=1 << 20) as f:
-                    before, rows, size = 0, [], 0
+            for shard, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with fs.open_input_stream(f"{root}/{shard:06d}.records", buffer_size=1 << 20) as f:
+                    rows, size = [], 0
                     for doc_id, ids in _records(f):
-                        rows.append((shard, doc_id, before, len(ids), ids.astype("<u4").tobytes()))
-                        before += len(ids)
-                        size += len(rows[-1][4])
+                        rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes()))
+                        start += len(ids)
+                        size += len(rows[-1][3])
                         if size > 1 << 22:
                             yield _batch(rows)
                             rows, size = [], 0
@@ -274,11 +282,10 @@ def read_records(spark: SparkSession, path: str, n_shards: int) -> DataFrame:
 
     def _batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["shard", "doc_id", "begins", "n_tokens", "ids"])
+            zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return spark.range(0, n_shards, 1, max(1, n_shards)).mapInArrow(
-        run, "shard int, doc_id bigint, begins bigint, n_tokens bigint, ids binary")
+    return shards.select(F.col("shard").cast("int"), F.col("base").cast("bigint")).mapInArrow(
+        run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def fetch(path: str, shard: int, offset: int, length: int) -> tuple[int | None, np.ndarray]:
@@ -292,12 +299,10 @@ def encode_documents(docs: DataFrame, path: str, tokenizer: str, end_id: int, id
                      text_col: str = "text") -> DataFrame:
     """Write, read back, and return ``doc_id, start, n_tokens, ids_crc32`` per
     record: ``start`` counts the ids of all records before it."""
-    spark = docs.sparkSession
     index = write_records(docs, path, tokenizer, end_id, id_col, text_col)
     shards = index.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per shard
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base"))
     n = index.agg(F.max("shard")).first()[0]
-    records = read_records(spark, path, 0 if n is None else n + 1)
-    return records.select("shard", "doc_id", "begins", "n_tokens", F.crc32("ids").alias("ids_crc32")).join(
-        shards, "shard").select("doc_id", (F.col("base") + F.col("begins")).alias("start"), "n_tokens", "ids_crc32")
+    shards = shards.repartitionByRange(1 if n is None else n + 1, "shard")  # a task a shard
+    return read_records(shards, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -88,11 +88,10 @@ def test_line_dedup(docs, rows, none):
 
 def test_token_records(spark, docs, rows, none):
     path = scratch_path(spark, "test-records")
-    name = queries.tokenizer_path()
+    name = queries.TOKENIZER
     index = token_binary.write_records(docs, path, name, 2)
     from tokenizers import Tokenizer
     plain = Tokenizer.from_file(name)
-    plain.encode_special_tokens = True
     want = Counter((r[0], *plain.encode(r[1] or "", add_special_tokens=False).ids, 2) for r in rows)
     got = Counter()
     for r in index.collect():
@@ -121,11 +120,21 @@ def test_damaged_record_is_found():
 
 
 def test_encoder_cuts_like_the_tokenizer():
-    e = token_binary.Encoder(queries.tokenizer_path(), 2, cache=5)
-    texts = ["", "a", " a", "  a", "a ", "a  b", "\n a b", "x\n\n y", "don't we'll 12 34a  b c", "<|endoftext|> hi",
+    from tokenizers import Tokenizer
+    plain = Tokenizer.from_file(queries.TOKENIZER)  # as the library gives it: added tokens in a text are tokens
+    e = token_binary.Encoder(queries.TOKENIZER, 2, cache=5, longest=6)
+    texts = ["", "a", " a", "  a", "a ", "a  b", "\n a b", "x\n\n y", "don't we'll 12 34a  b c", "<|endoftext|> hi", "a <|endoftext|><|endoftext|>b c", " averylongwordwithoutend of averylongwordwithoutend",
              "é è\x1c \x1d z", "a\t b", " \n", "a b\n", "Ünder, the. a.b, c  d  e", "1st: it's (fine)!! ok."]
     for t, b in zip(texts * 2, e.encode(texts * 2)):
-        assert np.frombuffer(b, "<u2").tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 2], t
+        assert np.frombuffer(b, "<u2").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 2], t
+    assert max(map(len, e.pieces)) <= 6
+    assert np.frombuffer(e.encode(["hello <|endoftext|> world"])[0], "<u2").tolist()[1:3] == [220, 50256]
+
+
+def test_no_record_is_broadcast(spark, docs):
+    back = token_binary.encode_documents(docs, scratch_path(spark, "test-plan"), queries.TOKENIZER, 2)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan and "Join" not in plan
 
 
 # ------------------------------------------------------------ language ID
