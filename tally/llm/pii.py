@@ -112,10 +112,15 @@ def _only_digits(v: Column) -> Column:
     return F.regexp_replace(v, r"[^0-9]", "")
 
 
+#: Groups of a candidate that are cut in one go.
+CUT_BLOCK = 500
+
+
 def _cut(v: Column, group: str, most: int, valid: Callable[[Column], Column]) -> Column:
     """``v`` as an array of pieces that join to it: from the left, the longest
     run of at most ``most`` groups that is valid, else a single group.  A group
-    has the separator before it, if any."""
+    has the separator before it, if any.  Pieces gather in blocks of groups,
+    which are joined at the end, so the time grows with the length of ``v``."""
     def pieces(p):
         run = lambda i, n: F.array_join(F.slice(p, i, n), "")
 
@@ -126,8 +131,14 @@ def _cut(v: Column, group: str, most: int, valid: Callable[[Column], Column]) ->
                 F.concat(s["out"], F.array(run(i, n))).alias("out"), (i + n).alias("next")))[0]
             return F.when(i < s["next"], s).otherwise(taken)
 
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(1).alias("next"))
-        return F.aggregate(F.sequence(F.lit(1), F.size(p)), start, turn, lambda s: s["out"])
+        def block(s, first):
+            start = F.struct(F.array().cast("array<string>").alias("out"), s["next"].alias("next"))
+            places = F.sequence(first, F.least(first + CUT_BLOCK - 1, F.size(p)))
+            return F.transform(F.array(F.aggregate(places, start, turn)), lambda b: F.struct(
+                F.concat(s["out"], F.array(b["out"])).alias("out"), b["next"].alias("next")))[0]
+
+        start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.lit(1).alias("next"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(p), F.lit(CUT_BLOCK)), start, block, lambda s: F.flatten(s["out"]))
 
     return F.transform(F.array(F.regexp_extract_all(v, F.lit(group), F.lit(0))), pieces)[0]
 
@@ -208,10 +219,39 @@ def date_ymd(key: str, v: Column) -> Column:
     return _date(key, v, r"([0-9]{4})[-/.]([0-9]{2})[-/.]([0-9]{2})", "ymd")
 
 
+def _date_mdy(key: str, v: Column, pattern: str) -> Column:
+    """A real month-first date from 1900 to 2099 whose day is over 12, so that
+    it is no day-first date, becomes another such date: days to 28 are permuted
+    with month and year, the 29th to 31st keep their day."""
+    part = lambda i: _int(F.regexp_extract(v, pattern, i))
+    m, d, y = part(1), part(2), part(3)
+    mark = F.regexp_extract(v, r"[-/.]", 0)
+    long_months = F.array(*map(F.lit, (1, 3, 5, 7, 8, 10, 12)))
+
+    def write(l: Column, r: Column, a: int, b: int, tag: str, back: Callable) -> Column:  # noqa: E741
+        def text(p):
+            return F.concat_ws("", *[x for n, size in zip(back(p["l"], p["r"]), (2, 2, 4)) for x in (
+                F.lpad(n.cast("string"), size, "0"), mark)][:-1])
+        return F.transform(F.array(permute_pair(key, tag, l, r, F.lit(a), F.lit(b))), text)[0]
+
+    real = F.try_to_date(F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))).isNotNull()
+    leap = F.floor((y - 1904) / 4)  # 1904 to 2096 have 49 leap years
+    return (F.when(~real | ~y.between(1900, 2099) | (d <= 12), F.lit(None).cast("string"))
+            .when(d <= 28, write((y - 1900) * 12 + m - 1, d - 13, 2400, 16, "mdy", lambda l, r: (  # noqa: E741
+                l % 12 + 1, r + 13, 1900 + F.floor(l / 12))))
+            .when(m == 2, write(F.floor(leap / 7), leap % 7, 7, 7, "mdy leap", lambda l, r: (  # noqa: E741
+                m, d, 1904 + 4 * (l * 7 + r))))
+            .when(d <= 30, write(y - 1900, F.when(m == 1, 0).otherwise(m - 2), 200, 11, "mdy 30", lambda l, r: (  # noqa: E741
+                F.when(r == 0, 1).otherwise(r + 2), d, 1900 + l)))
+            .otherwise(write(y - 1900, F.array_position(long_months, m.cast("int")) - 1, 200, 7, "mdy 31", lambda l, r: (  # noqa: E741
+                F.get(long_months, r.cast("int")), d, 1900 + l))))
+
+
 def date_dmy(key: str, v: Column) -> Column:
-    """Day first; where that is no date, month first."""
+    """Day first; where that is no date, month first.  Each layout has dates of
+    its own to go to, so different dates stay different."""
     pattern = r"([0-9]{2})[-/.]([0-9]{2})[-/.]([0-9]{4})"
-    return F.coalesce(_date(key, v, pattern, "dmy"), _date(key, v, pattern, "mdy"))
+    return F.coalesce(_date(key, v, pattern, "dmy"), _date_mdy(key, v, pattern))
 
 
 def _is_iban(v: Column) -> Column:

@@ -4,6 +4,7 @@ parameters, to its whole table."""
 from __future__ import annotations
 
 import os
+import secrets
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,9 @@ END_ID = 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RUNS = {"min_lines": 3, "min_words": 50}
 LM = {"min_count": 2, "backoff": 0.4}
-PII_KEY = "tally-pseudonym-key"  # a deployment sets its own secret (TALLY_PII_KEY)
+#: A deployment names its secret (TALLY_PII_KEY); without one every process takes a new one,
+#: so pseudonyms agree within a run and nobody can undo them by reading the source.
+PII_KEY = os.environ.get("TALLY_PII_KEY") or secrets.token_hex(32)
 CRF_FIT = {"folds": 5, "held_out": 0, "sample_per_label": 1500, "max_chars": 20_000}
 GOOD = 0.3
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -60,7 +63,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L4.pseudonymise(documents(spark, sf_dir), os.environ.get("TALLY_PII_KEY", PII_KEY)).select(
+    return L4.pseudonymise(documents(spark, sf_dir), PII_KEY).select(
         "doc_id", "n_replaced", "text")
 
 

@@ -202,6 +202,33 @@ def test_pseudonyms_beside_other_groups(spark):
         assert (r.text, r.n_replaced) == (want, n), t
 
 
+def test_all_dates_stay_apart(spark):
+    """Every real date of 200 years in both layouts: as many outputs, each a real date of its own layout."""
+    import datetime
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(73_049)]
+    texts = {d.strftime("%d/%m/%Y") for d in days} | {d.strftime("%m/%d/%Y") for d in days}
+    df = spark.createDataFrame([(t,) for t in sorted(texts)], "v string").repartition(8)
+    got = df.select("v", pii.date_dmy("k", F.col("v")).alias("new")).collect()
+    assert {r.new for r in got} == texts and len(got) == len(texts)
+    first = lambda v: int(v[:2]) <= 12 and int(v[3:5]) > 12  # noqa: E731 - month first, day over 12
+    assert all(first(r.v) == first(r.new) for r in got)
+    assert sum(r.v == r.new for r in got) < 1000
+
+
+def test_long_runs_of_groups_take_linear_time(spark):
+    import time
+    c = "4041 8949 7460 8795"
+    spent = []
+    for n in (5_000, 200_000):
+        df = spark.createDataFrame([(1, "12 " * n + c + " 12" * 7)], "doc_id int, text string")
+        pii.pseudonymise(df, "k").collect() if n == 5_000 else None  # compiled before the clock starts
+        t0 = time.time()
+        r = pii.pseudonymise(df, "k").first()
+        spent.append(time.time() - t0)
+        assert r.n_replaced == 1 and r.text.startswith("12 " * n) and len(r.text) == 3 * n + 40
+    assert spent[1] < 40 * max(spent[0], 0.5)
+
+
 def test_feistel_is_a_permutation(spark):
     pairs = spark.range(17 * 11).select(pii.permute_pair("k", "t", F.col("id") % 17, F.floor(F.col("id") / 17),
                                                          F.lit(17), F.lit(11)).alias("p")).select("p.l", "p.r").collect()
