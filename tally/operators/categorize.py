@@ -10,13 +10,14 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tally.errors import ModelNotFoundError, ValidationError
 from tally.functions.constraints import label_constraints
 from tally.functions.text import NORM_COL, rule_category, rule_category_col, with_normalized
 from tally.schema import FALLBACK_CONFIDENCE, RULE_CONFIDENCE
+from tally.sources import files
 
 MODEL_INPUT = "_model_text"
 HASH_FEATURES = 1 << 16
@@ -130,11 +131,11 @@ def categorize(df: DataFrame, model: PipelineModel) -> DataFrame:
 
 
 def load_model(path: str) -> PipelineModel:
-    """Never trains implicitly; a missing model raises."""
-    try:
-        return PipelineModel.load(path)
-    except Exception as e:  # noqa: BLE001 - any load failure means no usable model
-        raise ModelNotFoundError(f"No categorizer at {path}") from e
+    """Never trains implicitly; a missing model raises ModelNotFoundError.
+    One that is there but cannot be read raises what its reader does."""
+    if not files.exists(SparkSession.active(), f"{path}/metadata"):
+        raise ModelNotFoundError(f"No categorizer at {path}")
+    return PipelineModel.load(path)
 
 
 def retrain_text_model(labelled: DataFrame, path: str, **kw) -> PipelineModel:

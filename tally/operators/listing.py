@@ -12,7 +12,8 @@ from tally.schema import LISTING_COLUMNS, LOG_LIMIT_MAX, PAGE_LIMIT_MAX
 def list_page(ledger: DataFrame, offset: int = 0, limit: int = 50, category=None, direction=None,
               start=None, end=None) -> DataFrame:
     """per account, rows offset+1 .. offset+limit in (date desc, id)
-    order after the filters, with the account's filtered ``total``.
+    order after the filters, with the account's filtered ``total``.  An
+    account whose page is empty has one row with its total and no transaction.
 
     The row_number filter lets Spark insert a partial WindowGroupLimit
     before the shuffle, so each input partition forwards at most
@@ -28,7 +29,7 @@ def list_page(ledger: DataFrame, offset: int = 0, limit: int = 50, category=None
             .where(F.col("position") <= offset + limit)
             .where(F.col("position") > offset))
     totals = f.groupBy("account_id").agg(F.count(F.lit(1)).alias("total"))
-    return page.join(totals, "account_id")
+    return totals.join(page, "account_id", "left").select(*LISTING_COLUMNS, "position", "total")
 
 
 def log_matches(log: DataFrame, level=None, start=None, end=None, account_id=None, user_id=None) -> DataFrame:

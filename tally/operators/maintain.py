@@ -11,11 +11,12 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tally.errors import ValidationError
 from tally.functions.constraints import account_constraints, tx_constraints
 from tally.functions.text import rule_category_col, with_normalized
 from tally.operators.validate import default_fill
 from tally.schema import ALLOWED_DIRECTIONS, BROKEN, LEDGER_COLUMNS
-from tally.session import scratch_path
+from tally.sources.ledger import staged
 
 STATUSES = ("inserted", "duplicate", "error")
 
@@ -208,7 +209,8 @@ def account_create(accounts: DataFrame, requests: DataFrame, as_of_date) -> Data
     number already taken (in the table or by an account created earlier in the
     batch) -> duplicate.  Accepted rows get last_updated = as_of.
 
-    Requests apply in the order of ``_row``; one that is turned down blocks no
+    Requests apply in the order of ``_row``, which must differ from row to row;
+    one without an account_id is an error, one that is turned down blocks no
     other.  Each round creates the requests that are first with both their id
     and their number, and turns down those that share either; it repeats for
     what is left, once for each link of the longest chain of such clashes.
@@ -216,20 +218,26 @@ def account_create(accounts: DataFrame, requests: DataFrame, as_of_date) -> Data
     spark = requests.sparkSession
     taken_id = accounts.select("account_id", F.lit(True).alias("_id_taken"))
     taken_no = accounts.select("account_number", F.lit(True).alias("_no_taken"))
-    r = (requests.withColumn("_viol", account_constraints())
+    if not requests.groupBy("_row").count().where("count > 1 OR _row IS NULL").isEmpty():
+        raise ValidationError("Account requests need a _row of their own each")
+    codes = F.concat_ws(",", F.when(_nonempty("account_id").isNull(), "account_id_missing"),
+                        F.when(account_constraints() != "", account_constraints()))
+    r = (requests.withColumn("_viol", codes)
          .join(taken_id, "account_id", "left").join(taken_no, "account_number", "left"))
     in_table = F.col("_id_taken").isNotNull() | F.col("_no_taken").isNotNull()
-    left = _staged(r.where(~in_table & (F.col("_viol") == "")).select("_row", "account_id", "account_number"))
+    left = staged(r.where(~in_table & (F.col("_viol") == "")).select("_row", "account_id", "account_number"), "requests")
     created = spark.createDataFrame([], left.schema).select("_row")
     while not left.isEmpty():
         first_id = left.groupBy("account_id").agg(F.min("_row").alias("_by_id"))
         first_no = left.groupBy("account_number").agg(F.min("_row").alias("_by_no"))
-        new = _staged(left.join(first_id, "account_id").join(first_no, "account_number").where(
+        new = staged(left.join(first_id, "account_id").join(first_no, "account_number").where(
             (F.col("_row") == F.col("_by_id")) & (F.col("_row") == F.col("_by_no")))
-            .select("_row", "account_id", "account_number"))
+            .select("_row", "account_id", "account_number"), "requests")
+        if new.isEmpty():  # the first request left always comes first with its id and number
+            raise RuntimeError("no request could be decided")
         created = created.unionByName(new.select("_row"))
-        left = _staged(left.join(new.select("account_id"), "account_id", "left_anti")
-                       .join(new.select("account_number"), "account_number", "left_anti"))
+        left = staged(left.join(new.select("account_id"), "account_id", "left_anti")
+                       .join(new.select("account_number"), "account_number", "left_anti"), "requests")
     r = r.join(created.withColumn("_created", F.lit(True)), "_row", "left")
     status = (F.when(in_table, "duplicate")
               .when(F.col("_viol") != "", "error")
@@ -240,13 +248,6 @@ def account_create(accounts: DataFrame, requests: DataFrame, as_of_date) -> Data
                     status.alias("status"), F.col("_viol").alias("errors"))
 
 
-def _staged(df: DataFrame) -> DataFrame:
-    """Written once in the shared scratch folder and read back."""
-    path = scratch_path(df.sparkSession, "requests")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def accounts_after_create(accounts: DataFrame, classified: DataFrame) -> DataFrame:
     new = classified.where(F.col("status") == "created").select(*accounts.columns)
     return accounts.unionByName(new)

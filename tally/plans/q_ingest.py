@@ -25,7 +25,6 @@ from tally.sources import testviews as tv
 from tally.streaming.ingest import stream_ingest
 
 
-
 _CATS = "(" + ", ".join(f"'{c}'" for c in CATEGORIES) + ")"
 
 
@@ -293,7 +292,7 @@ def _api_requests(spark, d):
     idx = F.col("l_partkey") % tv.N_PHRASES
     return li.select(
         F.when(F.col("l_linestatus") == "F", tid).otherwise(F.concat(F.lit("api-"), tid)).alias("transaction_id"),
-        F.col("l_suppkey").cast("string").alias("account_id"),
+        F.concat(F.when(F.col("l_tax") == 0, "unknown-").otherwise(""), F.col("l_suppkey").cast("string")).alias("account_id"),
         tv._pick([p for p, _ in tv.DESCRIPTION_FIXTURE], idx).alias("description"),
         F.when(F.col("l_returnflag") == "N", F.lit("Groceries")).alias("category"),
         F.rint(F.col("l_extendedprice") * 100).cast("bigint").alias("amount"),
@@ -311,7 +310,7 @@ def _phrase_sql():
 @register("insert_tx", "K1 B7 I4 C4", with_views(f"""
 WITH b AS (
   SELECT CASE WHEN l_linestatus = 'F' THEN tid ELSE 'api-' || tid END AS transaction_id,
-         CAST(l_suppkey AS VARCHAR) AS account_id, description,
+         CASE WHEN l_tax = 0 THEN 'unknown-' ELSE '' END || l_suppkey AS account_id, description,
          CASE WHEN l_returnflag = 'N' THEN 'Groceries' END AS category,
          CAST(round_even(l_extendedprice * 100, 0) AS BIGINT) AS amount,
          CASE WHEN l_returnflag = 'R' THEN 'outflow' ELSE 'inflow' END AS direction
@@ -319,13 +318,14 @@ WITH b AS (
                {_phrase_sql()} AS description FROM lineitem)),
 v AS (SELECT b.*, concat_ws(',',
         CASE WHEN b.description IS NULL OR length(b.description) < 1 OR length(b.description) > 500 THEN 'description_length' END,
-        CASE WHEN b.category IS NOT NULL AND b.category NOT IN {_CATS} THEN 'category_unknown' END) AS errors,
+        CASE WHEN b.category IS NOT NULL AND b.category NOT IN {_CATS} THEN 'category_unknown' END,
+        CASE WHEN starts_with(b.account_id, 'unknown-') THEN 'account_unknown' END) AS errors,
         l.account_id AS held_by
       FROM b LEFT JOIN ledger l ON b.transaction_id = l.transaction_id)
 SELECT transaction_id, account_id,
        CASE WHEN category IS NOT NULL AND category <> '' THEN category
             ELSE coalesce({rule_sql()}, 'Miscellaneous') END AS category,
-       amount, 'USD' AS currency,
+       amount, CASE WHEN NOT starts_with(account_id, 'unknown-') THEN 'USD' END AS currency,
        CASE WHEN errors <> '' THEN 'error' WHEN held_by = account_id THEN 'duplicate'
             WHEN held_by IS NOT NULL THEN 'error' ELSE 'inserted' END AS status,
        errors
@@ -338,14 +338,15 @@ def insert_tx(spark, d):
 # ---------------------------------------------------------------- K3 - K8
 
 def _patches(spark, d):
-    """Rent rows get an upper-cased description; uncategorized rows get
-    'Miscellaneous'; empty patch values keep the old value."""
+    """Rent rows get an upper-cased description by the later of two patches;
+    uncategorized rows get 'Miscellaneous'; empty values keep the old value."""
     led = _led(spark, d)
     rent = led.where(F.col("category") == "Rent").select(
         "account_id", "transaction_id", F.upper("description").alias("description"), F.lit("").alias("category"))
     unc = led.where(F.col("category").isNull()).select(
         "account_id", "transaction_id", F.lit("").alias("description"), F.lit("Miscellaneous").alias("category"))
-    return rent.unionByName(unc)
+    before = rent.withColumn("description", F.lit("superseded")).withColumn("_row", F.lit(0))
+    return before.unionByName(rent.unionByName(unc).withColumn("_row", F.lit(1)))
 
 
 @register("update_tx", "K3", with_views("""
@@ -374,31 +375,45 @@ def delete_tx(spark, d):
 
 
 def _account_requests(spark, d):
+    """A request for each customer, some with a currency in small letters.
+    Those are asked for again with the next customer's number, which turns
+    that one's request down; some requests are repeated, some come without id."""
     c = tv.table(spark, d, "customer")
-    return c.select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account_id"),
-        F.col("c_nationkey").cast("bigint").alias("user_id"),
-        F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("account_number"),
-        F.rint(F.col("c_acctbal") * 100).cast("bigint").alias("starting_balance"),
-        F.when(F.col("c_mktsegment") == "BUILDING", F.lit("usd")).otherwise(F.lit("USD")).alias("currency"),
-        F.col("c_custkey").alias("_row"))
+
+    def asked(rows, k, next_number=0, currency="USD", account_id=None):
+        return rows.select(
+            (F.concat(F.lit("c"), F.col("c_custkey").cast("string")) if account_id is None else account_id).alias("account_id"),
+            F.col("c_nationkey").cast("bigint").alias("user_id"),
+            F.lpad((F.col("c_custkey") + next_number).cast("string"), 10, "0").alias("account_number"),
+            F.rint(F.col("c_acctbal") * 100).cast("bigint").alias("starting_balance"),
+            F.when(F.col("c_mktsegment") == "BUILDING", F.lit(currency)).otherwise("USD").alias("currency"),
+            (F.col("c_custkey") * 4 + k).alias("_row"))
+
+    of = lambda segment: c.where(F.col("c_mktsegment") == segment)
+    return (asked(c, 0, currency="usd").unionByName(asked(of("BUILDING"), 1, 1)).unionByName(asked(of("AUTOMOBILE"), 2))
+            .unionByName(asked(of("HOUSEHOLD"), 3, account_id=F.lit(None).cast("string"))))
 
 
 @register("account_create", "K5 B8", with_views("""
-WITH r AS (
-  SELECT 'c' || CAST(c_custkey AS VARCHAR) AS account_id, lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS account_number,
-         CAST(round_even(c_acctbal * 100, 0) AS BIGINT) AS starting_balance,
-         CASE WHEN c_mktsegment = 'BUILDING' THEN 'usd' ELSE 'USD' END AS currency
-  FROM customer),
-v AS (SELECT r.*, concat_ws(',',
-        CASE WHEN starting_balance <= 0 THEN 'balance_not_positive' END,
-        CASE WHEN length(currency) <> 3 OR currency <> upper(currency) OR currency = lower(currency)
-             THEN 'currency_format' END) AS errors,
-        r.account_id IN (SELECT account_id FROM accounts)
-          OR r.account_number IN (SELECT account_number FROM accounts) AS taken
-      FROM r)
-SELECT account_id, CASE WHEN taken THEN 'duplicate' WHEN errors <> '' THEN 'error' ELSE 'created' END AS status, errors
-FROM v""", "accounts"))
+WITH c AS (SELECT *, CAST(round_even(c_acctbal * 100, 0) AS BIGINT) <= 0 AS poor,
+                  lpad(CAST(c_custkey AS VARCHAR), 10, '0') IN (SELECT account_number FROM accounts) AS taken,
+                  lpad(CAST(c_custkey + 1 AS VARCHAR), 10, '0') IN (SELECT account_number FROM accounts) AS next_taken
+           FROM customer),
+second AS (SELECT c_custkey, poor, next_taken, c_custkey + 1 AS blocked FROM c WHERE c_mktsegment = 'BUILDING'),
+r AS (
+  SELECT 'c' || c_custkey AS account_id, taken,
+         c_custkey IN (SELECT blocked FROM second WHERE NOT poor AND NOT next_taken) AS late,
+         concat_ws(',', CASE WHEN poor THEN 'balance_not_positive' END,
+                   CASE WHEN c_mktsegment = 'BUILDING' THEN 'currency_format' END) AS errors
+  FROM c
+  UNION ALL SELECT 'c' || c_custkey, next_taken, false, CASE WHEN poor THEN 'balance_not_positive' ELSE '' END FROM second
+  UNION ALL SELECT 'c' || c_custkey, taken, true, CASE WHEN poor THEN 'balance_not_positive' ELSE '' END
+  FROM c WHERE c_mktsegment = 'AUTOMOBILE'
+  UNION ALL SELECT NULL, taken, false, concat_ws(',', 'account_id_missing', CASE WHEN poor THEN 'balance_not_positive' END)
+  FROM c WHERE c_mktsegment = 'HOUSEHOLD')
+SELECT account_id, CASE WHEN taken THEN 'duplicate' WHEN errors <> '' THEN 'error' WHEN late THEN 'duplicate'
+                        ELSE 'created' END AS status, errors
+FROM r""", "accounts"))
 def account_create(spark, d):
     r = K.account_create(_acc(spark, d), _account_requests(spark, d), "2025-06-30")
     return r.select("account_id", "status", "errors")
@@ -412,9 +427,10 @@ SELECT account_id, user_id, account_number,
 FROM accounts""", "accounts"))
 def account_update(spark, d):
     acc = _acc(spark, d)
-    patches = acc.where(F.col("user_id") == 3).select(
-        "account_id", (F.col("starting_balance") + 100000).alias("starting_balance"),
-        F.lit(None).cast("string").alias("currency"))
+    own = acc.where(F.col("user_id") == 3)
+    patches = [own.select("account_id", (F.col("starting_balance") + by).alias("starting_balance"),
+                          F.lit(None).cast("string").alias("currency"), F.lit(k).alias("_row")) for k, by in ((1, 100000), (0, 7))]
+    patches = patches[0].unionByName(patches[1])
     return K.account_update(acc, patches, "2025-06-30")
 
 

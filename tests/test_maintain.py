@@ -7,6 +7,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tally.errors import ModelNotFoundError, ValidationError
+from tally.operators import categorize as C
+from tally.operators import listing as LS
 from tally.operators import maintain as K
 from tally.operators.joins import first_in_batch
 from tally.sources import csv as CSV
@@ -164,3 +167,50 @@ def test_backup_keeps_the_existing_copy(spark):
     for n in (1, 3):
         got = {r.transaction_id: r.description for r in LG.processed_merge(led, new.repartition(n)).collect()}
         assert got == {"t1": "old", "t2": "x", "t3": "added"}
+
+
+ACCOUNT_REQUEST = "account_id string, user_id bigint, account_number string, starting_balance bigint, currency string, _row bigint"
+
+
+def test_account_requests_always_end(spark):
+    """Null and empty ids, null numbers, repeated requests and chains, against a plain reading in order."""
+    import random
+    import time
+    rng = random.Random(2)
+    rows = [(rng.choice([None, "", "1", "2", "3", "4"]), 1, rng.choice([None, *(f"000000000{n}" for n in range(1, 5))]),
+             rng.choice([5, 5, 5, 0, None]), "USD", k) for k in range(40)]
+    ids, numbers = ({r[c] for r in _accounts(spark).collect()} for c in ("account_id", "account_number"))
+    new_ids, new_numbers, want = set(), set(), {}
+    for i, _, n, b, _, k in rows:
+        if i in ids or n in numbers:
+            want[k] = "duplicate"
+        elif not i or n is None or not b:
+            want[k] = "error"
+        elif i in new_ids or n in new_numbers:
+            want[k] = "duplicate"
+        else:
+            want[k] = "created"
+            new_ids.add(i), new_numbers.add(n)
+    t0 = time.time()
+    got = K.account_create(_accounts(spark), spark.createDataFrame(rows, ACCOUNT_REQUEST), "2024-05-05").collect()
+    assert {r._row: r.status for r in got} == want and len(got) == len(rows)
+    assert all("account_id_missing" in r.errors for r in got if not r.account_id)
+    assert time.time() - t0 < 120
+    for bad in ([(*rows[5][:5], 1), (*rows[6][:5], 1)], [(*rows[5][:5], None)]):
+        with pytest.raises(ValidationError):
+            K.account_create(_accounts(spark), spark.createDataFrame(bad, ACCOUNT_REQUEST), "2024-05-05")
+
+
+def test_a_model_that_cannot_be_read_is_not_missing(spark):
+    with pytest.raises(ModelNotFoundError):
+        C.load_model(scratch_path(spark, "no-model"))
+    path = scratch_path(spark, "broken-model")
+    spark.createDataFrame([("no model",)], "value string").write.text(f"{path}/metadata")
+    with pytest.raises(Exception) as e:
+        C.load_model(path)
+    assert not isinstance(e.value, ModelNotFoundError)
+
+
+def test_an_empty_page_has_its_total(spark):
+    page = LS.list_page(_ledger(spark), offset=5, limit=5).collect()
+    assert [(r.account_id, r.total, r.transaction_id, r.position) for r in page] == [("a1", 2, None, None)]
