@@ -21,6 +21,7 @@ from tally.session import scratch_path
 from tally.sources import csv as CSV
 from tally.sources import export as EX
 from tally.sources import ledger as LGR
+from tally.sources import rewrite as RW
 from tally.sources import testviews as tv
 from tally.streaming.ingest import stream_ingest
 
@@ -460,6 +461,58 @@ def retention_purge(spark, d):
     return K.retention_purge(led, as_of_of(led), 1000).select("transaction_id")
 
 
+# ------------------------------------- K3, K4, K6, K8, I6 on stored ledgers
+
+def _stored(spark, d, name):
+    return LGR.write_snapshot(_led(spark, d), scratch_path(spark, name))
+
+
+@register("update_months", "K3", with_views("""
+SELECT transaction_id, CASE WHEN category = 'Rent' AND date_trunc('month', transaction_date) = DATE '1996-03-01'
+                            THEN upper(description) ELSE description END AS description, category
+FROM ledger""", "ledger"))
+def update_months(spark, d):
+    """K3 on a stored ledger: the patches touch one month, which is rewritten."""
+    path = _stored(spark, d, "update-months")
+    march = F.col("transaction_date").between("1996-03-01", "1996-03-31")
+    patches = LGR.read_ledger(spark, path).where(march & (F.col("category") == "Rent")).select(
+        "account_id", "transaction_id", F.upper("description").alias("description"), F.lit("").alias("category"))
+    if RW.update_tx(spark, path, LGR.staged(patches, "patches")) != ["1996-03"]:
+        raise AssertionError("other months were rewritten")
+    return LGR.read_ledger(spark, path).select("transaction_id", "description", "category")
+
+
+@register("delete_months", "K4", with_views("""
+SELECT transaction_id, account_id FROM ledger
+WHERE date_trunc('month', transaction_date) <> DATE '1997-05-01' AND NOT (direction = 'outflow' AND year(transaction_date) = 1996)
+""", "ledger"))
+def delete_months(spark, d):
+    """K4 on a stored ledger: a whole month, and some rows of the months of a year."""
+    path = _stored(spark, d, "delete-months")
+    day = F.col("transaction_date")
+    keys = LGR.read_ledger(spark, path).where(day.between("1997-05-01", "1997-05-31") | (
+        (F.col("direction") == "outflow") & (F.year(day) == 1996))).select("account_id", "transaction_id")
+    RW.delete_tx(spark, path, LGR.staged(keys, "keys"))
+    return LGR.read_ledger(spark, path).select("transaction_id", "account_id")
+
+
+@register("purge_months", "K8", with_views(f"""
+SELECT transaction_id FROM ledger WHERE transaction_date >= CAST({AS_OF_SQL} - INTERVAL 1000 DAY AS DATE)""", "ledger"))
+def purge_months(spark, d):
+    """K8 on a stored ledger: old months are removed unread, the cutoff's month is rewritten."""
+    path = _stored(spark, d, "purge-months")
+    RW.retention_purge(spark, path, as_of_of(LGR.read_ledger(spark, path)), 1000)
+    return LGR.read_ledger(spark, path).select("transaction_id")
+
+
+@register("fill_months", "I6", with_views(f"SELECT transaction_id, category FROM ({_FILL_SQL})", "ledger"))
+def fill_months(spark, d):
+    """I6 on a stored ledger."""
+    path = _stored(spark, d, "fill-months")
+    RW.fill_categories(spark, path)
+    return LGR.read_ledger(spark, path).select("transaction_id", "category")
+
+
 # ------------------------------------------------ A1 / A4 / A5 / A10 / A11
 
 #: The raw batch, then part of it sent again under another date with an earlier time of posting:
