@@ -126,12 +126,19 @@ def balance_lookup(df: DataFrame, accounts: DataFrame) -> DataFrame:
             .withColumn("starting_balance", F.coalesce("starting_balance", F.lit(0).cast("bigint"))))
 
 
-def model_status(accounts: DataFrame, models: DataFrame, ledger: DataFrame) -> DataFrame:
+def history_counts(ledger: DataFrame) -> DataFrame:
+    """Rows and distinct days of each account."""
+    return (ledger.groupBy("account_id")
+            .agg(F.count(F.lit(1)).alias("days_history"),
+                 F.countDistinct("transaction_date").alias("distinct_days")))
+
+
+def model_status(accounts: DataFrame, models: DataFrame, ledger: DataFrame | None = None,
+                 counts: DataFrame | None = None) -> DataFrame:
     """Per account, whether a forecaster exists, when it was trained,
-    how many ledger rows it has (days_history counts rows) and distinct days."""
-    counts = (ledger.groupBy("account_id")
-              .agg(F.count(F.lit(1)).alias("days_history"),
-                   F.countDistinct("transaction_date").alias("distinct_days")))
+    how many ledger rows it has (days_history counts rows) and distinct days;
+    these two from ``counts`` where given (as of the account-day table)."""
+    counts = history_counts(ledger) if counts is None else counts
     m = models.select("account_id", "trained_at", F.lit(True).alias("_has"))
     return (accounts.select("account_id", "user_id")
             .join(m, "account_id", "left")

@@ -10,6 +10,8 @@ from tally.operators.joins import model_status
 from tally.plans.catalog import AS_OF_SQL, ORDER_AS_OF_SQL, _acc, _led, as_of_of, register
 from tally.plans.sqlviews import with_views
 from tally.session import scratch_path
+from tally.sources import daily as DAILY
+from tally.sources import ledger as LG
 from tally.sources import testviews as tv
 
 
@@ -185,6 +187,22 @@ def retrain_all(spark, d):
                     "status", "error", "trained_at")
 
 
+@register("retrain_from_daily", "J8 D10", with_views(f"""WITH {_fc_ctes('order_ledger', 'order_accounts', ORDER_AS_OF_SQL)}
+SELECT a.account_id, a.user_id, m.lookback_years, m.n_days, m.intercept, m.slope, m.sigma,
+       CASE WHEN m.account_id IS NULL THEN 'insufficient_data' ELSE 'trained' END AS status,
+       CASE WHEN m.account_id IS NULL THEN 'Not enough data to train model for account ' || a.account_id END AS error,
+       CAST({ORDER_AS_OF_SQL} AS TIMESTAMP) AS trained_at
+FROM order_accounts a LEFT JOIN model m ON a.account_id = m.account_id""", "order_ledger", "order_accounts"))
+def retrain_from_daily(spark, d):
+    """J8 on the account-day table: no ledger row is read."""
+    led, acc, as_of = _order(spark, d)
+    path = LG.write_snapshot(led, scratch_path(spark, "daily-fit"))
+    DAILY.ensure(spark, path)
+    m = FC.retrain_all(DAILY.as_ledger(DAILY.read(spark, path)), acc, as_of, trained_at=as_of.cast("timestamp_ntz"))
+    return m.select("account_id", "user_id", "lookback_years", "n_days", "intercept", "slope", "sigma",
+                    "status", "error", "trained_at")
+
+
 @register("forecast_all", "J9", with_views(f"""WITH f AS ({_forecast_sql('ledger', 'accounts', AS_OF_SQL, 7)})
 SELECT a.user_id, f.* FROM f JOIN accounts a ON a.account_id = f.account_id""", "ledger", "accounts"))
 def forecast_all(spark, d):

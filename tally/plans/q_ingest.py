@@ -19,6 +19,7 @@ from tally.plans.sqlviews import rule_sql, strip_sql, with_views
 from tally.schema import CATEGORIES, LISTING_COLUMNS
 from tally.session import scratch_path
 from tally.sources import csv as CSV
+from tally.sources import daily as DAILY
 from tally.sources import export as EX
 from tally.sources import ledger as LGR
 from tally.sources import rewrite as RW
@@ -593,6 +594,20 @@ def ingest_sinks(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@register("daily_maintained", "D7 D10 A4", with_views(f"""{_FEED_SQL},
+new AS (SELECT account_id, transaction_date, CAST(round_even(amount * factor, 0) AS BIGINT) AS amount, direction
+        FROM ({_FIRSTS_SQL}) WHERE transaction_id NOT IN ({_HELD_SQL})
+        UNION ALL SELECT account_id, transaction_date, amount, direction FROM ledger WHERE transaction_date < DATE '1998-01-01')
+SELECT account_id, transaction_date, CAST(sum(CASE WHEN direction = 'inflow' THEN amount ELSE 0 END) AS BIGINT) AS inflow,
+       CAST(sum(CASE WHEN direction = 'outflow' THEN amount ELSE 0 END) AS BIGINT) AS outflow, count(*) AS n_rows
+FROM new GROUP BY ALL""", "raw_batch", "ledger"))
+def daily_maintained(spark, d):
+    """The account-day table of a stored ledger after a batch was added."""
+    out = LGR.write_snapshot(_existing(spark, d), scratch_path(spark, "daily"))
+    ING.run_ingest(spark, _feed_csv(spark, d), out, keep_daily=True)
+    return DAILY.read(spark, out)
+
+
 @register("ingest_gate", "C3 A4", with_views(f"""WITH {_NORM_SQL}
 SELECT a.transaction_id, a.account_id, CAST(round_even(a.amount * a.factor, 0) AS BIGINT) AS amount, a.transaction_date
 FROM annot a JOIN accounts o ON a.account_id = o.account_id
@@ -707,6 +722,27 @@ def export_json_rows(spark, d):
     return rows.where(F.col("transaction_id").isNotNull())
 
 
+@register("export_json_documents", "A7", with_views(f"""
+SELECT {', '.join(LISTING_COLUMNS)}, count(*) OVER (PARTITION BY account_id) AS transaction_count, DATE '2025-06-30' AS export_date
+FROM ledger UNION ALL
+SELECT NULL, a.account_id, NULL, NULL, NULL, NULL, NULL, NULL, 0, DATE '2025-06-30' FROM order_accounts a""", "ledger", "order_accounts"))
+def export_json_documents(spark, d):
+    """The JSON export as documents with their transactions in an array, in
+    parts of 100 rows, written, parsed and joined again; accounts without a
+    transaction have an empty array."""
+    led, path = _led(spark, d), scratch_path(spark, "export-documents")
+    accounts = led.select("account_id").unionByName(tv.order_accounts(spark, d).select("account_id"))
+    EX.export_json_documents(led, path, "2025-06-30", part_rows=100, accounts=accounts)
+    types = dict(led.dtypes)
+    row = ", ".join(f"{c}: {types[c]}" for c in LISTING_COLUMNS)
+    schema = (f"account_id string, export_date date, transaction_count bigint, part int, parts int, "
+              f"transactions array<struct<{row}>>")
+    docs = spark.read.text(path).select(F.from_json("value", schema).alias("d")).select("d.*")
+    rows = docs.select("*", F.explode_outer("transactions").alias("t"))
+    return rows.select(*[F.coalesce(F.col(f"t.{c}"), F.col(c)).alias(c) if c == "account_id" else F.col(f"t.{c}").alias(c)
+                         for c in LISTING_COLUMNS], "transaction_count", "export_date")
+
+
 # ------------------------------------------------------------ I2 / I3 / I8
 
 def _ledger_labels(led):

@@ -7,11 +7,12 @@ streams out of many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.operators.filters import date_range
 from tally.schema import LISTING_COLUMNS
+from tally.sources.ledger import staged
 
 
 def export_frame(ledger: DataFrame, account_ids=None, start=None, end=None) -> DataFrame:
@@ -54,3 +55,44 @@ def export_json(ledger: DataFrame, path: str, export_date, **kw) -> None:
     order = ["account_id", "_part", F.col("_d").desc(), "_id"]
     (head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order)
      .drop("_part", "_d", "_id").write.partitionBy("account_id").text(path))
+
+
+def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, accounts: DataFrame | None = None, **kw) -> DataFrame:
+    """A7 as documents: ``account_id, part, document``, where a document holds
+    account_id, export_date, transaction_count (of the whole account), its part
+    number, how many parts there are, and an array ``transactions`` of at most
+    ``part_rows`` rows.  Parts in order hold an account's rows newest first.
+
+    Rows are dealt to tasks by ranges of (account, date, id), so a hot account
+    spans several, and staged with their places; a run of a task's rows of one
+    account is a part.  With ``accounts``, those without a transaction have a
+    document with an empty array.  Empty text fields stay, null ones are left out.
+    """
+    order = ["account_id", F.col("transaction_date").desc(), "transaction_id"]
+    placed = staged(export_frame(ledger, **kw).repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_at": F.monotonically_increasing_id()}), "export")
+    run = F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / part_rows)  # the low 33 bits count a task's rows
+    key = F.shiftright("_at", 33) * (1 << 33) + run
+    parts = placed.withColumn("_run", key).groupBy("account_id", "_run").agg(
+        F.array_sort(F.collect_list(F.struct("_at", F.struct(*LISTING_COLUMNS).alias("row")))).alias("rows"))
+    sizes = placed.groupBy("account_id", key.alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy("account_id")  # one narrow row a part
+    numbered = sizes.select("account_id", "_run", F.row_number().over(every.orderBy("_run")).alias("part"),
+                            F.count(F.lit(1)).over(every).alias("parts"), F.sum("_n").over(every).alias("transaction_count"))
+    whole = parts.join(numbered, ["account_id", "_run"]).select(
+        "account_id", "part", "parts", "transaction_count", F.col("rows.row").alias("transactions"))
+    if accounts is not None:
+        kind = whole.schema["transactions"].dataType.simpleString()
+        whole = whole.unionByName(accounts.select("account_id").distinct().join(sizes, "account_id", "left_anti").select(
+            "account_id", F.lit(1).alias("part"), F.lit(1).cast("bigint").alias("parts"), F.lit(0).cast("bigint").alias("transaction_count"),
+            F.array().cast(kind).alias("transactions")))
+    return whole.select("account_id", "part", F.to_json(F.struct(
+        "account_id", F.lit(export_date).cast("date").alias("export_date"), "transaction_count", "part", "parts",
+        "transactions")).alias("document"))
+
+
+def export_json_documents(ledger: DataFrame, path: str, export_date, **kw) -> None:
+    """The documents as text, a line each, in a folder per account."""
+    docs = json_documents(ledger, export_date, **kw)
+    (docs.repartitionByRange("account_id", "part").sortWithinPartitions("account_id", "part")
+     .select("account_id", F.col("document").alias("value")).write.partitionBy("account_id").text(path))

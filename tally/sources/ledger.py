@@ -56,6 +56,10 @@ def ledger_append(new_rows: DataFrame, ledger: DataFrame | None, path: str) -> D
              else new_rows_only(new_rows, ledger, order=order))
     fresh = staged(fresh, "append")
     write_snapshot(fresh.select(*LEDGER_COLUMNS), path, mode="append")
+    from tally.sources import daily  # it reads ledgers
+    if daily.exists(fresh.sparkSession, path):
+        months = fresh.select(F.date_format("transaction_date", "yyyy-MM")).distinct().collect()
+        daily.refresh(fresh.sparkSession, path, [m[0] for m in months])
     return fresh
 
 

@@ -7,12 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tally.errors import PermissionDenied
+from tally.operators import analytics as A
+from tally.operators import joins as J
 from tally.plans import ingest as ING
 from tally.schema import RAW_TRANSACTION_SCHEMA
 from tally.session import scratch_path
-from tally.sources import files, ids
+from tally.sources import daily, files, ids, rewrite
 from tally.sources import ledger as LG
+from tally.sources import testviews as tv
 from tally.streaming.ingest import stream_ingest
+from tests.conftest import SF001
 
 HEAD = ",".join(RAW_TRANSACTION_SCHEMA.fieldNames())
 
@@ -177,3 +181,42 @@ def test_stored_ids_are_not_shuffled_and_few_ids_read_few_buckets(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     for got in (few, ids.unseen(rows, out)):
         assert sorted(r[1] for r in got.collect()) == [2, 3]
+
+
+def _days(df):
+    return sorted(tuple(r) for r in df.select("account_id", "transaction_date", "inflow", "outflow", "n_rows").collect())
+
+
+def test_the_daily_table_equals_a_full_recomputation(spark, monkeypatch):
+    """After batches, a job killed while it refreshes, an append, a patch, deletes and a purge."""
+    out = scratch_path(spark, "t-daily") + "/ledger"
+    same = lambda: _days(daily.read(spark, out)) == _days(daily.of(LG.read_ledger(spark, out)))
+    ING.run_ingest(spark, _folder(spark, a=BATCH), out, buckets=4)  # not kept yet
+    more = _folder(spark, b=[_row("t5", amount="2.5"), _row("t6", account="a2"), _row("t7", date="2024-03-03")])
+    with monkeypatch.context() as m:
+        m.setattr(daily, "refresh", lambda *a: (_ for _ in ()).throw(Killed()))
+        with pytest.raises(Killed):
+            ING.run_ingest(spark, more, out, buckets=4, keep_daily=True)
+    ING.run_ingest(spark, more, out, buckets=4, keep_daily=True)
+    assert same() and len(_days(daily.read(spark, out))) == 4
+    led = LG.read_ledger(spark, out)
+    LG.ledger_append(led.withColumn("transaction_id", F.concat("transaction_id", F.lit("x"))), led, out)
+    assert same()
+    rewrite.delete_tx(spark, out, LG.read_ledger(spark, out).where("transaction_id in ('t1', 't7', 't7x')"))
+    assert same()
+    rewrite.retention_purge(spark, out, "2024-02-10", 20)
+    assert same() and [n for n in files.children(spark, f"{out}/_daily") if n.startswith("txn")] == ["txn_month=2024-02"]
+    rewrite.retention_purge(spark, out, "2025-02-10", 20)
+    assert daily.read(spark, out).count() == 0
+
+
+def test_reports_from_the_daily_table(spark):
+    led, acc = tv.transactions(spark, SF001), tv.accounts(spark, SF001)
+    path = LG.write_snapshot(led, scratch_path(spark, "t-daily-reports"))
+    daily.ensure(spark, path)
+    days = daily.read(spark, path)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for report in (A.daily_cashflow, A.weekly_cashflow, A.daily_net, lambda x: A.cashflow_volatility(x, acc)):
+        assert rows(report(daily.as_ledger(days))) == rows(report(led))
+    models = acc.limit(3).select("account_id", F.lit("2024-01-01").alias("trained_at"))
+    assert rows(J.model_status(acc, models, counts=daily.history_counts(days))) == rows(J.model_status(acc, models, led))

@@ -11,7 +11,9 @@ from tally.operators import joins as J
 from tally.operators import listing as LS
 from tally.operators import maintain as K
 from tally.sources import csv as CSV
+from tally.sources import export as EX
 from tally.sources import testviews as tv
+from tally.session import scratch_path
 from tests.conftest import SF001
 
 
@@ -144,3 +146,34 @@ def test_strict_load_raises_on_bad_values(spark):
     for bad in (good[:4] + ("12,5",) + good[5:], good[:7] + ("01/01/2025",) + good[8:]):
         with pytest.raises(Exception):
             strict_load(spark.createDataFrame([bad], cols)).collect()
+
+
+def test_json_documents(spark):
+    """Joined by part the documents are the ledger, newest first; parts are bounded; a hot account spans tasks."""
+    import json
+    led = tv.transactions(spark, SF001)
+    hot = led.withColumn("account_id", F.when(F.col("account_id") < "5", "hot").otherwise(F.col("account_id")))
+    accounts = spark.createDataFrame([("none",), ("hot",)], "account_id string")
+    docs = [(r.account_id, r.part, json.loads(r.document)) for r in
+            EX.json_documents(hot, "2025-06-30", part_rows=50, accounts=accounts).orderBy("account_id", "part").collect()]
+    want = {}
+    for r in hot.collect():
+        want.setdefault(r.account_id, []).append((r.transaction_date.isoformat(), r.transaction_id))
+    joined = {}
+    for account, part, d in docs:
+        rows = [(t["transaction_date"], t["transaction_id"]) for t in d["transactions"]]
+        assert d["account_id"] == account and d["part"] == part and d["export_date"] == "2025-06-30" and len(rows) <= 50
+        assert d["transaction_count"] == len(want.get(account, []))
+        assert d["parts"] == sum(a == account for a, *_ in docs)
+        assert part == 1 or rows
+        joined.setdefault(account, []).extend(rows)
+    newest = lambda rows: sorted(sorted(rows, key=lambda x: x[1]), key=lambda x: x[0], reverse=True)
+    assert joined == {**{a: newest(rows) for a, rows in want.items()}, "none": []}
+    assert max(p for a, p, _ in docs if a == "hot") >= len(want["hot"]) // 50
+    path = scratch_path(spark, "t-documents")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # this small, one task would do
+    try:
+        EX.export_json_documents(hot, path, "2025-06-30", part_rows=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.text(path).where("account_id = 'hot'").select(F.input_file_name()).distinct().count() > 1
