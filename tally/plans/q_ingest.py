@@ -266,6 +266,22 @@ def import_report(spark, d):
     return A.import_report(_imported(spark, d).withColumn("batch_id", F.lit("upload")))
 
 
+@register("import_errors", "D12 K2", with_views(f"""
+WITH s AS ({_IMPORT_STATUS_SQL}),
+b AS (SELECT s.transaction_id, concat_ws(',', CASE WHEN s.amount IS NULL THEN 'amount_invalid' END,
+        CASE WHEN u.direction NOT IN ('inflow', 'outflow') THEN 'direction_invalid' END) AS codes
+      FROM s JOIN ({_upload_sql()}) u ON u.transaction_id = s.transaction_id WHERE s.status = 'error')
+SELECT transaction_id, CASE WHEN codes <> '' THEN codes ELSE 'transaction_id_of_other_account' END AS error FROM b""", "ledger"))
+def import_errors(spark, d):
+    """The (file, row, error) rows of an import, each brought back to its line by file and row number."""
+    path = scratch_path(spark, "upload")
+    CSV.write_csv(_upload_rows(spark, d), path)
+    rows = CSV.stage_csv(spark, path, scratch_path(spark, "upload-staged"))
+    errors = K.import_errors(K.import_csv(rows, _led(spark, d), mode="upload", as_of_ts="2025-06-30 12:00:00"))
+    lines = rows.select("transaction_id", F.col("_file").alias("file"), (F.col("_row") + 2).alias("row"))
+    return errors.join(lines, ["file", "row"]).select("transaction_id", "error")
+
+
 @register("import_row_numbers", "K2", None)
 def import_row_numbers(spark, d):
     """Error rows with their CSV row number (index + 2); file order is the

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from tests.conftest import SF01
 from tools.plan_report import summarize
 
-SIDE_EFFECT = {"ingest_run", "stream_ingest", "log_scan_query", "import_csv", "import_report",
+SIDE_EFFECT = {"ingest_run", "stream_ingest", "log_scan_query", "import_csv", "import_report", "import_errors",
                "import_row_numbers", "import_csv_id_mode", "export_csv", "export_json", "export_json_rows", "labeled_scan", "import_row_facts",
                "train_text_model", "categorize_model", "ingest_sinks", "ingest_gate", "daily_maintained", "retrain_from_daily",
                "update_months", "delete_months", "purge_months", "fill_months", "export_json_documents"}
