@@ -143,3 +143,21 @@ def retrain_text_model(labelled: DataFrame, path: str, **kw) -> PipelineModel:
     model = train_text_model(check_labels(labelled, require_known=True), **kw)
     model.write().overwrite().save(path)
     return model
+
+
+def record_text_model(model: PipelineModel, path: str, version: int) -> None:
+    """Save a version beside the earlier ones; it counts once its mark is set."""
+    spark, place = SparkSession.active(), f"{path}/version={version}"
+    files.remove(spark, f"{place}/_done")
+    model.write().overwrite().save(f"{place}/model")
+    files.touch(spark, f"{place}/_done")
+
+
+def text_model_as_of(path: str, version: int | None = None) -> PipelineModel:
+    """I7 for versions: the last complete one up to ``version`` (None: of all)."""
+    spark = SparkSession.active()
+    held = [int(n.split("=", 1)[1]) for n in files.children(spark, path) if n.startswith("version=")]
+    for v in sorted((v for v in held if version is None or v <= version), reverse=True):
+        if files.exists(spark, f"{path}/version={v}/_done"):
+            return load_model(f"{path}/version={v}/model")
+    raise ModelNotFoundError(f"No categorizer at {path}" + ("" if version is None else f" up to {version}"))

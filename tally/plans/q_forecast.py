@@ -12,6 +12,7 @@ from tally.plans.sqlviews import with_views
 from tally.session import scratch_path
 from tally.sources import daily as DAILY
 from tally.sources import ledger as LG
+from tally.sources import models as MODELS
 from tally.sources import testviews as tv
 
 
@@ -305,3 +306,80 @@ SELECT account_id, ds, currency, yhat, yhat - half AS yhat_lower, yhat + half AS
 def predict_balance(spark, d):
     led, acc, as_of = _supp(spark, d)
     return FC.predict_balance(FC.future_dates(FC.fit_forecaster(FC.balance_series(led, acc, as_of)), 7))
+
+
+#: Two trainings, a removal between them: the dates of the version queries.
+_FIRST, _GONE, _SECOND = "1999-12-31", "2000-06-30", "2001-07-31"
+_GONE_SQL = "SELECT account_id FROM order_accounts WHERE account_id LIKE '%-MACHINERY'"
+
+
+def _model_at(day: str) -> str:
+    """Models trained at a date from the ledger up to it, for DuckDB."""
+    until = f"(SELECT * FROM order_ledger WHERE transaction_date <= DATE '{day}')"
+    return f"(WITH {_fc_ctes(until, 'order_accounts', f'DATE {chr(39)}{day}{chr(39)}')} SELECT * FROM model)"
+
+
+_IN_FORCE_SQL = f"""
+second AS {_model_at(_SECOND)},
+first AS {_model_at(_FIRST)},
+force AS (
+  SELECT DATE '{_FIRST}' AS as_at, DATE '{_FIRST}' AS trained, * FROM first
+  UNION ALL SELECT DATE '{_GONE}', DATE '{_FIRST}', * FROM first WHERE account_id NOT IN ({_GONE_SQL})
+  UNION ALL SELECT DATE '{_SECOND}', DATE '{_SECOND}', * FROM second
+  UNION ALL SELECT DATE '{_SECOND}', DATE '{_FIRST}', * FROM first
+            WHERE account_id NOT IN ({_GONE_SQL}) AND account_id NOT IN (SELECT account_id FROM second))"""
+
+
+def _versions(spark, d):
+    """A model store: a training, a removal, a second training."""
+    led, acc = tv.order_ledger(spark, d), tv.order_accounts(spark, d)
+    path = scratch_path(spark, "model-versions")
+    for day in (_FIRST, _SECOND):
+        at = F.lit(day).cast("date")
+        MODELS.record(FC.retrain_all(led.where(F.col("transaction_date") <= at), acc, at, at.cast("timestamp_ntz")), path, day)
+    MODELS.forget(acc.where(F.col("account_id").endswith("-MACHINERY")), path, _GONE)
+    return led, acc, path
+
+
+@register("model_versions", "J8 J11 I7", with_views(f"""WITH {_IN_FORCE_SQL}
+SELECT as_at, account_id, lookback_years, n_days, intercept, slope, sigma, CAST(trained AS TIMESTAMP) AS trained_at
+FROM force""", "order_ledger", "order_accounts"))
+def model_versions(spark, d):
+    """The forecasters in force at three dates, from an append-only store."""
+    _, _, path = _versions(spark, d)
+    parts = [MODELS.as_of(spark, path, day).withColumn("as_at", F.lit(day).cast("date")) for day in (_FIRST, _GONE, _SECOND)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(
+        "as_at", "account_id", "lookback_years", "n_days", "intercept", "slope", "sigma", "trained_at")
+
+
+@register("model_status_versions", "C6 J11", with_views(f"""WITH {_IN_FORCE_SQL},
+days(as_at) AS (VALUES (DATE '{_FIRST}'), (DATE '{_GONE}'), (DATE '{_SECOND}')),
+counts AS (SELECT as_at, account_id, count(*) AS rows_held, count(DISTINCT transaction_date) AS days_held
+           FROM days JOIN order_ledger ON transaction_date <= as_at GROUP BY ALL)
+SELECT d.as_at, a.account_id, a.user_id, CASE WHEN f.account_id IS NULL THEN 'missing' ELSE 'trained' END AS status,
+       CAST(f.trained AS TIMESTAMP) AS trained_at, coalesce(rows_held, 0) AS days_history,
+       coalesce(days_held, 0) AS distinct_days,
+       CASE WHEN f.account_id IS NULL THEN 'Model not trained yet' END AS last_error
+FROM days d CROSS JOIN order_accounts a
+LEFT JOIN force f ON f.as_at = d.as_at AND f.account_id = a.account_id
+LEFT JOIN counts c ON c.as_at = d.as_at AND c.account_id = a.account_id""", "order_ledger", "order_accounts"))
+def model_status_versions(spark, d):
+    led, acc, path = _versions(spark, d)
+    parts = [MODELS.status(spark, path, acc, led, day).withColumn("as_at", F.lit(day).cast("date"))
+             for day in (_FIRST, _GONE, _SECOND)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("lazy_fit_versions", "J10", with_views(f"""WITH first AS {_model_at(_FIRST)},
+again AS {_model_at(_GONE)}
+SELECT account_id, n_days, intercept, slope, sigma, TIMESTAMP '{_FIRST}' AS trained_at FROM first
+WHERE account_id NOT IN ({_GONE_SQL})
+UNION ALL SELECT account_id, n_days, intercept, slope, sigma, TIMESTAMP '{_GONE} 12:00:00' FROM again
+WHERE account_id NOT IN (SELECT account_id FROM first WHERE account_id NOT IN ({_GONE_SQL}))""",
+                                          "order_ledger", "order_accounts"))
+def lazy_fit_versions(spark, d):
+    """All accounts requested at noon of the day some models were removed:
+    these are fitted anew from the ledger up to then, the others are as stored."""
+    led, acc, path = _versions(spark, d)
+    got = MODELS.lazy_fit(spark, acc, path, led, acc, f"{_GONE} 12:00:00")
+    return got.select("account_id", "n_days", "intercept", "slope", "sigma", "trained_at")

@@ -13,6 +13,7 @@ from tally.plans.sqlviews import with_views
 from tally.schema import LISTING_COLUMNS
 from tally.session import scratch_path
 from tally.sources import logs as LG
+from tally.sources import logstore as LOGSTORE
 from tally.sources import testviews as tv
 
 _COLS = ", ".join(LISTING_COLUMNS)
@@ -247,3 +248,29 @@ def log_scan(spark, d):
     blank = flat.where(F.col("level") == "CLICK").select(F.lit("").alias("value"))
     LG.to_log_lines(flat).unionByName(broken).unionByName(blank).write.text(path)
     return LG.read_log(spark, path)
+
+
+def _log_store(spark, d):
+    """The log as a stored table, by two batches of files; one is added twice."""
+    flat, path = tv.log_events(spark, d), scratch_path(spark, "log-store")
+    some = F.col("level").isin("ERROR", "VIEW")
+    for batch, rows in (("a", flat.where(some)), ("b", flat.where(~some)), ("a", flat.where(some))):
+        source = scratch_path(spark, f"log-{batch}")
+        LG.to_log_lines(rows).write.text(source)
+        LOGSTORE.add_files(spark, source, path, batch)
+    return path
+
+
+@register("log_store_query", "A3 F2", with_views("""
+SELECT ts, level, message, account_id, user_id FROM log
+WHERE level = 'ERROR' AND CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'
+ORDER BY ts DESC, message DESC LIMIT 500""", "log"))
+def log_store_query(spark, d):
+    """F2 on the stored log: the days in range only, newest first."""
+    return LOGSTORE.query(spark, _log_store(spark, d), start="2024-01-05", end="2024-01-12", level="error", limit=500)
+
+
+@register("log_store_total", "A3 F2", with_views("""
+SELECT count(*) AS total FROM log WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-12'""", "log"))
+def log_store_total(spark, d):
+    return LOGSTORE.total(spark, _log_store(spark, d), start="2024-01-05", end="2024-01-12")

@@ -11,7 +11,9 @@ from tools.plan_report import summarize
 SIDE_EFFECT = {"ingest_run", "stream_ingest", "log_scan_query", "import_csv", "import_report", "import_errors",
                "import_row_numbers", "import_csv_id_mode", "export_csv", "export_json", "export_json_rows", "labeled_scan", "import_row_facts",
                "train_text_model", "categorize_model", "ingest_sinks", "ingest_gate", "daily_maintained", "retrain_from_daily",
-               "update_months", "delete_months", "purge_months", "fill_months", "export_json_documents"}
+               "update_months", "delete_months", "purge_months", "fill_months", "export_json_documents",
+               "log_store_query", "log_store_total", "model_versions", "model_status_versions", "lazy_fit_versions",
+               "train_tree_model", "text_model_contract", "categorize_contract"}
 
 
 def _plan(spark, name):
