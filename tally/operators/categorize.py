@@ -8,8 +8,8 @@ is a projection, so categorizing a ledger is a single pass.
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, IndexToString, RegexTokenizer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from tally.errors import ModelNotFoundError, ValidationError
 from tally.functions.constraints import label_constraints
 from tally.functions.text import NORM_COL, rule_category, rule_category_col, with_normalized
 from tally.schema import FALLBACK_CONFIDENCE, RULE_CONFIDENCE
+from tally.session import checkpoint_root
 from tally.sources import files
 
 MODEL_INPUT = "_model_text"
@@ -82,6 +83,25 @@ def check_labels(labelled: DataFrame, require_known: bool = False) -> DataFrame:
                        F.col("category").cast("string").alias("category"))
 
 
+def _fit(labelled: DataFrame, features) -> PipelineModel:
+    """Tokens, then the stages that ``features`` gives for a number of labels."""
+    rows = check_labels(labelled).withColumn(MODEL_INPUT, F.col("description"))
+    idx_model = StringIndexer(inputCol="category", outputCol="_label", handleInvalid="skip").fit(rows)
+    tokens = RegexTokenizer(inputCol=MODEL_INPUT, outputCol="_tokens", pattern=r"\W+", minTokenLength=1)
+    each = {f"_is{i}": (F.col("_label") == i).cast("double") for i in range(len(idx_model.labels))}
+    fitted = Pipeline(stages=[tokens, *features(len(each))]).fit(idx_model.transform(rows).withColumns(each))
+    # The scoring model has no label stage: it never reads (or filters on)
+    # an existing category column.
+    return PipelineModel(stages=[*fitted.stages,
+                                 IndexToString(inputCol="_pred", outputCol="model_category",
+                                               labels=idx_model.labels)])
+
+
+def _regression(max_iter: int, reg: float) -> LogisticRegression:
+    return LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol="_pred", probabilityCol="_prob",
+                              rawPredictionCol="_raw", family="multinomial", maxIter=max_iter, regParam=reg)
+
+
 def train_text_model(labelled: DataFrame, max_iter: int = 50, reg: float = 0.01) -> PipelineModel:
     """Multiclass text classifier description -> category.
 
@@ -89,23 +109,36 @@ def train_text_model(labelled: DataFrame, max_iter: int = 50, reg: float = 0.01)
     -> label back to string.  Training is distributed (tree-aggregated
     gradients); no data is collected.
     """
-    rows = check_labels(labelled).withColumn(MODEL_INPUT, F.col("description"))
-    idx_model = StringIndexer(inputCol="category", outputCol="_label", handleInvalid="skip").fit(rows)
-    train = idx_model.transform(rows)
-    features = [
-        RegexTokenizer(inputCol=MODEL_INPUT, outputCol="_tokens", pattern=r"\W+", minTokenLength=1),
+    return _fit(labelled, lambda labels: [
         HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=HASH_FEATURES),
         IDF(inputCol="_tf", outputCol="_features"),
-        LogisticRegression(featuresCol="_features", labelCol="_label", predictionCol="_pred",
-                           probabilityCol="_prob", rawPredictionCol="_raw",
-                           family="multinomial", maxIter=max_iter, regParam=reg),
-    ]
-    fitted = Pipeline(stages=features).fit(train)
-    # The scoring model has no label stage: it never reads (or filters on)
-    # an existing category column.
-    return PipelineModel(stages=[*fitted.stages,
-                                 IndexToString(inputCol="_pred", outputCol="model_category",
-                                               labels=idx_model.labels)])
+        _regression(max_iter, reg),
+    ])
+
+
+def train_tree_model(labelled: DataFrame, terms: int = 512, rounds: int = 20, depth: int = 5, step: float = 0.3,
+                     seed: int = 7) -> PipelineModel:
+    """I2 by boosted trees: which of the ``terms`` commonest words a text has
+    -> per category, ``rounds`` trees against the rest -> a regression over
+    the margins picks the category.
+
+    Trees see words together (a word that means one thing beside a second word
+    and another without it), which the linear model cannot.  Split statistics
+    are aggregated per partition; the driver holds the vocabulary and the
+    trees, both bounded by the parameters.  Scoring stays in the JVM.  Boosting
+    cuts its lineage in the checkpoint folder.
+    """
+    checkpoint_root(labelled.sparkSession)
+
+    def stages(labels: int) -> list:
+        boosters = [GBTClassifier(featuresCol="_words", labelCol=f"_is{i}", predictionCol=f"_pred{i}", maxIter=rounds,
+                                  maxDepth=depth, stepSize=step, seed=seed, checkpointInterval=10)
+                    .setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_margin{i}") for i in range(labels)]
+        margins = VectorAssembler(inputCols=[f"_margin{i}" for i in range(labels)], outputCol="_features")
+        return [CountVectorizer(inputCol="_tokens", outputCol="_words", vocabSize=terms, binary=True), *boosters, margins,
+                _regression(max_iter=50, reg=0.001)]
+
+    return _fit(labelled, stages)
 
 
 def model_classes(model: PipelineModel) -> list[str]:
@@ -138,9 +171,10 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def retrain_text_model(labelled: DataFrame, path: str, **kw) -> PipelineModel:
-    """I8: explicit retrain on checked labels, then save (overwrite)."""
-    model = train_text_model(check_labels(labelled, require_known=True), **kw)
+def retrain_text_model(labelled: DataFrame, path: str, train=train_text_model, **kw) -> PipelineModel:
+    """I8: explicit retrain on checked labels (``train``: the linear model or
+    ``train_tree_model``), then save (overwrite)."""
+    model = train(check_labels(labelled, require_known=True), **kw)
     model.write().overwrite().save(path)
     return model
 
