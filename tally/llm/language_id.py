@@ -25,6 +25,8 @@ from tally.llm.common import fold, slices
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Parts of a language among which its sample is picked first.
+SALTS = 256
 _BLANKED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -39,23 +41,33 @@ def sample(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     smallest hashes of id and text, so that a large group of copies gets its
     share of the sample and no more.  This is the bounded sample of labelled
     rows; what reaches the driver is bounded by these parameters times the
-    number of languages.
+    number of languages.  A language whose texts are all longer is not learned.
+
+    The rows are picked by their hashes alone, within ``SALTS`` parts of each
+    language and then among those left, so no task holds more than
+    ``SALTS * docs_per_language`` numbers of a language, however many rows or
+    partitions it has; only then are the picked texts read.
     """
     rows = labelled.select(F.col(id_col).cast("bigint").alias("id"), F.col(lang_col).alias("lang"),
                            F.col(text_col).alias("text")).where(
         "lang is not null and text is not null and length(text) between 1 and " + str(int(max_chars)))
     rows = rows.select("lang", "text", F.xxhash64("id", "text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_language)
+    picked = rows.select("lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("h"))
+        picked = picked.withColumn("n", nth).where(F.col("n") <= docs_per_language).drop("n")
+    # the picks are at most docs_per_language a language; copies of a row share a hash
+    texts = rows.join(F.broadcast(picked.select("lang", "h").distinct()), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(
+        F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["n"])):
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"])):
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
 def build_dictionaries(texts: dict[str, list[str]], dict_bytes: int = 65_536) -> dict[str, bytes]:
     """Raw dictionary content of each language: its sample texts in lower
-    case, every other one if the sample is larger than ``dict_bytes``."""
+    case, in the sample's order, each that still fits into ``dict_bytes``."""
     out = {}
     for lang, rows in texts.items():
         parts, size = [], 0

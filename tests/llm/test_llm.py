@@ -139,6 +139,19 @@ def test_no_record_is_broadcast(spark, docs):
 
 # ------------------------------------------------------------ language ID
 
+def test_language_sample_is_that_of_least_hashes(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text", "lang")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0"))  # repeated rows
+    rows = docs.where("lang is not null and length(text) between 1 and 900").select(
+        "lang", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    want = {}
+    for r in sorted(rows, key=lambda r: r.h):
+        want.setdefault(r.lang, []).append(r.text)
+    got = language_id.sample(docs, docs_per_language=9, max_chars=900)
+    assert {k: list(dict.fromkeys(v)) for k, v in got.items()} == {k: list(dict.fromkeys(v[:9])) for k, v in want.items()}
+    assert all(len(v) <= 9 for v in got.values())
+
+
 def test_language_id(spark, docs, rows, none):
     got = [r for r in queries.op3_language_id(spark, SF001).collect()]
     real = {r.doc_id: r.lang for r in documents(spark, SF001).collect()}
