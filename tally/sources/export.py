@@ -15,19 +15,24 @@ from tally.schema import LISTING_COLUMNS
 from tally.sources.ledger import staged
 
 
-def export_frame(ledger: DataFrame, account_ids=None, start=None, end=None) -> DataFrame:
-    """A6 frame: the 8 listing columns, optional accounts and date range,
-    newest first."""
+def _export_rows(ledger: DataFrame, account_ids=None, start=None, end=None) -> DataFrame:
+    """The rows of ``export_frame`` in no order, for writers that order them by account."""
     f = date_range(ledger, start, end)
     if account_ids is not None:
         f = f.where(F.col("account_id").isin(*account_ids))
-    return f.select(*LISTING_COLUMNS).orderBy(F.col("transaction_date").desc(), "transaction_id")
+    return f.select(*LISTING_COLUMNS)
+
+
+def export_frame(ledger: DataFrame, account_ids=None, start=None, end=None) -> DataFrame:
+    """A6 frame: the 8 listing columns, optional accounts and date range,
+    newest first."""
+    return _export_rows(ledger, account_ids, start, end).orderBy(F.col("transaction_date").desc(), "transaction_id")
 
 
 def export_csv(ledger: DataFrame, path: str, **kw) -> None:
     """CSV with a header, one directory per account; files of an
     account hold rows newest first."""
-    f = export_frame(ledger, **kw)
+    f = _export_rows(ledger, **kw)
     # Range partitioning splits a large account over several tasks; part
     # files of an account cover consecutive date ranges, newest first.
     (f.repartitionByRange("account_id", F.col("transaction_date").desc(), "transaction_id")
@@ -39,22 +44,28 @@ def export_csv(ledger: DataFrame, path: str, **kw) -> None:
 def export_json_header(ledger: DataFrame, export_date, **kw) -> DataFrame:
     """A7 envelope without the rows: account_id, export_date,
     transaction_count (a partial-aggregated count)."""
-    f = export_frame(ledger, **kw)
+    f = _export_rows(ledger, **kw)
     return f.groupBy("account_id").agg(F.count(F.lit(1)).alias("transaction_count")).select(
         "account_id", F.lit(export_date).cast("date").alias("export_date"), "transaction_count")
 
 
-def export_json(ledger: DataFrame, path: str, export_date, **kw) -> None:
-    """Per account a header line then its transactions, as JSON lines."""
+def json_lines(ledger: DataFrame, export_date, **kw) -> DataFrame:
+    """A7 as lines: ``account_id, value``, per account a header line, then its
+    transactions newest first.  One shuffle brings the rows into this order."""
     head = export_json_header(ledger, export_date, **kw).select(
         "account_id", F.to_json(F.struct("account_id", "export_date", "transaction_count")).alias("value"),
         F.lit(0).alias("_part"), F.lit(None).cast("date").alias("_d"), F.lit(None).cast("string").alias("_id"))
-    f = export_frame(ledger, **kw)
+    f = _export_rows(ledger, **kw)
     rows = f.select("account_id", F.to_json(F.struct(*LISTING_COLUMNS)).alias("value"), F.lit(1).alias("_part"),
                     F.col("transaction_date").alias("_d"), F.col("transaction_id").alias("_id"))
     order = ["account_id", "_part", F.col("_d").desc(), "_id"]
-    (head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order)
-     .drop("_part", "_d", "_id").write.partitionBy("account_id").text(path))
+    return (head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+            .drop("_part", "_d", "_id"))
+
+
+def export_json(ledger: DataFrame, path: str, export_date, **kw) -> None:
+    """Per account a header line then its transactions, as JSON lines."""
+    json_lines(ledger, export_date, **kw).write.partitionBy("account_id").text(path)
 
 
 def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, accounts: DataFrame | None = None, **kw) -> DataFrame:
@@ -69,7 +80,7 @@ def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, acco
     document with an empty array.  Empty text fields stay, null ones are left out.
     """
     order = ["account_id", F.col("transaction_date").desc(), "transaction_id"]
-    placed = staged(export_frame(ledger, **kw).repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+    placed = staged(_export_rows(ledger, **kw).repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
         {"_at": F.monotonically_increasing_id()}), "export")
     run = F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / part_rows)  # the low 33 bits count a task's rows
     key = F.shiftright("_at", 33) * (1 << 33) + run
