@@ -47,11 +47,14 @@ def classify_batch(batch: DataFrame, ledger: DataFrame, key_mode: str = "account
     they match nothing and spread over the joins' partitions.
     """
     has_id = _nonempty("transaction_id").isNotNull()
-    b = batch.withColumn("_key", F.when(has_id, F.col("transaction_id")).otherwise(
-        F.concat(F.lit("\0"), F.col(order).cast("string"))))
+    # the last one makes the key not nullable: Spark then adds no filter on it, which would write out all of its terms at the scan
+    b = batch.withColumn("_key", F.coalesce(
+        _nonempty("transaction_id"), F.concat(F.lit("\0"), F.col(order).cast("string")), F.lit("\0")))
     account = F.xxhash64("account_id")
-    win = (b.where(F.col("_valid") & has_id).groupBy("_key")
-           .agg(F.min(order).alias("_first"), F.min_by(account, F.col(order)).alias("_first_account")))
+    # a condition in the aggregate: a filter would be pushed down to the scan with every check and id written out again
+    at = F.when(F.col("_valid") & has_id, F.col(order))
+    win = (b.groupBy("_key").agg(F.min(at).alias("_first"), F.min_by(account, at).alias("_first_account"))
+           .where(F.col("_first").isNotNull()))
     held = ledger.select(F.col("transaction_id").alias("_key"), F.col("account_id").alias("_held_by"))
     b = b.join(win, "_key", "left").join(held, "_key", "left")
     by_account = key_mode == "account"
