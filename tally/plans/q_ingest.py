@@ -710,8 +710,9 @@ def export_csv(spark, d):
     led = _led(spark, d)
     path = scratch_path(spark, "export-csv")
     EX.export_csv(led, path, start="2000-01-01")
-    back = spark.read.option("header", True).option("escape", '"').csv(path)
     types = dict(led.dtypes)
+    cells = ", ".join(f"{c} string" for c in [*(c for c in LISTING_COLUMNS if c != "account_id"), "account_id"])
+    back = spark.read.schema(cells).option("header", True).option("escape", '"').csv(path)  # no look at each file for its columns
     back = back.withColumn("description", F.coalesce("description", F.lit("")))
     return back.select(*[F.col(c).cast(types[c]).alias(c) for c in LISTING_COLUMNS])
 
