@@ -19,6 +19,7 @@ from tally.functions.text import NORM_COL, rule_category, rule_category_col, wit
 from tally.schema import FALLBACK_CONFIDENCE, RULE_CONFIDENCE
 from tally.session import checkpoint_root
 from tally.sources import files
+from tally.sources.ledger import staged
 
 MODEL_INPUT = "_model_text"
 HASH_FEATURES = 1 << 16
@@ -83,16 +84,18 @@ def check_labels(labelled: DataFrame, require_known: bool = False) -> DataFrame:
                        F.col("category").cast("string").alias("category"))
 
 
-def _fit(labelled: DataFrame, features) -> PipelineModel:
-    """Tokens, then the stages that ``features`` gives for a number of labels."""
+def _fit(labelled: DataFrame, counter, learn) -> PipelineModel:
+    """Tokens counted by ``counter``, then the fitted stages that ``learn``
+    gives for the counts and a number of labels.  The counts are staged: every
+    pass of the learning reads them, none cuts the texts again."""
     rows = check_labels(labelled).withColumn(MODEL_INPUT, F.col("description"))
     idx_model = StringIndexer(inputCol="category", outputCol="_label", handleInvalid="skip").fit(rows)
     tokens = RegexTokenizer(inputCol=MODEL_INPUT, outputCol="_tokens", pattern=r"\W+", minTokenLength=1)
-    each = {f"_is{i}": (F.col("_label") == i).cast("double") for i in range(len(idx_model.labels))}
-    fitted = Pipeline(stages=[tokens, *features(len(each))]).fit(idx_model.transform(rows).withColumns(each))
+    counting = Pipeline(stages=[tokens, counter]).fit(rows)
+    counts = staged(counting.transform(idx_model.transform(rows)).select("_label", counter.getOutputCol()), "counts")
     # The scoring model has no label stage: it never reads (or filters on)
     # an existing category column.
-    return PipelineModel(stages=[*fitted.stages,
+    return PipelineModel(stages=[*counting.stages, *learn(counts, len(idx_model.labels)),
                                  IndexToString(inputCol="_pred", outputCol="model_category",
                                                labels=idx_model.labels)])
 
@@ -109,11 +112,9 @@ def train_text_model(labelled: DataFrame, max_iter: int = 50, reg: float = 0.01)
     -> label back to string.  Training is distributed (tree-aggregated
     gradients); no data is collected.
     """
-    return _fit(labelled, lambda labels: [
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=HASH_FEATURES),
-        IDF(inputCol="_tf", outputCol="_features"),
-        _regression(max_iter, reg),
-    ])
+    learn = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_features"), _regression(max_iter, reg)])
+    return _fit(labelled, HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=HASH_FEATURES),
+                lambda counts, labels: learn.fit(counts).stages)
 
 
 def train_tree_model(labelled: DataFrame, terms: int = 512, rounds: int = 20, depth: int = 5, step: float = 0.3,
@@ -130,15 +131,16 @@ def train_tree_model(labelled: DataFrame, terms: int = 512, rounds: int = 20, de
     """
     checkpoint_root(labelled.sparkSession)
 
-    def stages(labels: int) -> list:
+    def learn(counts: DataFrame, labels: int) -> list:
         boosters = [GBTClassifier(featuresCol="_words", labelCol=f"_is{i}", predictionCol=f"_pred{i}", maxIter=rounds,
                                   maxDepth=depth, stepSize=step, seed=seed, checkpointInterval=10)
-                    .setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_margin{i}") for i in range(labels)]
+                    .setProbabilityCol(f"_prob{i}").setRawPredictionCol(f"_margin{i}")
+                    .fit(counts.withColumn(f"_is{i}", (F.col("_label") == i).cast("double"))) for i in range(labels)]
         margins = VectorAssembler(inputCols=[f"_margin{i}" for i in range(labels)], outputCol="_features")
-        return [CountVectorizer(inputCol="_tokens", outputCol="_words", vocabSize=terms, binary=True), *boosters, margins,
-                _regression(max_iter=50, reg=0.001)]
+        scored = staged(PipelineModel(stages=[*boosters, margins]).transform(counts).select("_label", "_features"), "margins")
+        return [*boosters, margins, _regression(max_iter=50, reg=0.001).fit(scored)]
 
-    return _fit(labelled, stages)
+    return _fit(labelled, CountVectorizer(inputCol="_tokens", outputCol="_words", vocabSize=terms, binary=True), learn)
 
 
 def model_classes(model: PipelineModel) -> list[str]:
