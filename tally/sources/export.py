@@ -76,25 +76,30 @@ def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, acco
 
     Rows are dealt to tasks by ranges of (account, date, id), so a hot account
     spans several, and staged with their places; a run of a task's rows of one
-    account is a part.  With ``accounts``, those without a transaction have a
-    document with an empty array.  Empty text fields stay, null ones are left out.
+    account is a part.  The rows of an account and task are brought together by
+    one shuffle, in which the documents stay.  With ``accounts``, those without
+    a transaction have a document with an empty array.  Empty text fields stay,
+    null ones are left out.
     """
     order = ["account_id", F.col("transaction_date").desc(), "transaction_id"]
     placed = staged(_export_rows(ledger, **kw).repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
         {"_at": F.monotonically_increasing_id()}), "export")
-    run = F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / part_rows)  # the low 33 bits count a task's rows
-    key = F.shiftright("_at", 33) * (1 << 33) + run
-    parts = placed.withColumn("_run", key).groupBy("account_id", "_run").agg(
+    placed = placed.withColumns({"_task": F.shiftright("_at", 33),  # the low 33 bits count a task's rows
+                                 "_run": F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / part_rows)})
+    spans = placed.groupBy("account_id", "_task").agg(
+        F.min("_run").alias("_first"), (F.max("_run") - F.min("_run") + 1).alias("_parts"), F.count(F.lit(1)).alias("_n"))
+    every = Window.partitionBy("account_id")  # one narrow row an account and task
+    before = every.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = spans.select("account_id", "_task", (F.coalesce(F.sum("_parts").over(before), F.lit(0)) - F.col("_first") + 1).alias("_from"),
+                            F.sum("_parts").over(every).alias("parts"), F.sum("_n").over(every).alias("transaction_count"))
+    runs = placed.repartition("account_id", "_task").groupBy("account_id", "_task", "_run").agg(
         F.array_sort(F.collect_list(F.struct("_at", F.struct(*LISTING_COLUMNS).alias("row")))).alias("rows"))
-    sizes = placed.groupBy("account_id", key.alias("_run")).agg(F.count(F.lit(1)).alias("_n"))
-    every = Window.partitionBy("account_id")  # one narrow row a part
-    numbered = sizes.select("account_id", "_run", F.row_number().over(every.orderBy("_run")).alias("part"),
-                            F.count(F.lit(1)).over(every).alias("parts"), F.sum("_n").over(every).alias("transaction_count"))
-    whole = parts.join(numbered, ["account_id", "_run"]).select(
-        "account_id", "part", "parts", "transaction_count", F.col("rows.row").alias("transactions"))
+    whole = runs.join(numbered, ["account_id", "_task"]).select(
+        "account_id", (F.col("_from") + F.col("_run")).cast("int").alias("part"), "parts", "transaction_count",
+        F.col("rows.row").alias("transactions"))
     if accounts is not None:
         kind = whole.schema["transactions"].dataType.simpleString()
-        whole = whole.unionByName(accounts.select("account_id").distinct().join(sizes, "account_id", "left_anti").select(
+        whole = whole.unionByName(accounts.select("account_id").distinct().join(spans, "account_id", "left_anti").select(
             "account_id", F.lit(1).alias("part"), F.lit(1).cast("bigint").alias("parts"), F.lit(0).cast("bigint").alias("transaction_count"),
             F.array().cast(kind).alias("transactions")))
     return whole.select("account_id", "part", F.to_json(F.struct(
@@ -104,6 +109,6 @@ def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, acco
 
 def export_json_documents(ledger: DataFrame, path: str, export_date, **kw) -> None:
     """The documents as text, a line each, in a folder per account."""
-    docs = json_documents(ledger, export_date, **kw)
-    (docs.repartitionByRange("account_id", "part").sortWithinPartitions("account_id", "part")
+    docs = json_documents(ledger, export_date, **kw)  # an account's documents of one task are in one task: no shuffle of them
+    (docs.sortWithinPartitions("account_id", "part")
      .select("account_id", F.col("document").alias("value")).write.partitionBy("account_id").text(path))
