@@ -728,7 +728,7 @@ def export_json(spark, d):
 
 def _exported_json(spark, d, schema):
     path = scratch_path(spark, "export-json")
-    EX.export_json(_led(spark, d), path, "2025-06-30")
+    EX.export_json(_led(spark, d), path, "2025-06-30", compression="gzip")
     return spark.read.text(path).select(F.from_json("value", schema).alias("r")).select("r.*")
 
 

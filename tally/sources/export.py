@@ -7,7 +7,7 @@ streams out of many tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tally.operators.filters import date_range
@@ -15,6 +15,23 @@ from tally.schema import LISTING_COLUMNS
 from tally.sources.ledger import staged
 
 
+#: The folder to which Spark writes rows without a value of the partition column.
+_NO_ACCOUNT = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _folder() -> Column:
+    """The folder name of an account, never null: Spark then has no empty names
+    to replace at the writer, which would sort all lines a second time."""
+    return F.coalesce(F.when(F.col("account_id") != "", F.col("account_id")), F.lit(_NO_ACCOUNT))
+
+
+def _write_lines(lines: DataFrame, path: str, compression: str | None) -> None:
+    """``value`` as text, in a folder an account; ``lines`` come in the order of ``_folder``."""
+    (lines.select(F.col("_folder").alias("account_id"), "value")
+     .write.option("zlib.compress.level", "BEST_SPEED")  # of gzip; JSON shrinks to an eighth at any level
+     .partitionBy("account_id").text(path, compression=compression))
+
+
 def _export_rows(ledger: DataFrame, account_ids=None, start=None, end=None) -> DataFrame:
     """The rows of ``export_frame`` in no order, for writers that order them by account."""
     f = date_range(ledger, start, end)
@@ -49,23 +66,29 @@ def export_json_header(ledger: DataFrame, export_date, **kw) -> DataFrame:
         "account_id", F.lit(export_date).cast("date").alias("export_date"), "transaction_count")
 
 
+def _lines(ledger: DataFrame, export_date, **kw) -> DataFrame:
+    """``json_lines`` with the account's ``_folder``.  The typed rows are
+    shuffled, which are shorter than their JSON; a header has a
+    ``transaction_count`` and no other cell."""
+    head = export_json_header(ledger, export_date, **kw)
+    both = _export_rows(ledger, **kw).unionByName(head, allowMissingColumns=True).withColumn("_folder", _folder())
+    is_head = F.col("transaction_count").isNotNull()
+    order = ["_folder", "account_id", is_head.desc(), F.col("transaction_date").desc(), "transaction_id"]
+    return both.repartitionByRange(*order).sortWithinPartitions(*order).select(
+        "_folder", "account_id", F.when(is_head, F.to_json(F.struct("account_id", "export_date", "transaction_count")))
+        .otherwise(F.to_json(F.struct(*LISTING_COLUMNS))).alias("value"))
+
+
 def json_lines(ledger: DataFrame, export_date, **kw) -> DataFrame:
     """A7 as lines: ``account_id, value``, per account a header line, then its
     transactions newest first.  One shuffle brings the rows into this order."""
-    head = export_json_header(ledger, export_date, **kw).select(
-        "account_id", F.to_json(F.struct("account_id", "export_date", "transaction_count")).alias("value"),
-        F.lit(0).alias("_part"), F.lit(None).cast("date").alias("_d"), F.lit(None).cast("string").alias("_id"))
-    f = _export_rows(ledger, **kw)
-    rows = f.select("account_id", F.to_json(F.struct(*LISTING_COLUMNS)).alias("value"), F.lit(1).alias("_part"),
-                    F.col("transaction_date").alias("_d"), F.col("transaction_id").alias("_id"))
-    order = ["account_id", "_part", F.col("_d").desc(), "_id"]
-    return (head.unionByName(rows).repartitionByRange(*order).sortWithinPartitions(*order)
-            .drop("_part", "_d", "_id"))
+    return _lines(ledger, export_date, **kw).drop("_folder")
 
 
-def export_json(ledger: DataFrame, path: str, export_date, **kw) -> None:
-    """Per account a header line then its transactions, as JSON lines."""
-    json_lines(ledger, export_date, **kw).write.partitionBy("account_id").text(path)
+def export_json(ledger: DataFrame, path: str, export_date, compression: str | None = None, **kw) -> None:
+    """Per account a header line then its transactions, as JSON lines.
+    ``compression`` of the files (``gzip``): plain text unless given."""
+    _write_lines(_lines(ledger, export_date, **kw), path, compression)
 
 
 def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, accounts: DataFrame | None = None, **kw) -> DataFrame:
