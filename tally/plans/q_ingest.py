@@ -750,7 +750,7 @@ def export_json_documents(spark, d):
     transaction have an empty array."""
     led, path = _led(spark, d), scratch_path(spark, "export-documents")
     accounts = led.select("account_id").unionByName(tv.order_accounts(spark, d).select("account_id"))
-    EX.export_json_documents(led, path, "2025-06-30", part_rows=100, accounts=accounts)
+    EX.export_json_documents(led, path, "2025-06-30", compression="gzip", part_rows=100, accounts=accounts)
     types = dict(led.dtypes)
     row = ", ".join(f"{c}: {types[c]}" for c in LISTING_COLUMNS)
     schema = (f"account_id string, export_date date, transaction_count bigint, part int, parts int, "

@@ -106,7 +106,7 @@ def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, acco
     """
     order = ["account_id", F.col("transaction_date").desc(), "transaction_id"]
     placed = staged(_export_rows(ledger, **kw).repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
-        {"_at": F.monotonically_increasing_id()}), "export")
+        {"_at": F.monotonically_increasing_id()}), "export", "zstd")
     placed = placed.withColumns({"_task": F.shiftright("_at", 33),  # the low 33 bits count a task's rows
                                  "_run": F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / part_rows)})
     spans = placed.groupBy("account_id", "_task").agg(
@@ -130,8 +130,9 @@ def json_documents(ledger: DataFrame, export_date, part_rows: int = 10_000, acco
         "transactions")).alias("document"))
 
 
-def export_json_documents(ledger: DataFrame, path: str, export_date, **kw) -> None:
-    """The documents as text, a line each, in a folder per account."""
+def export_json_documents(ledger: DataFrame, path: str, export_date, compression: str | None = None, **kw) -> None:
+    """The documents as text, a line each, in a folder per account.
+    ``compression`` of the files (``gzip``): plain text unless given."""
     docs = json_documents(ledger, export_date, **kw)  # an account's documents of one task are in one task: no shuffle of them
-    (docs.sortWithinPartitions("account_id", "part")
-     .select("account_id", F.col("document").alias("value")).write.partitionBy("account_id").text(path))
+    docs = docs.withColumn("_folder", _folder()).sortWithinPartitions("_folder", "account_id", "part")
+    _write_lines(docs.select("_folder", F.col("document").alias("value")), path, compression)

@@ -21,7 +21,7 @@ def test_json_is_made_behind_the_shuffle(spark, monkeypatch):
     assert len(frames) == 1 and "value" not in frames[0] and "amount" in frames[0]
 
 
-@pytest.mark.parametrize("write", [EX.export_json])
+@pytest.mark.parametrize("write", [EX.export_json, EX.export_json_documents])
 def test_compressed_exports_hold_the_same_lines(spark, write):
     led = _ledger(spark)
     plain, small = scratch_path(spark, "t-plain"), scratch_path(spark, "t-small")
